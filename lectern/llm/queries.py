@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import bpe, fertility
-from lectern.llm.common import table
+from lectern.llm import bpe, fertility, mixing, simhash, tokenfile
+from lectern.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB's SQL for the queries that SQL can express.
@@ -22,6 +23,16 @@ def query(name: str) -> Callable:
     return add
 
 
+@query("op3_token_files")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.read(spark, tokenfile.write(table(spark, sf_dir, "documents"), shared_dir(spark, "token-files")), digest=True)
+
+
+@query("op4_simhash_components")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(table(spark, sf_dir, "documents"))
+
+
 @query("op6_bpe_roundtrip")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -30,3 +41,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_tokeniser_fertility")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+@query("op10_entropy_mix")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
