@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, fertility, mixing, simhash, tokenfile
-from lectern.llm.common import shared_dir, table
+from lectern.llm import bloomlm, bpe, fertility, mixing, simhash, tokenfile, toxicity
+from lectern.llm.common import crc_fold, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB's SQL for the queries that SQL can express.
@@ -47,3 +47,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = toxicity.fitted(docs, table(spark, sf_dir, "labels"), crc_fold("doc_id", 4) != 2)
+    held_out = F.coalesce(crc_fold("doc_id", 4) == 2, F.lit(False))
+    return toxicity.scored(docs, weights, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op9_bloom_lm")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = crc_fold("doc_id", 7)
+    out = bloomlm.language_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), F.coalesce(fold != 2, F.lit(True)), keep=["doc_id"])
+    return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
