@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bloomlm, bpe, fertility, mixing, simhash, tokenfile, toxicity
+from lectern.llm import ann, bloomlm, bpe, fertility, linkrank, mixing, simhash, tokenfile, toxicity, transcript
 from lectern.llm.common import crc_fold, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = crc_fold("doc_id", 7)
     out = bloomlm.language_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), F.coalesce(fold != 2, F.lit(True)), keep=["doc_id"])
     return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op1_ivf_pq")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op2_link_rank")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [linkrank.Rule(*r) for r in linkrank.RULES]
+    return linkrank.judged(table(spark, sf_dir, "pages"), rules, keep=["page_id"])
+
+
+@query("op8_transcript_roles")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    model = transcript.trained(turns.filter(crc_fold("conv_id", 4) != 2))
+    return transcript.parsed(turns, model)
