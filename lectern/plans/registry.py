@@ -11,3 +11,6 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: The query that ``entry`` runs.
 FLAGSHIP = "hybrid_rrf"
+
+
+from lectern.plans import recipes  # noqa: E402, F401  registers its queries here
