@@ -216,8 +216,8 @@ def ingest(
         hashed = marked.join(hashes, "folder_name", "left").withColumn("audio_hash", F.coalesce("audio_hash", "found_hash")).drop("found_hash")
         current = archive.staged("recording", superseded(hashed, now))
         before = old.select("folder_name", F.col("source_deleted_at").alias("d"), F.col("has_audio").alias("a"))
-        diff = current.join(before, "folder_name").agg(F.count_if("d is null and source_deleted_at is not null").alias("d"), F.count_if("a <> has_audio and source_deleted_at is not distinct from d").alias("a")).first()
-        out.source_deletions, out.audio_changes = diff["d"], diff["a"]
+        diff = current.join(before, "folder_name").agg(F.count_if(F.expr("d is null and source_deleted_at is not null")).alias("deleted"), F.count_if(F.expr("a <> has_audio")).alias("audio")).first()
+        out.source_deletions, out.audio_changes = diff["deleted"], diff["audio"]
         if embed is not None:
             out.embedded = _embedded(archive, current, embed, model, dims, strategy, out.model_switched)
         bookmark = current.select(F.max(F.struct(parsed_time(F.col("datetime")), "datetime")).alias("last")).first()["last"]
