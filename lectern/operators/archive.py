@@ -8,6 +8,7 @@ no effect. Rows are never deleted.
 from __future__ import annotations
 
 import json
+import logging
 import os
 import time
 import uuid
@@ -25,6 +26,8 @@ from lectern.operators.supersede import superseded
 from lectern.operators.vectors import centroids, embedded
 from lectern.sources import folders, sqlite
 
+log = logging.getLogger(__name__)
+
 TEXT_COLUMNS = ("model_key", "model_name", "language_model_key", "language_model_name", "recording_device", "result", "llm_result", "raw_result")
 RECORDING = (
     "folder_name string, recording_id_hex string, datetime string, duration_ms double, mode_name string, "
@@ -96,9 +99,35 @@ class Archive:
         return self.state["config"].get(key)
 
     def views(self) -> None:
+        """Registers the tables, with derived columns, and ``v_search``: recordings as keyword search sees them."""
         for name in SCHEMAS:
             rows = self.table(name)
             (with_derived(rows) if name == "recording" else rows).createOrReplaceTempView(name)
+        self.spark.table("recording").filter("raw_transcript is not null or processed_transcript is not null").createOrReplaceTempView("v_search")
+
+    def sql(self, text: str, args: dict | None = None, refresh: Callable[[], object] | None = None) -> DataFrame:
+        """The result of a query over the archive's tables. ``refresh`` runs before; if it fails, what is there is used.
+
+        The text stands as a subquery, so anything but a query is a syntax error: nothing can be written this way.
+        """
+        if refresh is not None:
+            try:
+                refresh()
+            except Exception:
+                log.warning("the archive couldn't be refreshed", exc_info=True)
+        self.views()
+        return self.spark.sql(f"SELECT * FROM (\n{text.strip().rstrip(';')}\n)", args=args)
+
+    def checks(self) -> dict[str, bool]:
+        """Whether the data's version is current, and all long canonical recordings have chunks and vectors."""
+        rows, chunks, vectors = self.table("recording"), self.table("recording_chunk"), self.table("recording_vec")
+        long = rows.filter("superseded_by is null").withColumn("body", body()).filter(F.size(F.split("body", r"\s+")) > Strategy().threshold)
+        embeddable = rows.filter("superseded_by is null and embed_text_hash is not null")
+        return {
+            "data_version": int(self.config("data_version") or 0) >= len(UPDATERS),
+            "chunks": without(long, chunks).isEmpty() or self.config("embed_model") is None,
+            "vectors": without(embeddable, vectors).isEmpty(),
+        }
 
 
 #: Changes to the data of archives written before them, in order; each runs once.

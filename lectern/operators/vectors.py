@@ -23,6 +23,19 @@ def cosine_distance(vector: Column, query: list[float] | Column) -> Column:
     return F.lit(1.0) - F.try_divide(dot(vector, other), F.sqrt(dot(vector, vector)) * F.sqrt(dot(other, other)))
 
 
+def l2_distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, x: total + x))
+
+
+def l1_distance(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda total, x: total + x)
+
+
+def normalized(vector: Column) -> Column:
+    """The vector at unit length; null for a zero vector."""
+    return F.transform(vector, lambda x: F.try_divide(x, F.sqrt(dot(vector, vector))))
+
+
 def band(distance: Column) -> Column:
     """How to read a distance."""
     return F.when(distance < 0.25, "strong").when(distance < 0.45, "related").when(distance < 0.55, "weak").otherwise("unrelated")

@@ -387,3 +387,29 @@ def session_debounce(spark, sf_dir):
 def events_hourly(spark, sf_dir):
     events = demo.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return watch.hourly(events).select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# What plain SQL over the recordings reaches besides the recipes: windows, set operations, aggregates, recursion, joins.
+
+_WINDOWS = """SELECT folder_name, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(4) OVER w AS quart, lag(folder_name, 1) OVER w AS prev, lead(folder_name, 1) OVER w AS nxt,
+  round(cume_dist() OVER w, 6) AS cd, round(percent_rank() OVER w, 6) AS pr, round(sum(duration_sec) OVER (PARTITION BY mode_name ORDER BY datetime_iso, folder_name ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS moving
+FROM rec WINDOW w AS (PARTITION BY mode_name ORDER BY datetime_iso, folder_name)"""
+_SETS = """SELECT mode_name FROM rec WHERE language = 'de' INTERSECT SELECT mode_name FROM rec WHERE app_name = 'Zoom' UNION SELECT app_name FROM rec EXCEPT SELECT 'Slack'"""
+_AGGREGATES = """SELECT language, count(*) FILTER (WHERE superseded_by IS NULL) AS canonical, count(DISTINCT mode_name) AS modes, min(datetime_iso) AS first_one, max(datetime_iso) AS last_one,
+  sum(CASE WHEN app_name LIKE 'Z%' THEN 1 ELSE 0 END) AS zooms FROM rec GROUP BY language HAVING count(*) > 1"""
+_RECURSION = "SELECT n, n * n AS square FROM steps WHERE n IN (SELECT raw_word_count % 50 FROM rec)"
+_STEPS = "RECURSIVE steps(n) AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM steps WHERE n < 40)"
+_JOINS = "SELECT a.folder_name AS later, b.folder_name AS earlier FROM rec a RIGHT JOIN rec b ON a.audio_hash = b.audio_hash AND a.datetime_iso > b.datetime_iso"
+
+
+def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rec(spark, sf_dir).createOrReplaceTempView("rec")
+        return spark.sql(text)
+
+    return run
+
+
+for _name, _text in {"sql_windows": _WINDOWS, "sql_set_operations": _SETS, "sql_aggregates": _AGGREGATES, "sql_joins": _JOINS}.items():
+    query(_name, f"WITH {o.REC} {_text}")(_sql(_text))
+query("sql_recursion", f"WITH {_STEPS}, {o.REC} {_RECURSION}")(_sql(f"WITH {_STEPS} {_RECURSION}"))

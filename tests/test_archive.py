@@ -5,9 +5,11 @@ import sys
 import numpy as np
 import pytest
 from pyspark import cloudpickle
+from pyspark.errors import ParseException
 
 from lectern.operators.archive import Archive, ingest
 from lectern.operators.vectors import blob_literal, cosine_distance, embedded, from_blob, stub_vector, to_blob
+from lectern.plans.render import render
 from lectern.sources import sqlite as source
 from lectern.streaming import watch
 
@@ -71,6 +73,13 @@ def test_ingest_life(spark, tmp_path):
     assert rows["300"]["superseded_at"] == "2026-06-01T00:00:00.000Z" and rows["100"]["embed_model"] is None
     assert rows["200"]["source_deleted_at"] == "2026-06-02T00:00:00.000Z" and rows["100"]["has_audio"] == 0 and rows["100"]["source_audio_lost_at"]
     assert {r["folder_name"] for r in archive.table("recording_vec").collect()} == {"200", "400"}
+    found = archive.sql("SELECT folder_name, duration_sec FROM recording WHERE mode_name_lower = :mode ORDER BY folder_name;", {"mode": "meeting"})
+    assert list(render(found.limit(1), "markdown")) == ["| folder_name | duration_sec |", "|---|---|", "| 100 | 1.5 |"]
+    assert list(render(found.limit(1))) == ["100|1.5"] and json.loads("".join(render(found, "json")))[0] == {"folder_name": "100", "duration_sec": 1.5}
+    assert archive.sql("SELECT count(*) AS n FROM v_search", refresh=lambda: 1 / 0).first()["n"] == 4
+    with pytest.raises(ParseException):
+        archive.sql("DROP VIEW recording")
+    assert archive.checks() == {"data_version": True, "chunks": True, "vectors": True}
 
 
 def test_sources(spark, tmp_path):
