@@ -33,8 +33,11 @@ END = 1
 #: Bytes of ids in a frame, about; a longer document is cut into frames of this size.
 FRAME = 1 << 18
 LEVEL = 3
-#: Words whose ids are remembered in a worker; beyond that the memory starts anew.
-REMEMBERED = 500_000
+#: Words, and parts of words, whose ids are remembered in a worker; beyond that the memory starts anew. A part that is
+#: forgotten costs several times what a word does whose parts are known.
+REMEMBERED, PARTS = 450_000, 1_200_000
+#: Parts that the library's model encodes in one go.
+JOINED = 256
 
 _SKIPPABLE, _SEEK_TABLE, _SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
@@ -49,46 +52,70 @@ class WordEncoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
         self.model = Tokenizer(self.whole.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
         size = self.whole.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends_part = np.zeros(size, bool)
+        for piece, i in self.whole.get_vocab(with_added_tokens=False).items():
+            self.ends_part[i] = piece.endswith("</w>")
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.may_fold = all("<|" in s for s in self.special)
         self.shown = {b: c for c, b in byte_alphabet().items()}
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.beyond = regex.compile("[̀-\U0010ffff]")
+        self.pattern = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # \n parts the words here
+        self.beyond = regex.compile("[̀-􏿿]|" + "|".join(map(regex.escape, self.special)))
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        texts = [w.decode("utf-8", "replace") for w in words]
         found: dict[bytes, bytes] = {}
-        cut: dict[bytes, list[str]] = {}
-        odd = []
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            if self.beyond.search(text) or any(s in text for s in self.special):
-                odd.append((word, text))
-            else:
-                cut[word] = self.pattern.findall(text.lower())
-        if len(self.parts) > REMEMBERED:
+        if self.beyond.search("\n".join(texts)):
+            is_odd = [self.beyond.search(t) is not None for t in texts]
+            odd = [(w, t) for w, t, o in zip(words, texts, is_odd) if o]
+            for (word, _), e in zip(odd, self.whole.encode_batch_fast([t for _, t in odd], add_special_tokens=False)):
+                found[word] = np.array(e.ids, self.dtype).tobytes()
+            words = [w for w, o in zip(words, is_odd) if not o]
+            texts = [t for t, o in zip(texts, is_odd) if not o]
+        if not words:
+            return found
+        cut = self.pattern.findall("\n".join(texts).lower() + "\n")
+        if len(self.parts) > PARTS:
             self.parts.clear()
-        new = list({p for ps in cut.values() for p in ps if p not in self.parts})
-        shown = ["".join([self.shown[b] for b in p.encode()]) for p in new]
-        for part, e in zip(new, self.model.encode_batch_fast(shown, add_special_tokens=False)):
-            self.parts[part] = np.array(e.ids, self.dtype).tobytes()
-        for word, ps in cut.items():
-            found[word] = b"".join([self.parts[p] for p in ps])
-        for (word, _), e in zip(odd, self.whole.encode_batch_fast([t for _, t in odd], add_special_tokens=False)):
-            found[word] = np.array(e.ids, self.dtype).tobytes()
+        self.parts["\n"] = b""
+        new = list(set(cut) - self.parts.keys())
+        self.parts.update(zip(new, self._parts(new)))
+        ids = list(map(self.parts.__getitem__, cut))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        ends = np.cumsum(sizes)[sizes == 0].tolist()
+        data = b"".join(ids)
+        found.update((w, data[a:b]) for w, a, b in zip(words, [0, *ends], ends))
         return found
 
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """The model's ids of parts. They are joined by spaces, and told apart by the ids that end a word."""
+        shown = [p if p.isascii() and p.isprintable() else "".join([self.shown[b] for b in p.encode()]) for p in parts]
+        lines = [" ".join(shown[k : k + JOINED]) for k in range(0, len(shown), JOINED)]
+        width, out = self.dtype.itemsize, []
+        for e in self.model.encode_batch_fast(lines, add_special_tokens=False):
+            ids = np.array(e.ids, self.dtype)
+            ends = (np.flatnonzero(self.ends_part[ids]) + 1) * width
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        if len(out) != len(parts):
+            raise ValueError("this vocabulary doesn't mark where words end")
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         rows, missing, get = [], set(), self.words.get
         for text in texts:
-            words = text.encode("utf-8", "replace").split()
+            raw = text.encode("utf-8", "replace")
+            words = (raw.lower() if self.may_fold and b"<|" not in raw else raw).split()  # the case of special tokens counts
             got = list(map(get, words))
             if None in got:
                 missing.update([w for w, ids in zip(words, got) if ids is None])
