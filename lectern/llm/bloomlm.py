@@ -3,22 +3,21 @@
 The filter holds quantised n-gram counts: an n-gram counted c times is entered with every level from 1 to
 1 + floor(log_B c), and its count is read back by probing level after level until one is missing. Words and pairs of
 words of the training texts are counted in Spark over all of them: each task counts its own n-grams by hash, the counts
-are dealt by hash and summed, and each share of the hashes becomes its own segment of the filter. Segments have a fixed
-size in total (``most_bytes``), so the filter may be broadcast whatever the corpus; a larger corpus fills it more, which
-raises the share of false positives but drops nothing.
+are dealt by hash and summed, and each share of the hashes becomes its own segment of the filter. A segment has BITS
+bits for each level of its entries, so the filter grows with the counts and its share of false positives does not depend
+on the corpus. It is never gathered: questions go to the segments by hash.
 
 A text's probability is the product over its tokens of
 
     t * c(previous, token) / c(previous) + (1 - t) * p(token),    p(token) = (c(token) + 1) / (N + V + 1)
 
-where t, the trust in pairs, grows with c(previous) up to TRUST: c(previous) / (c(previous) + MU), and with the counts that the filter gives back. The base score uses exact counts: the most frequent words are broadcast
-(``HEAD`` of them at most), and of the others each task sends the hashes and multiplicities that its texts hold to where
-their counts are.
+where t, the trust in pairs, grows with c(previous) up to TRUST: c(previous) / (c(previous) + MU), and with the counts that the filter gives back. The base score uses exact counts of words, which the segments hold too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +29,10 @@ from lectern.llm.common import free_name, utf8, written
 #: Base of the levels, probes for each level, and pairs counted less often than this stay out of the filter.
 BASE, PROBES, LEAST = 1.5, 4, 2
 MU, TRUST = 5.0, 0.3
-#: Bits for each entry and level as long as the filter has room, and the most bytes it may take.
-BITS, MOST_BYTES = 7, 64 << 20
-#: Words whose exact counts are broadcast at most.
-HEAD = 100_000
+#: Bits for each entry and level.
+BITS = 7
+#: Bytes of text for each share of the hashes at most, and tokens of the texts that ask together.
+SHARE, ASKED = 64 << 20, 1_500_000
 #: Words whose hashes are remembered in a worker.
 REMEMBERED = 600_000
 LEVELS = 80
@@ -153,7 +152,7 @@ def counted(texts: DataFrame, text: str, segments: int) -> DataFrame:
                 hashes, counts = _summed(np.concatenate([hashes, *[p[0] for p in parts]]), np.concatenate([counts, *[p[1] for p in parts]]))
                 parts, size = [], 0
         kept = counts >= (LEAST if key[0] == 2 else 1)
-        levels = int((1 + np.floor(np.log(np.maximum(counts[kept], 1)) / np.log(BASE))).sum())
+        levels = int(_levels(counts[kept]).sum())
         return pd.DataFrame({"kind": [key[0]], "segment": [key[1]], "data": [_packed(hashes[kept], counts[kept])], "n": [len(hashes)], "total": [int(counts.sum())], "levels": [levels]})
 
     shares = texts.select(utf8(text).alias("value")).mapInArrow(local, "kind int, segment int, data binary")
@@ -198,6 +197,10 @@ class LogFrequencyFilter:
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
         """The counts that repeated probes give back; 0 for what isn't there."""
+        return EXPECTED[self.levels(hashes)]
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """The highest level that repeated probes find of each entry."""
         found = np.zeros(len(hashes), np.int64)
         live = np.arange(len(hashes))
         segment = segment_of(hashes, len(self.sizes))
@@ -206,90 +209,95 @@ class LogFrequencyFilter:
         for level in range(1, LEVELS):
             for probe in range(PROBES):
                 if not len(live):
-                    return EXPECTED[found]
+                    return found
                 at = self.positions(hashes[live], level, probe, size[live])
                 live = live[(self.data[start[live] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1]
             found[live] = level
-        return EXPECTED[found]
+        return found
+
 
+class Model(NamedTuple):
+    """A trained model: its table (``segment``, ``kind`` 0 filter or 1 exact counts of words, ``bits``, ``data``), tokens and distinct words."""
 
-class Model:
-    """What is broadcast: the filter with the number of training tokens and distinct words, and the head's exact counts."""
+    table: DataFrame
+    tokens: int
+    distinct: int
+    segments: int
 
-    def __init__(self, filter: LogFrequencyFilter, tokens: int, distinct: int, head: tuple[np.ndarray, np.ndarray]):
-        self.filter, self.tokens, self.distinct, self.head = filter, tokens, distinct, head
 
-    def score(self, tokens: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """log10 probabilities of tokens, given the filter's counts of them and of their pairs with the one before."""
-        share = (counts + 1) / (self.tokens + self.distinct + 1)
-        trust = np.minimum(tokens / (tokens + MU), TRUST)
-        return np.log10(trust * np.minimum(np.minimum(pairs, counts) / np.maximum(tokens, 1), 1) + (1 - trust) * share)
+def log_shares(tokens: np.ndarray, counts: np.ndarray, pairs: np.ndarray, denominator: float) -> np.ndarray:
+    """log10 probabilities of tokens, given the filter's counts of those before, of them, and of their pairs."""
+    trust = np.minimum(tokens / (tokens + MU), TRUST)
+    return np.log10(trust * np.minimum(np.minimum(pairs, counts) / np.maximum(tokens, 1), 1) + (1 - trust) * ((counts + 1) / denominator))
 
 
-def segments_for(df: DataFrame) -> int:
-    """Shares of the hashes: four for each shuffle partition, so that a share stays small whatever the corpus."""
-    return 4 * max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def segments_for(df: DataFrame, text: str = "text") -> int:
+    """Shares of the hashes: four for each shuffle partition, and more where a share would hold over SHARE bytes of text."""
+    size = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    return max(4 * max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-int(size) // SHARE))
 
 
-def trained(texts: DataFrame, segments: int, text: str = "text", most_bytes: int = MOST_BYTES, head: int = HEAD) -> tuple[Model, DataFrame]:
-    """The model of all ``texts``, and the exact counts of words by segment (``segment``, ``data``)."""
+def trained(texts: DataFrame, segments: int, text: str = "text") -> Model:
+    """The model of all ``texts``; a segment of its filter has BITS for each level of its entries."""
     shares = written(counted(texts, text, segments), "lm-counts")
-    stats = {r["kind"]: r for r in shares.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("levels").alias("levels")).collect()}
+    stats = {r["kind"]: r for r in shares.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
     tokens, distinct = (stats[1]["total"], stats[1]["n"]) if 1 in stats else (0, 0)
-    needed = BITS * sum(r["levels"] for r in stats.values())
-    per = BITS * min(1.0, most_bytes * 8 / max(1, needed))
 
     def build(key: tuple, pdf):
         import pandas as pd
 
         parts = [_unpacked(d) for d in pdf["data"]]
         hashes, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        bits = 64 + int(per * int(pdf["levels"].sum())) // 8 * 8
-        return pd.DataFrame({"segment": [key[0]], "bits": [bits], "data": [LogFrequencyFilter.segment(hashes, counts, bits)]})
-
-    rows = shares.groupBy("segment").applyInPandas(build, "segment int, bits long, data binary").collect()
-    sizes, starts, parts, at = np.zeros(segments, np.int64), np.zeros(segments, np.int64), [], 0
-    for r in sorted(rows, key=lambda r: r["segment"]):
-        sizes[r["segment"]], starts[r["segment"]] = r["bits"], at
-        parts.append(bytes(r["data"]))
-        at += len(parts[-1])
-    filled = LogFrequencyFilter(np.frombuffer(b"".join(parts), np.uint8), starts, sizes)
-    words = shares.filter("kind = 1").select("segment", "data")
-    return Model(filled, tokens, distinct, _head(words, head)), words
-
-
-def _head(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending hashes and counts of all words counted at least so often that no more than ``most`` are."""
+        bits = 64 + BITS * int(pdf["levels"].sum()) // 8 * 8
+        return pd.DataFrame({"segment": [key[0]], "kind": [0], "bits": [bits], "data": [LogFrequencyFilter.segment(hashes, counts, bits)]})
 
-    def histogram(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                level, n = np.unique(_levels(_unpacked(data)[1]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(level), pa.array(n)], ["level", "n"])
+    filled = shares.groupBy("segment").applyInPandas(build, "segment int, kind int, bits long, data binary")
+    words = shares.filter("kind = 1").select("segment", "kind", F.lit(0).cast("long").alias("bits"), "data")
+    return Model(written(filled.unionByName(words), "lm-model"), tokens, distinct, segments)
 
-    by_level = {r["level"]: r["n"] for r in words.select("data").mapInArrow(histogram, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()}
-    least, many = LEVELS, 0
-    while least > 1 and many + by_level.get(least - 1, 0) <= most:
-        least -= 1
-        many += by_level.get(least, 0)
 
-    def frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                hashes, counts = _unpacked(data)
-                kept = _levels(counts) >= least
-                yield pa.RecordBatch.from_arrays([pa.array([_packed(hashes[kept], counts[kept])], pa.binary())], ["data"])
+def _previous(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The token before each one of texts that follow each other; a text's last (end) token stands before its first."""
+    before = np.concatenate([flat[-1:], flat[:-1]])
+    ends = np.cumsum(sizes)
+    before[ends - sizes] = flat[ends - 1]
+    return before
 
-    parts = [_unpacked(bytes(r["data"])) for r in words.select("data").mapInArrow(frequent, "data binary").collect()]
-    hashes = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
-    counts = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
 
+def _block(rows: list[np.ndarray], texts: list[np.ndarray]) -> bytes:
+    """Rows' numbers, texts' sizes, the distinct words' hashes (the frequent first), and each token's place among them.
 
-def scored(docs: DataFrame, model: Model, words: DataFrame, segments: int, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    Places are kept in three planes of bytes (four if need be), the higher of which compress to little.
+    """
+    flat, sizes = np.concatenate(texts), np.array([len(t) for t in texts], "<i8")
+    distinct, of, times = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(len(order), "<u4")
+    rank[order] = np.arange(len(order))
+    planes = np.ascontiguousarray(rank[of].view(np.uint8).reshape(-1, 4).T[: 3 if len(order) <= 1 << 24 else 4])
+    head = np.array([len(sizes), len(distinct), len(flat), len(planes)], "<i8")
+    return b"".join([head.tobytes(), np.concatenate(rows).astype("<i8").tobytes(), sizes.tobytes(), distinct[order].astype("<u8").tobytes(), planes.tobytes()])
+
+
+def _read_block(data: bytes) -> tuple[np.ndarray, ...]:
+    """A block's rows, sizes, distinct words' hashes, tokens' places among them, and hashes of the tokens' pairs."""
+    n, m, many, planes = np.frombuffer(data, "<i8", 4).tolist()
+    rows, sizes = np.frombuffer(data, "<i8", n, 32), np.frombuffer(data, "<i8", n, 32 + 8 * n)
+    words = np.frombuffer(data, "<u8", m, 32 + 16 * n)
+    place = np.zeros((many, 4), np.uint8)
+    place[:, :planes] = np.frombuffer(data, np.uint8, planes * many, 32 + 16 * n + 8 * m).reshape(planes, many).T
+    place = place.view("<u4").ravel()
+    tokens = words[place]
+    return rows, sizes, words, place, mixed_bits(_previous(tokens, sizes) * _GOLD + tokens)
+
+
+def scored(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs``'s columns (or those in ``keep``) with ``n_tokens, n_known, base_score, score`` of each whole text.
 
+    Nothing of the model is broadcast. Texts are packed into blocks of about ASKED tokens; a block asks each segment for
+    its distinct words and pairs, a segment answers with levels of the filter and exact counts of words, and the block
+    is scored where the answers meet it.
+
     Rows are told apart by a number given in the first pass, which is written; so repeated rows, null ids and any
     columns are fine. Null and empty texts are the end token alone. With no training text at all, every count is 0.
     Columns that bear a result's name are replaced.
@@ -298,116 +306,119 @@ def scored(docs: DataFrame, model: Model, words: DataFrame, segments: int, text:
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in results]
     names = docs.select(*[F.col(f"`{c}`") for c in kept], *[F.lit(0).alias(r) for r in sorted(results)])
     row, value = free_name(names, "row_of_text"), free_name(names, "bytes_of_text")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias(row), utf8(text).alias(value))
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
+    from pyspark.sql.types import BinaryType, StructField, StructType
 
-    first_schema = StructType([*source.schema[:-1], StructField("n_tokens", LongType()), StructField("n_known_", LongType()), StructField("head_", DoubleType()), StructField("score", DoubleType()), StructField("tail_", BinaryType())])
+    first_schema = StructType([*source.schema[:-1], StructField(value, BinaryType())])
     arrow = to_arrow_schema(first_schema)
-    denominator = float(model.tokens + model.distinct + 1)
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        head_hashes, head_counts = model.head
+        rows: list[np.ndarray] = []
+        texts: list[np.ndarray] = []
+        many, waiting = 0, None
+
+        def passed(block: bytes | None) -> pa.RecordBatch:
+            columns = [*waiting, pa.array([None] * (len(waiting[0]) - 1) + [block], pa.binary())]
+            return pa.RecordBatch.from_arrays([c if c.type == t.type else c.cast(t.type) for c, t in zip(columns, arrow)], schema=arrow)
+
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = [token_hashes(t) for t in part.column(part.num_columns - 1).to_pylist()]
-                sizes = np.array([len(t) for t in texts])
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                flat, pairs = np.concatenate(texts), np.concatenate([pair_hashes(t) for t in texts])
-                distinct, of = np.unique(flat, return_inverse=True)
-                counts = model.filter.counts(distinct)[of]
-                distinct_pairs, of_pair = np.unique(pairs, return_inverse=True)
-                pair_counts = model.filter.counts(distinct_pairs)[of_pair]
-                previous = np.concatenate([[0.0], counts[:-1]])
-                previous[starts] = counts[starts + sizes - 1]  # the end token stands before the first
-                score = np.add.reduceat(model.score(previous, counts, pair_counts), starts)
-                # Exact counts of the head; of the other words, hashes and multiplicities by row go on.
-                place = np.minimum(np.searchsorted(head_hashes, distinct), max(0, len(head_hashes) - 1))
-                in_head = head_hashes[place] == distinct if len(head_hashes) else np.zeros(len(distinct), bool)
-                exact = np.where(in_head, head_counts[place] if len(head_counts) else 0, 0)[of]
-                known = in_head[of]
-                head = np.add.reduceat(np.where(known, np.log10((exact + 1) / denominator), 0.0), starts)
-                n_known = np.add.reduceat(known.astype(np.int64), starts)
-                tails = []
-                for a, n in zip(starts.tolist(), sizes.tolist()):
-                    rest = flat[a : a + n][~known[a : a + n]]
-                    tails.append(_packed(*_summed(rest)) if len(rest) else None)
-                columns = [part.column(i) for i in range(part.num_columns - 1)] + [pa.array(sizes, pa.int64()), pa.array(n_known, pa.int64()), pa.array(head), pa.array(score), pa.array(tails, pa.binary())]
-                yield pa.RecordBatch.from_arrays([c if c.type == t.type else c.cast(t.type) for c, t in zip(columns, arrow)], schema=arrow)
+                if waiting is not None:  # a block goes with its last row
+                    yield passed(_block(rows, texts) if many >= ASKED else None)
+                    if many >= ASKED:
+                        rows, texts, many = [], [], 0
+                found = [token_hashes(t) for t in part.column(part.num_columns - 1).to_pylist()]
+                rows.append(part.column(part.num_columns - 2).to_numpy())
+                texts += found
+                many += sum(map(len, found))
+                waiting = [part.column(i) for i in range(part.num_columns - 1)]
+        if waiting is not None:
+            yield passed(_block(rows, texts))
 
     rows = written(source.mapInArrow(first, first_schema), "lm-first")
-    sums = _tail_sums(rows.select(F.col(row).alias("row"), F.col("tail_").alias("tail")).filter("tail is not null"), words, denominator, segments)
-    joined = rows.drop("tail_").join(sums, rows[row] == sums["of_row"], "left")
-    return joined.select(
-        *[F.col(f"`{c}`") for c in kept],
-        "n_tokens",
-        (F.col("n_known_") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-        (F.col("head_") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
-
-
-def _tail_sums(tails: DataFrame, words: DataFrame, denominator: float, segments: int) -> DataFrame:
-    """By row, the known tokens and the summed log10 shares of words outside the head, from their exact counts.
-
-    A task gathers what its rows ask of each segment: hashes once, and (row, hash, multiplicity) by position. Segments
-    answer with a count for each hash asked; requests are blocks of bounded size, so no group grows with a frequent
-    word or a long text.
-    """
-    block = 400_000
+    blocks = rows.filter(F.col(value).isNotNull()).select(F.col(row).alias("block"), F.col(value).alias("data"))
+    results_of = _answered(blocks, model)
+    joined = rows.drop(value).join(results_of, rows[row] == results_of["of_row"])
+    return joined.select(*[F.col(f"`{c}`") for c in kept], "n_tokens", "n_known", "base_score", "score")
 
-    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("segment", pa.int32()), ("rows", pa.binary()), ("hashes", pa.binary()), ("times", pa.binary())])
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        many = 0
 
-        def flush() -> pa.RecordBatch:
-            row, hashes, times = (np.concatenate(x) for x in zip(*held))
-            segment = segment_of(hashes, segments)
-            order = np.argsort(segment, kind="stable")
-            cuts = np.searchsorted(segment[order], np.arange(segments + 1))
-            out = []
-            for k in range(segments):
-                at = order[cuts[k] : cuts[k + 1]]
-                if len(at):
-                    out.append({"segment": k, "rows": row[at].astype("<i8").tobytes(), "hashes": hashes[at].astype("<u8").tobytes(), "times": times[at].astype("<u4").tobytes()})
-            return pa.RecordBatch.from_pylist(out, schema=schema)
+def _answered(blocks: DataFrame, model: Model) -> DataFrame:
+    """``of_row, n_tokens, n_known, base_score, score`` of all rows in the blocks (``block``, ``data``)."""
+    segments, denominator = model.segments, float(model.tokens + model.distinct + 1)
+    asks = pa.schema([("segment", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary())])
 
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes, times = _unpacked(data)
-                held.append((np.full(len(hashes), row, np.int64), hashes, times))
-                many += len(hashes)
-                if many >= block:
-                    yield flush()
-                    held, many = [], 0
-        if held:
-            yield flush()
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                _, _, words, _, pairs = _read_block(data.as_py())
+                cut = []
+                for hashes in (np.sort(words), np.unique(pairs)):
+                    at = np.searchsorted(segment_of(hashes, segments), np.arange(segments + 1))
+                    cut.append([hashes[a:b].astype("<u8").tobytes() for a, b in zip(at[:-1], at[1:])])
+                yield pa.RecordBatch.from_pylist([{"segment": k, "block": block, "words": w, "pairs": p} for k, (w, p) in enumerate(zip(*cut)) if w or p], schema=asks)
+
+    def answer(asked, held):
+        import pandas as pd
 
-    def look_up(asked, known):
+        known, filled = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), LogFrequencyFilter(np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64))
+        for kind, bits, data in zip(held["kind"], held["bits"], held["data"]):
+            if kind:
+                known = _unpacked(data)
+            else:
+                filled = LogFrequencyFilter(np.frombuffer(data, np.uint8), np.zeros(1, np.int64), np.array([bits]))
+        exact, levels = [], []
+        for at in range(0, len(asked), 64):  # some blocks' questions at once
+            words, pairs = ([np.frombuffer(x, "<u8") for x in asked[c].iloc[at : at + 64]] for c in ("words", "pairs"))
+            flat = np.concatenate(words)
+            place = np.minimum(np.searchsorted(known[0], flat), max(0, len(known[0]) - 1))
+            counts = np.where(known[0][place] == flat, known[1][place], 0) if len(known[0]) else np.zeros(len(flat), np.int64)
+            found = filled.levels(np.concatenate([flat, *pairs])).astype(np.uint8)
+            a, b = 0, len(flat)
+            for w, p in zip(words, pairs):
+                exact.append(counts[a : a + len(w)].astype("<i8").tobytes())
+                levels.append(found[a : a + len(w)].tobytes() + found[b : b + len(p)].tobytes())
+                a, b = a + len(w), b + len(p)
+        return pd.DataFrame({"block": asked["block"].to_numpy(np.int64), "segment": asked["segment"].to_numpy(np.int32), "exact": exact, "levels": levels})
+
+    def score(block, answers):
         import pandas as pd
 
-        hashes, counts = _unpacked(known["data"].iloc[0]) if len(known) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         out = []
-        for r, h, t in zip(asked["rows"], asked["hashes"], asked["times"]):
-            r, h, t = np.frombuffer(r, "<i8"), np.frombuffer(h, "<u8"), np.frombuffer(t, "<u4").astype(np.int64)
-            at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
-            c = np.where(hashes[at] == h, counts[at], 0) if len(hashes) else np.zeros(len(h), np.int64)
-            rows, of = np.unique(r, return_inverse=True)
-            out.append(pd.DataFrame({"of_row": rows, "tail_known": np.bincount(of, np.where(c > 0, t, 0)).astype(np.int64), "tail_score": np.bincount(of, t * np.log10((c + 1) / denominator))}))
-        return pd.concat(out) if out else pd.DataFrame({"of_row": [], "tail_known": [], "tail_score": []}).astype({"of_row": "int64", "tail_known": "int64", "tail_score": "float64"})
-
-    requests = tails.mapInArrow(ask, "segment int, rows binary, hashes binary, times binary")
-    answers = requests.groupBy("segment").cogroup(words.groupBy("segment")).applyInPandas(look_up, "of_row long, tail_known long, tail_score double")
-    return answers.groupBy("of_row").agg(F.sum("tail_known").alias("tail_known"), F.sum("tail_score").alias("tail_score"))
+        answers = answers.sort_values("segment")  # segments are ranges of the hashes, so answers follow the hashes' order
+        for data in block["data"]:
+            rows, sizes, words, place, pairs = _read_block(data)
+            order = np.argsort(words)
+            exact, levels = np.empty(len(words), np.int64), np.empty(len(words), np.uint8)
+            exact[order] = np.frombuffer(b"".join(answers["exact"]), "<i8")
+            levels[order] = np.frombuffer(b"".join(x[: len(e) // 8] for e, x in zip(answers["exact"], answers["levels"])), np.uint8)
+            distinct, of_pair = np.unique(pairs, return_inverse=True)
+            of_pairs = np.frombuffer(b"".join(x[len(e) // 8 :] for e, x in zip(answers["exact"], answers["levels"])), np.uint8)
+            if len(of_pairs) != len(distinct):
+                raise ValueError(f"{len(of_pairs)} answers for {len(distinct)} pairs")
+            starts = np.cumsum(sizes) - sizes
+            counts = EXPECTED[levels][place]
+            known = exact[place]
+            out.append(
+                pd.DataFrame(
+                    {
+                        "of_row": rows,
+                        "n_tokens": sizes,
+                        "n_known": np.add.reduceat((known > 0).astype(np.int64), starts),
+                        "base_score": np.add.reduceat(np.log10((exact + 1) / denominator)[place], starts),
+                        "score": np.add.reduceat(log_shares(_previous(counts, sizes), counts, EXPECTED[of_pairs][of_pair], denominator), starts),
+                    }
+                )
+            )
+        return pd.concat(out)
+
+    asked = blocks.mapInArrow(ask, "segment int, block long, words binary, pairs binary")
+    answers = asked.groupBy("segment").cogroup(model.table.groupBy("segment")).applyInPandas(answer, "block long, segment int, exact binary, levels binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "of_row long, n_tokens long, n_known long, base_score double, score double")
 
 
 def language_scores(docs: DataFrame, training: Column, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``scored`` under the model of the rows that ``training`` names, with ``train_tokens``."""
-    segments = segments_for(docs)
-    model, words = trained(docs.filter(training), segments, text)
-    return scored(docs, model, words, segments, text, keep).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
-
+    model = trained(docs.filter(training), segments_for(docs, text), text)
+    return scored(docs, model, text, keep).withColumn("train_tokens", F.lit(model.tokens).cast("long"))

@@ -221,6 +221,18 @@ def test_filter_gives_counts_back():
     assert (np.abs(np.log(found / counts)) <= math.log(bloomlm.BASE) * 1.01).mean() > 0.97  # quantised, seldom too high
 
 
+def test_filter_grows_with_the_counts(spark, monkeypatch):
+    monkeypatch.setattr(bloomlm, "ASKED", 3000, raising=False)  # many blocks
+    monkeypatch.setattr(bloomlm, "MOST_BYTES", 1 << 10, raising=False)
+    monkeypatch.setattr(bloomlm.trained, "__defaults__", tuple(1 << 10 if x == 64 << 20 else x for x in bloomlm.trained.__defaults__))
+    from pyspark.sql import functions as F
+
+    texts = [" ".join(f"g{40 * k + j}" for j in range(40)) for k in range(600)]
+    rows = bloomlm.language_scores(docs(spark, texts), F.expr("doc_id % 2 = 0")).collect()
+    seen, unseen = (np.array([r["score"] for r in rows if r["doc_id"] % 2 == k]) for k in (0, 1))
+    assert len(rows) == 600 and max(seen.max(), unseen.max()) < -60 and seen.mean() > unseen.mean() + 8  # a full filter gives one score
+
+
 def test_toxicity_learns_held_out(spark, odd):
     rng = random.Random(11)
     words = [f"n{k}" for k in range(400)]
