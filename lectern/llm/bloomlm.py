@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import free_name, utf8, written
 
-#: Base of the levels, probes for each level, and pairs counted less often than this stay out of the filter.
-BASE, PROBES, LEAST = 1.5, 4, 2
+#: Base of the levels, and probes for each level.
+BASE, PROBES = 1.5, 4
 MU, TRUST = 5.0, 0.3
 #: Bits for each entry and level.
 BITS = 7
 #: Bytes of text for each share of the hashes at most, and tokens of the texts that ask together.
-SHARE, ASKED = 64 << 20, 1_500_000
+SHARE, ASKED = 32 << 20, 1_500_000
 #: Words whose hashes are remembered in a worker.
 REMEMBERED = 600_000
 LEVELS = 80
@@ -86,16 +86,25 @@ def _summed(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.nd
     return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def _squeezed(hashes: np.ndarray) -> bytes:
+    """Ascending hashes as planes of bytes of their differences, the highest of which are nearly all 0 and compress."""
+    return np.ascontiguousarray(np.diff(hashes, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _spread(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _packed(hashes: np.ndarray, counts: np.ndarray) -> bytes:
     """Ascending hashes with their counts; counts take as few bytes as the largest needs."""
     width = 1 if not len(counts) or counts.max() < 1 << 8 else 4 if counts.max() < 1 << 32 else 8
-    return bytes([width]) + hashes.astype("<u8").tobytes() + counts.astype(f"<u{width}").tobytes()
+    return bytes([width]) + _squeezed(hashes) + counts.astype(f"<u{width}").tobytes()
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     width = data[0]
     n = (len(data) - 1) // (8 + width)
-    return np.frombuffer(data, "<u8", n, 1), np.frombuffer(data, f"<u{width}", n, 1 + 8 * n).astype(np.int64)
+    return _spread(data[1 : 1 + 8 * n]), np.frombuffer(data, f"<u{width}", n, 1 + 8 * n).astype(np.int64)
 
 
 def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
@@ -116,7 +125,7 @@ _BLOCK = 3_000_000
 
 
 def counted(texts: DataFrame, text: str, segments: int) -> DataFrame:
-    """Each segment's exact counts over all texts: ``kind`` (1 words, 2 pairs), ``segment``, ``data``, ``n``, ``total``."""
+    """Each segment of the model of all texts: its ``bits`` and ``filter`` of words and pairs, exact counts of its ``words``, their number ``n`` and their ``total``."""
 
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -139,24 +148,28 @@ def counted(texts: DataFrame, text: str, segments: int) -> DataFrame:
         if held:
             yield from flush()
 
-    def total(key: tuple, pdf):
-        import pandas as pd
-
+    def summed(shares: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
         hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         parts, size = [], 0
-        for data in [*pdf["data"], None]:
+        for data in [*shares, None]:
             if data is not None:
                 parts.append(_unpacked(data))
                 size += len(parts[-1][0])
             if parts and (data is None or size > _BLOCK):  # in steps, so that repeats don't pile up
                 hashes, counts = _summed(np.concatenate([hashes, *[p[0] for p in parts]]), np.concatenate([counts, *[p[1] for p in parts]]))
                 parts, size = [], 0
-        kept = counts >= (LEAST if key[0] == 2 else 1)
-        levels = int(_levels(counts[kept]).sum())
-        return pd.DataFrame({"kind": [key[0]], "segment": [key[1]], "data": [_packed(hashes[kept], counts[kept])], "n": [len(hashes)], "total": [int(counts.sum())], "levels": [levels]})
+        return hashes, counts
+
+    def total(key: tuple, pdf):
+        import pandas as pd
+
+        words, pairs = (summed(pdf["data"][pdf["kind"] == kind]) for kind in (1, 2))
+        hashes, counts = np.concatenate([words[0], pairs[0]]), np.concatenate([words[1], pairs[1]])
+        bits = 64 + BITS * int(_levels(counts).sum()) // 8 * 8
+        return pd.DataFrame({"segment": [key[0]], "bits": [bits], "filter": [LogFrequencyFilter.segment(hashes, counts, bits)], "words": [_packed(*words)], "n": [len(words[0])], "total": [int(words[1].sum())]})
 
     shares = texts.select(utf8(text).alias("value")).mapInArrow(local, "kind int, segment int, data binary")
-    return shares.groupBy("kind", "segment").applyInPandas(total, "kind int, segment int, data binary, n long, total long, levels long")
+    return shares.groupBy("segment").applyInPandas(total, "segment int, bits long, filter binary, words binary, n long, total long")
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
@@ -217,7 +230,7 @@ class LogFrequencyFilter:
 
 
 class Model(NamedTuple):
-    """A trained model: its table (``segment``, ``kind`` 0 filter or 1 exact counts of words, ``bits``, ``data``), tokens and distinct words."""
+    """A trained model: its table (``segment``, ``bits``, ``filter``, exact counts of ``words``), tokens, distinct words, segments."""
 
     table: DataFrame
     tokens: int
@@ -239,21 +252,9 @@ def segments_for(df: DataFrame, text: str = "text") -> int:
 
 def trained(texts: DataFrame, segments: int, text: str = "text") -> Model:
     """The model of all ``texts``; a segment of its filter has BITS for each level of its entries."""
-    shares = written(counted(texts, text, segments), "lm-counts")
-    stats = {r["kind"]: r for r in shares.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
-    tokens, distinct = (stats[1]["total"], stats[1]["n"]) if 1 in stats else (0, 0)
-
-    def build(key: tuple, pdf):
-        import pandas as pd
-
-        parts = [_unpacked(d) for d in pdf["data"]]
-        hashes, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        bits = 64 + BITS * int(pdf["levels"].sum()) // 8 * 8
-        return pd.DataFrame({"segment": [key[0]], "kind": [0], "bits": [bits], "data": [LogFrequencyFilter.segment(hashes, counts, bits)]})
-
-    filled = shares.groupBy("segment").applyInPandas(build, "segment int, kind int, bits long, data binary")
-    words = shares.filter("kind = 1").select("segment", "kind", F.lit(0).cast("long").alias("bits"), "data")
-    return Model(written(filled.unionByName(words), "lm-model"), tokens, distinct, segments)
+    table = written(counted(texts, text, segments), "lm-model")
+    sums = table.agg(F.sum("total"), F.sum("n")).first()
+    return Model(table.select("segment", "bits", "filter", "words"), sums[0] or 0, sums[1] or 0, segments)
 
 
 def _previous(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -356,21 +357,18 @@ def _answered(blocks: DataFrame, model: Model) -> DataFrame:
                 cut = []
                 for hashes in (np.sort(words), np.unique(pairs)):
                     at = np.searchsorted(segment_of(hashes, segments), np.arange(segments + 1))
-                    cut.append([hashes[a:b].astype("<u8").tobytes() for a, b in zip(at[:-1], at[1:])])
+                    cut.append([_squeezed(hashes[a:b]) for a, b in zip(at[:-1], at[1:])])
                 yield pa.RecordBatch.from_pylist([{"segment": k, "block": block, "words": w, "pairs": p} for k, (w, p) in enumerate(zip(*cut)) if w or p], schema=asks)
 
     def answer(asked, held):
         import pandas as pd
 
         known, filled = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), LogFrequencyFilter(np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64))
-        for kind, bits, data in zip(held["kind"], held["bits"], held["data"]):
-            if kind:
-                known = _unpacked(data)
-            else:
-                filled = LogFrequencyFilter(np.frombuffer(data, np.uint8), np.zeros(1, np.int64), np.array([bits]))
+        for bits, data, words in zip(held["bits"], held["filter"], held["words"]):
+            known, filled = _unpacked(words), LogFrequencyFilter(np.frombuffer(data, np.uint8), np.zeros(1, np.int64), np.array([bits]))
         exact, levels = [], []
         for at in range(0, len(asked), 64):  # some blocks' questions at once
-            words, pairs = ([np.frombuffer(x, "<u8") for x in asked[c].iloc[at : at + 64]] for c in ("words", "pairs"))
+            words, pairs = ([_spread(x) for x in asked[c].iloc[at : at + 64]] for c in ("words", "pairs"))
             flat = np.concatenate(words)
             place = np.minimum(np.searchsorted(known[0], flat), max(0, len(known[0]) - 1))
             counts = np.where(known[0][place] == flat, known[1][place], 0) if len(known[0]) else np.zeros(len(flat), np.int64)
