@@ -1,6 +1,6 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A text is read as overlapping windows of words. Each word enters as the sum of a hashed word vector and hashed vectors
+A text is read as overlapping windows of words, of which long ones are cut into overlapping pieces. Each word enters as the sum of a hashed word vector and hashed vectors
 of its character trigrams, so that spelling variants share what is learnt. A gated recurrent layer runs over the window
 in either direction, attention weighs its states, and a logistic unit scores the pooled state. A text's score is the
 highest among its windows, since one passage makes a text toxic; it is calibrated on the training labels.
@@ -25,6 +25,8 @@ from lectern.llm.common import map_column, utf8, written
 #: Labelled rows of each class that training reads at most.
 SAMPLE = 1200
 WINDOW, STRIDE = 32, 24
+#: Bytes of a word at most, and how far apart the pieces of longer ones begin.
+LONG, STEP = 64, 48
 #: Vectors for words and for character trigrams, their length, and the states in each direction.
 WORDS, GRAMS, INPUT, STATES = 1 << 14, 1 << 13, 8, 8
 #: Rounds of choosing windows, steps in each, their rate, and the share of that rate at which vectors move.
@@ -39,12 +41,20 @@ FIELDS = "score double, predicted int"
 _STRIP = b".,;:!?\"'()[]{}<>|*#$%&"
 
 
+def words_of(text: bytes) -> list[bytes]:
+    """The words between ASCII white space; one of over LONG bytes is cut into overlapping pieces, each a word of its own."""
+    words = text.split()
+    if len(text) <= LONG or max(map(len, words), default=0) <= LONG:
+        return words
+    return [w[k : k + LONG] for w in words for k in range(0, max(1, len(w) - LONG + STEP), STEP)]
+
+
 def word_features(word: bytes) -> tuple[int, list[int]]:
     """A word's slot and its trigrams' slots, after lower-casing A-Z and dropping punctuation at the ends."""
     from xxhash import xxh32_intdigest
 
     core = word.lower().strip(_STRIP) or word
-    marked = b"^" + core[:64] + b"$"
+    marked = b"^" + core + b"$"
     return xxh32_intdigest(core) % WORDS, [xxh32_intdigest(marked[k : k + 3], 7) % GRAMS for k in range(max(1, len(marked) - 2))]
 
 
@@ -193,7 +203,7 @@ def train(texts: list[bytes], labels: list[int], prior: float | None = None, see
         net.w["bias"] = np.array([np.log(prior / (1 - prior)), 1, 0], np.float32)
         return net
     number: dict[bytes, int] = {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in t.split()] or [number.setdefault(b"", len(number))], np.int64) for t in texts]
+    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)] or [number.setdefault(b"", len(number))], np.int64) for t in texts]
     features = [word_features(w) for w in number]
     slots = np.array([a for a, _ in features])
     sizes = np.array([len(b) for _, b in features])
@@ -315,7 +325,7 @@ class Scorer:
         held: list[tuple[int, list[bytes]]] = []
         many = 0
         for k, text in enumerate(texts):
-            words = text.split()
+            words = words_of(text)
             for at in range(0, max(1, len(words) - WINDOW + STRIDE), STRIDE * BATCH):  # a very long text in parts
                 part = words[at : at + STRIDE * (BATCH - 1) + WINDOW]
                 held.append((k, part))

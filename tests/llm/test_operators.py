@@ -266,6 +266,22 @@ def test_toxicity_learns_held_out(spark, odd):
     assert toxicity.Scorer(constant.dumps()).score([b"x", b""]).max() < 0.3
 
 
+def test_toxicity_reads_long_words_whole():
+    rng = random.Random(12)
+    texts, labels = [], []
+    for k in range(240):
+        t = rng.choices([f"n{x}" for x in range(400)], k=90)
+        if k % 3 == 0:
+            t[40:40] = t[80:80] = ["vile", "rotten"]
+        texts.append(("\u00a0", "_", "\u200b")[k % 7 % 3].join(t).encode())  # one word for the whole text
+        labels.append(int(k % 3 == 0))
+    net = toxicity.train(texts[:160], labels[:160])
+    score = toxicity.Scorer(net.dumps()).score(texts[160:])
+    assert ((score >= toxicity.THRESHOLD) == np.array(labels[160:], bool)).mean() > 0.9
+    long = bytes(range(33, 127)) * 3
+    assert {long[k : k + 3] for k in range(len(long) - 2)} == {w[k : k + 3] for w in toxicity.words_of(long) for k in range(len(w) - 2)}
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(0)
     net = toxicity.Network.fresh(1)
