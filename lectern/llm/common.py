@@ -41,6 +41,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discarded(table: DataFrame) -> None:
+    """Removes the files of a table that ``written`` gave and that nothing reads any more (an iteration's last round)."""
+    files = table.inputFiles()
+    if files:
+        from py4j.java_gateway import java_import
+
+        jvm = table.sparkSession.sparkContext._jvm
+        java_import(jvm, "org.apache.hadoop.fs.Path")
+        folder = jvm.Path(files[0]).getParent()
+        folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def utf8(column: Column | str) -> Column:
     """The text's UTF-8 bytes, null as none."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import free_name, map_column, utf8, written
+from lectern.llm.common import discarded, free_name, map_column, utf8, written
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints in one tree at most; larger shards are dealt again.
@@ -96,11 +96,16 @@ def forest(values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return root, key[order], child[order]
 
 
-def links(values: np.ndarray, root: np.ndarray, key: np.ndarray, child: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of positions within the radius in the same tree, each searched value against the nodes its search visits."""
+def links(values: np.ndarray, root: np.ndarray, key: np.ndarray, child: np.ndarray, radius: int, asked: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions within the radius in the same tree, each searched value against the nodes its search visits.
+
+    Without ``asked`` all positions are searched and a pair is given once; otherwise those alone, against all others.
+    """
     step = max(1, FRONTIER // 64)
-    for begin in range(0, len(values), step):
-        stack = [(np.arange(begin, min(begin + step, len(values))), root[begin : begin + step])]
+    searched = np.arange(len(values)) if asked is None else asked
+    for begin in range(0, len(searched), step):
+        some = searched[begin : begin + step]
+        stack = [(some, root[some])]
         while stack:
             query, node = stack.pop()
             if len(query) > FRONTIER:
@@ -108,7 +113,7 @@ def links(values: np.ndarray, root: np.ndarray, key: np.ndarray, child: np.ndarr
                 stack += [(query[:half], node[:half]), (query[half:], node[half:])]
                 continue
             d = distance(values[query], values[node])
-            near = (d <= radius) & (query > node)
+            near = (d <= radius) & (query > node if asked is None else query != node)
             if near.any():
                 yield query[near], node[near]
             low = np.searchsorted(key, node * 128 + np.maximum(d - radius, 0))
@@ -120,20 +125,26 @@ def links(values: np.ndarray, root: np.ndarray, key: np.ndarray, child: np.ndarr
                 stack.append((np.repeat(query, many), child[np.repeat(low - (ends - many), many) + np.arange(total)]))
 
 
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (the smallest position that each is connected with) after the pairs (a, b) are connected too."""
+    while len(a):
+        la, lb = label[a], label[b]
+        differ = la != lb
+        a, b, la, lb = a[differ], b[differ], la[differ], lb[differ]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while True:
+            next_label = label[label]
+            if (next_label == label).all():
+                break
+            label = next_label
+    return label
+
+
 def joined(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The smallest position that each of ``n`` positions is connected with."""
     label = np.arange(n)
     for a, b in pairs:
-        while len(a):
-            la, lb = label[a], label[b]
-            differ = la != lb
-            a, b, la, lb = a[differ], b[differ], la[differ], lb[differ]
-            np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-            while True:
-                next_label = label[label]
-                if (next_label == label).all():
-                    break
-                label = next_label
+        label = merged(label, a, b)
     return label
 
 
@@ -223,7 +234,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("hub"), "m")
         small = large.join(least, large["a"] == least["hub"]).select("a", "b", "m")
         small = small.select(F.explode(F.array(F.struct(*ends(F.col("b"), F.col("m"))), F.struct(*ends(F.col("a"), F.col("m"))))).alias("e")).select("e.*")
-        e = written(small.filter("a <> b").distinct(), name)
+        old, e = e, written(small.filter("a <> b").distinct(), name)
+        discarded(old)
 
 
 def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE, radius: int = RADIUS, tree: int = TREE) -> DataFrame:

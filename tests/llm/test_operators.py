@@ -160,8 +160,38 @@ def test_near_copies_keep_one_of_each_group(spark):
                 a, b = label[i], label[j]
                 label = {k: min(a, b) if x in (a, b) else x for k, x in label.items()}
     assert kept == sorted(set(label.values()))
-    parts = nearcopies.without_copies(table, tree=8)
-    assert parts.columns == table.columns and set(kept) <= {r["doc_id"] for r in parts.collect()}
+    parts = nearcopies.without_copies(table, tree=8, family=3000)  # nearly every group is dealt into parts
+    assert parts.columns == table.columns and sorted(r["doc_id"] for r in parts.collect()) == kept
+    assert nearcopies.without_copies(table.limit(0)).count() == 0
+
+
+def test_families_between_the_bounds(spark):
+    """A template's texts are alike in 0.7 to 0.79; only some pairs among them are copies, and none may be lost."""
+    rng = random.Random(8)
+    base = [f"t{k}" for k in range(200)]
+    texts = []
+    for k in range(60):
+        c = list(base)
+        for at in rng.sample(range(200), 4):
+            c[at] = f"own{k}"
+        texts.append(c)
+        if k % 4 == 0:
+            c = list(c)
+            c[rng.randrange(200)] = "again"
+            texts.append(c)
+    texts = [" ".join(t) for t in texts]
+    rng.shuffle(texts)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(nearcopies.shingles(t.encode()).tolist()) for t in texts]
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    for options in ({}, {"tree": 20, "family": 4000}):
+        got = sorted(r["doc_id"] for r in nearcopies.without_copies(table, **options).collect())
+        assert got == sorted(set(label)) and 20 < len(got) < len(texts)
 
 
 def test_mixing_meets_targets(spark, odd):
