@@ -7,9 +7,11 @@ each document the operator measures, over its whole text,
 * ``chars_per_token``: code points of its words by tokens, each word split as it stands after a space;
 * ``byte_share``: the share of those tokens that fall back to bytes (they hold part of a character only);
 * ``token_entropy``: entropy in bits of the document's own token distribution;
-* ``entropy_ratio``: that entropy by the most that this many tokens allow (1 for fewer than two tokens);
+* ``entropy_ratio``: that entropy by the most that this many tokens, or MOST_TOKENS if there are more, allow (1 for fewer
+  than two tokens): a long text's entropy levels off, and its length alone must not count against it;
 
-and compares them with bands that depend on the language, or on the script where the language is unknown.
+and compares them with bands that depend on the language, or on the script (of most letters, by Unicode's property) where
+the language is unknown or the text is in another script.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from lectern.llm.common import SPACES, map_column
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Code points that count as symbols.
 SYMBOLS = "#*$%&|<>"
+#: Tokens beyond which a text's entropy is compared with the same most.
+MOST_TOKENS = 4096
 #: Words whose split is remembered in a worker; beyond that the memory starts anew.
 REMEMBERED = 1_000_000
 
@@ -43,20 +47,41 @@ class Band(NamedTuple):
     least_tokens: int = 50
 
 
-#: By language, then by script; ``other`` for what neither names.
+#: By language, then by script; ``none`` for texts without letters, ``other`` for scripts that aren't listed. The lower
+#: limits of scripts are about half of what clean prose in them measures with VOCABULARY.
 BANDS = {
     "en": Band((1.80, 12.0), 0.10, 0.35),
     "de": Band((1.80, 12.0), 0.10, 0.35),
     "fr": Band((1.70, 12.0), 0.10, 0.35),
     "es": Band((1.70, 12.0), 0.10, 0.35),
     "latin": Band((1.60, 12.0), 0.15, 0.35),
-    "cyrillic": Band((1.2, 12.0), 0.25, 0.35),
-    "greek": Band((0.8, 12.0), 0.50, 0.35),
-    "cjk": Band((0.3, 6.0), 0.90, 0.30),
-    "other": Band((0.2, 14.0), 1.0, 0.30),
+    "none": Band((1.60, 12.0), 0.15, 0.35),
+    "cyrillic": Band((1.0, 12.0), 0.35, 0.35),
+    "greek": Band((0.7, 12.0), 0.75, 0.35),
+    "arabic": Band((0.7, 12.0), 0.75, 0.35),
+    "hebrew": Band((0.7, 12.0), 0.75, 0.35),
+    "han": Band((0.3, 6.0), 1.0, 0.30),
+    "kana": Band((0.3, 6.0), 1.0, 0.30),
+    "hangul": Band((0.3, 6.0), 1.0, 0.30),
+    "devanagari": Band((0.35, 12.0), 1.0, 0.20),
+    "thai": Band((0.4, 12.0), 1.0, 0.25),
+    "other": Band((0.2, 14.0), 1.0, 0.15),
 }
-#: First code point, last code point, name.
-SCRIPTS = ((0x41, 0x24F, "latin"), (0x370, 0x3FF, "greek"), (0x400, 0x52F, "cyrillic"), (0x3040, 0x30FF, "cjk"), (0x3400, 0x9FFF, "cjk"), (0xAC00, 0xD7AF, "cjk"))
+#: Names of scripts, and the Unicode scripts whose letters count for each. Letters of any other script are ``other``.
+SCRIPTS = {
+    "latin": ("Latin",),
+    "greek": ("Greek",),
+    "cyrillic": ("Cyrillic",),
+    "arabic": ("Arabic",),
+    "hebrew": ("Hebrew",),
+    "han": ("Han",),
+    "kana": ("Hiragana", "Katakana"),
+    "hangul": ("Hangul",),
+    "devanagari": ("Devanagari",),
+    "thai": ("Thai",),
+}
+#: Code points whose scripts are looked up; letters beyond (none so far) are ``other``.
+POINTS = 0x32000
 
 FIELDS = """n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long,
     chars_per_token double, byte_share double, token_entropy double, entropy_ratio double, script string"""
@@ -102,16 +127,30 @@ def duplicate_lines(text: str) -> int:
     return found
 
 
+_SCRIPT_OF: list[np.ndarray] = []
+
+
+def script_numbers() -> np.ndarray:
+    """For each code point below POINTS: 0 if it is no letter, 1 plus the place in SCRIPTS, or one more for other letters."""
+    if not _SCRIPT_OF:
+        import regex
+
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, POINTS)]))
+        table = np.zeros(POINTS, np.uint8)
+        for number, pattern in [(len(SCRIPTS) + 1, r"\p{L}+")] + [(k + 1, "(?V1)[[" + "".join(rf"\p{{Script={n}}}" for n in names) + r"]&&\p{L}]+") for k, names in enumerate(SCRIPTS.values())]:
+            for found in regex.finditer(pattern, every):
+                table[[ord(c) for c in found[0]]] = number
+        _SCRIPT_OF.append(table)
+    return _SCRIPT_OF[0]
+
+
 def main_script(text: str) -> str:
-    """The script with most of the letters; ``other`` where none of SCRIPTS has any."""
+    """The script with most of the letters (of equal ones the first in SCRIPTS, then ``other``); ``none`` without letters."""
     if text.isascii():
-        return "latin" if any(c.isalpha() for c in text) else "other"
+        return "latin" if any(map(str.isalpha, text)) else "none"
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    counts: dict[str, int] = {}
-    for first, last, name in SCRIPTS:
-        counts[name] = counts.get(name, 0) + int(((points >= first) & (points <= last)).sum())
-    best = max(counts, key=lambda k: counts[k])
-    return best if counts[best] else "other"
+    counts = np.bincount(script_numbers()[points[points < POINTS]], minlength=len(SCRIPTS) + 2)[1:]
+    return [*SCRIPTS, "other"][int(counts.argmax())] if counts.any() else "none"
 
 
 class Splitter:
@@ -164,7 +203,7 @@ class Splitter:
             chars / n if n else 0.0,
             float(times[self.is_byte[ids]].sum() / n) if n else 0.0,
             entropy,
-            entropy / math.log2(n) if n > 1 else 1.0,
+            entropy / math.log2(min(n, MOST_TOKENS)) if n > 1 else 1.0,
             main_script(text),
         )
 
@@ -206,11 +245,11 @@ def in_band(lang: Column | None, bands: dict[str, Band] = BANDS) -> Column:
             & (F.col("entropy_ratio") >= band.entropy_ratio)
         )
 
-    scripts = {name for *_, name in SCRIPTS}
+    scripts = {*SCRIPTS, "none"}
     script = F.col("script")
     tests = [(script == name, inside(bands[name])) for name in sorted(scripts) if name in bands]
-    if lang is not None:  # a language's band is for its own (Latin) script
-        tests = [((lang == name) & (script == "latin"), inside(band)) for name, band in bands.items() if name not in scripts | {"other"}] + tests
+    if lang is not None:  # a language's band is for its own (Latin) script, and for texts of no letters at all
+        tests = [((lang == name) & script.isin("latin", "none"), inside(band)) for name, band in bands.items() if name not in scripts | {"other"}] + tests
     out = inside(bands["other"])
     for condition, verdict in reversed(tests):
         out = F.when(condition, verdict).otherwise(out)

@@ -102,6 +102,41 @@ def test_fertility_base_counts(spark, odd):
     assert fertility.judged(docs(spark, []).drop("lang")).count() == 0
 
 
+PROSE = {
+    "cyrillic": "Мой дедушка каждое утро выходил в сад и долго смотрел на старые яблони [1], которые посадил ещё его отец.",
+    "greek": "Κάθε πρωί ο παππούς μου έβγαινε στον κήπο και κοιτούσε για ώρα τις παλιές μηλιές | που είχε φυτέψει ο πατέρας του.",
+    "arabic": "كان جدي يخرج كل صباح إلى «الحديقة» وينظر طويلا إلى أشجار التفاح القديمة [التي] زرعها والده.",
+    "hebrew": "סבא שלי היה יוצא כל בוקר לגינה ומביט זמן רב בעצי התפוח הישנים | שאביו נטע.",
+    "devanagari": "मेरे दादाजी हर सुबह बगीचे में जाते थे और उन पुराने सेब के पेड़ों को देर तक देखते थे [१] जो उनके पिता ने लगाए थे।",
+    "thai": "คุณปู่ของฉัน ออกไปที่สวนทุกเช้า และมองดูต้นแอปเปิลเก่า_ที่พ่อของเขาปลูกไว้ เป็นเวลานาน",
+    "han": "我爷爷 每天早上 都会去花园，久久地 看着他父亲 种下的 老苹果树。",
+    "kana": "そふは まいあさ にわに でて、ちちが うえた ふるい りんごの きを ながめていました。",
+    "hangul": "할아버지는 매일 아침 정원에 나가 아버지가 심은 오래된 사과나무를 오랫동안 바라보셨다.",
+    "other": "ბაბუაჩემი ყოველ დილით გადიოდა ბაღში და დიდხანს უყურებდა ძველ ვაშლის ხეებს, რომლებიც მამამისმა დარგო.",
+    "latin": "Mój dziadek każdego ranka wychodził do ogrodu i długo patrzył na stare jabłonie, które zasadził jego ojciec.",
+    "none": "123 4567 890 12 3456 78 90",
+}
+
+
+def test_fertility_bands_by_script(spark):
+    assert {name: fertility.main_script(text) for name, text in PROSE.items()} == {name: name for name in PROSE}
+    rng, rows = random.Random(4), []
+    for name, text in PROSE.items():
+        for k, n in enumerate((60, 8000)):
+            body = " ".join(w + rng.choice([text[j] for j in range(len(text)) if text[j].isalnum()]) for w in rng.choices(text.split(), k=n))  # not in repeated windows
+            rows.append((len(rows), body, name, None if k else "xx"))
+    noise = " ".join("".join(rng.choices("#*$%&|<>{}~^", k=5)) for _ in range(80))
+    rows += [(len(rows), noise, "noise", lang) for lang in ("en", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, name string, lang string")
+    out = fertility.judged(table).collect()
+    assert {r["name"] for r in out if not r["kept"]} == {"noise"} and sum(not r["kept"] for r in out) == 2
+    for r in out:  # the verdict by the stated bands, plainly
+        band = fertility.BANDS["en" if r["lang"] == "en" and r["script"] in ("latin", "none") else r["script"]]
+        low, high = band.chars_per_token
+        good = r["n_tokens"] < band.least_tokens or (low <= r["chars_per_token"] <= high and r["byte_share"] <= band.byte_share and r["entropy_ratio"] >= band.entropy_ratio)
+        assert r["kept"] == (good and not r["base_failed"])
+
+
 def brute_components(fps, radius):
     label = list(range(len(fps)))
     for i in range(len(fps)):
