@@ -5,23 +5,28 @@ graph's edges (personalised PageRank), and distrust from hosts whose urls they b
 blocked host is suspect. Each host's two scores are compared, and a url without a rule takes its host's verdict.
 
 Edges are links between hosts, weighted by how many of a host's links go there, and edges both ways between each host
-and the nearest known host it is a subdomain of, and the domain of its last two labels: a site vouches for its
-subdomains. Links to the host itself tell nothing and are left out.
+and the nearest known host it is a subdomain of, and its site (the last two labels, or three below suffixes such as
+``co.uk``): a site vouches for its subdomains. Links to the host itself tell nothing and are left out.
 """
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import free_name, written
+from lectern.llm.common import discarded, free_name, written
 
 #: Rules of the registered query: verdict, host and path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Share of a score that flows on, rounds at most, and the change of all scores at which rounds end.
-DAMPING, ROUNDS, ERROR = 0.85, 20, 1e-3
+#: Share of a score that flows on, and the change of all scores at which rounds end.
+DAMPING, ERROR = 0.85, 1e-3
+#: Labels below which two-letter top domains register names, as far as one more label makes the site.
+SHARED = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
+#: Characters of a name at most, as DNS has it; longer ones have no hosts above them.
+LONGEST = 253
 #: A host is blocked if its distrust, less its trust, exceeds this share of the mean score.
 THRESHOLD = 0.0
 #: Rules that one expression may hold; they are broadcast with the plan.
@@ -79,25 +84,42 @@ def link_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return found.select("a", host(full).alias("b")).filter("a <> b and a <> '' and b <> ''").groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
+def name_of(host: Column) -> Column:
+    """A host without user and port; addresses of four numbers have no name (null), nor has what exceeds DNS."""
+    name = F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":\d*$", "")
+    return F.when((F.length(name) <= LONGEST) & ~F.regexp_like(name, F.lit(r"^\d+\.\d+\.\d+\.\d+$")), name)
+
+
+def site(name: Column) -> Column:
+    """The last two labels, or three below a shared suffix of a two-letter top domain."""
+    labels = F.split(name, r"\.")
+    deep = (F.length(F.element_at(labels, -1)) == 2) & F.try_element_at(labels, F.lit(-2)).isin(*SHARED)
+    return F.when(deep, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+
+
 def site_edges(hosts: DataFrame) -> DataFrame:
-    """From each host to the nearest known host it is a subdomain of and to its last two labels' domain, and back."""
-    labels = F.split("host", r"\.")
-    above = F.transform(F.sequence(F.lit(2), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    up = hosts.filter(F.instr("host", ".") > 0).select(F.col("host").alias("a"), F.posexplode(above).alias("far", "b"))
+    """From each host to the nearest known host above its name and to its site, and back.
+
+    The bare name is above a host with user or port. A name has 127 labels at most, so a host looks for that many.
+    """
+    named = hosts.select(F.col("host").alias("a"), name_of(F.col("host")).alias("name")).filter("name is not null")
+    labels = F.split("name", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    up = named.select("a", F.posexplode(above).alias("far", "b")).filter("a <> b")
     up = up.join(hosts.select(F.col("host").alias("b")), "b", "left_semi").groupBy("a").agg(F.min_by("b", "far").alias("b"))
-    siblings = hosts.filter(F.instr("host", ".") > 0).select(F.col("host").alias("a"), F.substring_index("host", ".", -2).alias("b"))
-    pairs = up.unionByName(siblings).filter("a <> b").distinct()
+    pairs = up.unionByName(named.filter(F.instr("name", ".") > 0).select("a", site(F.col("name")).alias("b"))).filter("a <> b").distinct()
     return pairs.union(pairs.select("b", "a")).select("a", "b", F.lit(1.0).alias("weight")).distinct()
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, error: float = ERROR) -> DataFrame:
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, error: float = ERROR) -> DataFrame:
     """``host, trust, distrust`` of every host in ``edges`` (a, b, weight) or ``seeds`` (host, trust, distrust).
 
     Seeds' scores are scaled to sum to 1 each, if any is positive. Per round, a host passes the damped share of its
     score along its edges by weight (trust forward, distrust backward); the rest, and what hosts without such edges
     hold, returns to the seeds. One round is one join on the sending host and one sum by the receiving host, both for
     trust and distrust at once; it is written, so that the plan stays short. Sums are combined before the shuffle, and
-    a host with very many edges is a skewed join key, which adaptive execution splits.
+    a host with very many edges is a skewed join key, which adaptive execution splits. Each round shrinks the change by
+    ``damping`` at least, so it falls to ``error`` after a number of rounds that the two fix.
     """
     out = edges.groupBy("a").agg(F.sum("weight").alias("all"))
     into = edges.groupBy("b").agg(F.sum("weight").alias("all"))
@@ -109,12 +131,16 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rou
     start = seeds.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), scaled("trust").alias("seed")), F.struct(F.lit("distrust").alias("kind"), scaled("distrust").alias("seed")))).alias("s")).select("host", "s.kind", "s.seed")
     start = written(start.filter("seed > 0"), "rank-seeds")
     scores = start.select("host", "kind", F.col("seed").alias("score"))
-    for _ in range(rounds):
+    last = None
+    for _ in range(math.ceil(math.log(error / 4) / math.log(damping)) + 1):  # two kinds, each changes by 2 at most
         sent = flow.join(scores.select(F.col("host").alias("sender"), "kind", "score"), ["kind", "sender"]).select("kind", "host", (F.col("share") * F.col("score") * damping).alias("score"), F.lit(0.0).alias("seed"), F.lit(0.0).alias("before"))
         seeded = start.select("kind", "host", F.lit(0.0).alias("score"), "seed", F.lit(0.0).alias("before"))
         old = scores.select("kind", "host", F.lit(0.0).alias("score"), F.lit(0.0).alias("seed"), F.col("score").alias("before"))
         summed = sent.unionByName(seeded).unionByName(old).groupBy("kind", "host").agg(F.sum("score").alias("flown"), F.sum("seed").alias("seed"), F.sum("before").alias("before"))
         summed = written(summed, "rank-round")
+        if last is not None:
+            discarded(last)
+        last = summed
         left = {r["kind"]: 1.0 - r["flown"] for r in summed.groupBy("kind").agg(F.sum("flown").alias("flown")).collect()}
         back = F.when(F.col("kind") == "trust", F.lit(left.get("trust", 0.0))).otherwise(F.lit(left.get("distrust", 0.0)))
         now = summed.select("host", "kind", (F.col("flown") + back * F.col("seed")).alias("score"), "before")
@@ -136,7 +162,7 @@ def judged(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "h
     """
     results = {"host", "path", "rule", "verdict", "trust", "distrust"}
     kept = [c for c in (pages.columns if keep is None else keep) if c.lower() not in results]
-    held = free_name(pages, "rule_found")
+    held, of, trusted, distrusted = (free_name(pages.select(*[F.col(f"`{c}`") for c in kept], *[F.lit(0).alias(r) for r in sorted(results)]), stem) for stem in ("rule_found", "of_host", "of_trust", "of_distrust"))
     parts = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).select(host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "html")
     found = parts.withColumn("found", rule_for(F.col("host"), F.col("path"), rules))
     by_host = found.filter("host <> ''").groupBy("host").agg(
@@ -146,12 +172,12 @@ def judged(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "h
     edges = link_edges(found).unionByName(site_edges(by_host.select("host"))).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
     scores = propagated(written(edges, "rank-graph"), by_host)
     mean = 1.0 / max(1, by_host.count())
-    verdicts = scores.select(F.col("host").alias("of_host"), F.col("trust").alias("of_trust"), F.col("distrust").alias("of_distrust"))
+    verdicts = scores.select(F.col("host").alias(of), F.col("trust").alias(trusted), F.col("distrust").alias(distrusted))
     out = pages.select(*[F.col(f"`{c}`") for c in kept], host(F.col(url)).alias("host"), path(F.col(url)).alias("path")).withColumn(held, rule_for(F.col("host"), F.col("path"), rules))
-    out = out.join(verdicts, out["host"] == verdicts["of_host"], "left")
-    suspect = F.coalesce(F.col("of_distrust") - F.col("of_trust"), F.lit(0.0)) > threshold * mean
+    out = out.join(verdicts, out["host"] == verdicts[of], "left")
+    suspect = F.coalesce(F.col(distrusted) - F.col(trusted), F.lit(0.0)) > threshold * mean
     verdict = F.coalesce(F.col(f"{held}.verdict"), F.when(suspect, "block").otherwise("allow"))
     return out.select(
         *[F.col(f"`{c}`") for c in kept], "host", "path", F.col(f"{held}.text").alias("rule"), verdict.alias("verdict"),
-        F.coalesce("of_trust", F.lit(0.0)).alias("trust"), F.coalesce("of_distrust", F.lit(0.0)).alias("distrust"),
+        F.coalesce(trusted, F.lit(0.0)).alias("trust"), F.coalesce(distrusted, F.lit(0.0)).alias("distrust"),
     )

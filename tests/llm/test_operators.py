@@ -413,7 +413,7 @@ def test_link_rank(spark):
     assert (out[4]["host"], out[4]["path"], out[4]["verdict"]) == ("", "", "allow") and out[5]["host"] == ""
     assert out[6]["rule"] == "bad.net/spam" and out[7]["rule"] is None
     edges, seeds = {("a", "b"): 2.0, ("a", "c"): 1.0, ("b", "c"): 1.0, ("c", "a"): 1.0}, {"a": (1.0, 0.0), "c": (0.0, 1.0)}
-    got = linkrank.propagated(spark.createDataFrame([(*k, w) for k, w in edges.items()], "a string, b string, weight double"), spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, trust double, distrust double"), rounds=60, error=1e-10)
+    got = linkrank.propagated(spark.createDataFrame([(*k, w) for k, w in edges.items()], "a string, b string, weight double"), spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, trust double, distrust double"), error=1e-10)
     t = d = None
     for which in (0, 1):
         score = {h: s[which] for h, s in seeds.items() if s[which]}
@@ -430,6 +430,80 @@ def test_link_rank(spark):
         assert (r["trust"], r["distrust"]) == (pytest.approx(t[r["host"]], abs=1e-6), pytest.approx(d[r["host"]], abs=1e-6))
 
 
+def test_verdicts_against_brute_force(spark):
+    """Pages that link to each other's hosts; every score and verdict from the stated rules, plainly."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    hosts = [f"h{k}.site{k % 5}.org" for k in range(14)] + ["site1.org", "a.co.uk", "b.co.uk", "x.a.co.uk:80", "10.0.0.1", "11.0.0.1", "me@site2.org", "Q.net", "deep.Q.net", ".".join(["l"] * 90)]
+    rows = []
+    for k in range(120):
+        links = "".join(f"<A HREF='http://{rng.choice(hosts)}/p{k}'>" for _ in range(rng.randrange(4)))
+        rows.append((k, f"http://{rng.choice(hosts)}/{rng.choice(['good', 'bad', 'other'])}/{k}", links if k % 7 else None, "old"))
+    rows += [(120, "http://h1.site1.org/" + "x" * 100_000, None, "old"), (121, None, None, None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, of_trust string").withColumns({"rule_found": F.lit(1), "of_distrust": F.lit(2), "OF_HOST": F.lit(3)})
+    rules = [linkrank.Rule("allow", "org/good"), linkrank.Rule("block", "site2.org/bad"), linkrank.Rule("block", "net/bad"), linkrank.Rule("allow", "co.uk/good")]
+    out = {r["page_id"]: r for r in linkrank.judged(table, rules).collect()}
+    assert len(out) == len(rows) and set(table.columns) <= set(linkrank.judged(table, rules).columns)
+
+    def parts(url):
+        rest = url.split("://", 1)[1]
+        host, slash, path = rest.partition("/")
+        return host.lower(), slash + path
+
+    def rule_of(host, path):
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fits, key=lambda r: len(r.text), default=None)
+
+    pages = {k: parts(u) for k, u, _, _ in rows if u}
+    of = {k: rule_of(*p) for k, p in pages.items()}
+    known = {h for h, _ in pages.values()}
+    edges = Counter()
+    for k, u, html, _ in rows:
+        for target in (html or "").split("HREF='")[1:]:
+            a, b = pages[k][0], parts(target.split("'")[0])[0]
+            if a != b:
+                edges[a, b] += 1
+    near = set()
+    for h in known:
+        name = h.split("@")[-1].split(":")[0]
+        if name[0].isdigit():
+            continue
+        labels = name.split(".")
+        above = [".".join(labels[k:]) for k in range(len(labels))]
+        up = next((x for x in above if x != h and x in known), None)
+        site = ".".join(labels[-3:] if name.endswith(".co.uk") else labels[-2:])
+        near |= {(h, x) for x in (up, site) if x and x != h}
+    for a, b in near | {(b, a) for a, b in near}:
+        edges[a, b] += 1
+    score = {}
+    for kind, flow in (("allow", edges), ("block", {(b, a): w for (a, b), w in edges.items()})):
+        seed = {h: sum(of[k] is not None and of[k].verdict == kind for k in pages if pages[k][0] == h) / sum(p[0] == h for p in pages.values()) for h in known}
+        total = sum(seed.values())
+        seed = {h: s / total for h, s in seed.items()}
+        out_of = Counter()
+        for (a, _), w in flow.items():
+            out_of[a] += w
+        now = dict(seed)
+        for _ in range(300):
+            new = Counter()
+            for (a, b), w in flow.items():
+                new[b] += 0.85 * now.get(a, 0) * w / out_of[a]
+            rest = 1 - sum(new.values())
+            for h, s in seed.items():
+                new[h] += rest * s
+            now = new
+        score[kind] = now
+    for k, (host, path) in pages.items():
+        trust, distrust = score["allow"].get(host, 0), score["block"].get(host, 0)
+        assert (out[k]["host"], out[k]["path"]) == (host, path)
+        assert (out[k]["trust"], out[k]["distrust"]) == (pytest.approx(trust, abs=2e-3), pytest.approx(distrust, abs=2e-3))
+        if of[k] or abs(trust - distrust) > 4e-3:
+            assert out[k]["verdict"] == (of[k].verdict if of[k] else "block" if distrust > trust else "allow")
+    assert {r["verdict"] for r in out.values() if r["rule"] is None} == {"allow", "block"}
+    assert linkrank.judged(table.limit(0), rules).count() == 0
+
+
 def test_transcripts(spark, monkeypatch):
     rows = [(1, k, f"{'User' if k % 2 == 0 else 'Assistant'}: line {k}{'?' if k % 2 == 0 else ''}") for k in range(23)]
     rows += [(2, 0, "System: be brief"), (2, 1, "Speaker 1: hi"), (2, 2, None), (2, 2, None), (None, None, ""), (None, 1, "User: x")]
