@@ -3,11 +3,14 @@
 Texts are cut into pieces, pieces not seen before are merged together: the symbols of all of them lie in one flat
 array, and each round looks every neighbouring pair up by binary search in the sorted pair keys, finds the lowest
 rank within each piece and merges all of that pair's occurrences there. Pieces without a known pair leave the array.
+A piece takes as many rounds as ranks occur in it, so unbroken runs of over LONG bytes don't go in rounds: their pairs,
+looked up in the same way, wait in a heap by rank and place.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Callable
 
@@ -22,8 +25,8 @@ from lectern.llm.common import map_column
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces whose ids are remembered in a worker; beyond that the memory starts anew.
 REMEMBERED = 800_000
-#: Bytes merged in one batch of rounds.
-BATCH = 4_000_000
+#: Bytes merged in one batch of rounds, and bytes of a piece that is merged in rounds at most.
+BATCH, LONG = 4_000_000, 512
 
 FIELDS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NONE = np.int64(2**40)
@@ -68,9 +71,50 @@ class Vocabulary:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
+        self.rank_of: dict[int, int] = {}
+
+    def _ranks(self, keys: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.ranks[at], _NONE)
+
+    def merge_long(self, piece: bytes) -> bytes:
+        """The ids of one piece: the pair of lowest rank is merged, of equal ones the first, until none is known."""
+        packed = self.of_byte[np.frombuffer(piece, np.uint8)]
+        symbols, n = packed.tolist(), len(piece)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        ranks = self._ranks(packed[:-1] << 32 | packed[1:])
+        known = np.flatnonzero(ranks != _NONE)
+        heap = (ranks[known] << 32 | known).tolist()
+        heapq.heapify(heap)
+        if not self.rank_of:
+            self.rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist()))
+        rank_of, merged, push, pop = self.rank_of.get, self.merged.tolist() if heap else [], heapq.heappush, heapq.heappop
+        while heap:
+            entry = pop(heap)
+            k = entry & 0xFFFFFFFF
+            j = after[k]
+            if symbols[k] < 0 or j >= n or rank_of(symbols[k] << 32 | symbols[j]) != entry >> 32:
+                continue  # one of the two has been merged since
+            symbols[k], symbols[j] = merged[entry >> 32], -1
+            j = after[k] = after[j]
+            if j < n:
+                before[j] = k
+                rank = rank_of(symbols[k] << 32 | symbols[j])
+                if rank is not None:
+                    push(heap, rank << 32 | k)
+            i = before[k]
+            if i >= 0:
+                rank = rank_of(symbols[i] << 32 | symbols[k])
+                if rank is not None:
+                    push(heap, rank << 32 | i)
+        left = np.array(symbols, np.int64)
+        return left[left >= 0].astype("<u4").tobytes()
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece (none of them empty), as little-endian unsigned 32-bit integers."""
+        if any(len(p) > LONG for p in pieces):
+            short = iter(self.merge([p for p in pieces if len(p) <= LONG]))
+            return [self.merge_long(p) if len(p) > LONG else next(short) for p in pieces]
         out = [b""] * len(pieces)
         symbols = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
         owner = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
@@ -78,9 +122,7 @@ class Vocabulary:
             # Ranks of the pair that begins at each symbol; none at a piece's last symbol.
             pair = np.full(len(symbols), _NONE)
             inside = np.flatnonzero(owner[1:] == owner[:-1])
-            keys = symbols[inside] << 32 | symbols[inside + 1]
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            pair[inside] = np.where(self.keys[at] == keys, self.ranks[at], _NONE)
+            pair[inside] = self._ranks(symbols[inside] << 32 | symbols[inside + 1])
             first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             lowest = np.minimum.reduceat(pair, first)
             done = lowest == _NONE

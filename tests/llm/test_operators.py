@@ -46,6 +46,25 @@ def test_bpe_is_the_library(spark, odd):
     assert bpe.digests(docs(spark, [])).count() == 0
 
 
+def test_bpe_of_long_runs_is_the_library():
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own, words = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), bpe.vocabulary()
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    some = ["".join(rng.choices(letters, k=n)) for n in (511, 512, 513, 4000)]
+    some += ["".join(rng.choices(letters + letters.upper() + "0123456789+/=", k=20_000)), "a" * 5001, "ab" * 3000, "日本語の長い文" * 400, "-" * 1000 + "=" * 999, "x " + " " * 900 + "y"]
+    for text in some:
+        assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == own.encode(text, add_special_tokens=False).ids, text[:20]
+    start = time.time()
+    long = "".join(rng.choices(letters, k=1_000_000))
+    assert np.frombuffer(words.encode([long])[0], "<u4").tolist() == own.encode(long, add_special_tokens=False).ids
+    assert time.time() - start < 90
+
+
 def test_token_files(spark, odd):
     import public_tokenizers
     from tokenizers import Tokenizer
