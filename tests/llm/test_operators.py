@@ -416,8 +416,9 @@ def test_nearest_is_exact_on_small_tables(spark):
     v[7], v[8], v[9], v[10], v[11] = None, [0.0] * 12, [float("nan")] * 12, [1.0] * 5, [None, *[1.0] * 11]
     for k in range(100, 220):
         v[k] = v[100]  # a frequent vector
-    table = spark.createDataFrame([(k, x, "z") for k, x in enumerate(v)], "vec_id long, embedding array<double>, score string")
-    rows = ann.nearest(table, F.col("vec_id") % 50 == 0).collect()
+    rows = [(k, x, "z") for k, x in enumerate(v)] + [(50, v[50], "again")] * 9 + [(None, v[3], "z")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    rows = ann.nearest(table, F.col("vec_id") % 50 == 0, recall=1.0).collect()
     good = [k for k in range(400) if k not in (7, 8, 9, 10, 11)]
     unit = {k: np.array(v[k]) / np.linalg.norm(v[k]) for k in good}
     for q in range(0, 400, 50):
@@ -430,6 +431,31 @@ def test_nearest_is_exact_on_small_tables(spark):
     assert ann.nearest(table.filter("vec_id = 8"), F.lit(True)).count() == 0
 
 
+def test_nearest_of_many(spark, monkeypatch):
+    """Most of the nearest are found although few lists are visited and few vectors compared; shards and blocks are cut."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 24))
+    v = (centres[rng.integers(0, 40, 4000)] + 0.3 * rng.normal(size=(4000, 24))).astype(np.float32)
+    table = spark.createDataFrame([(k, x) for k, x in enumerate(v.tolist())], "vec_id long, embedding array<float>")
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    index = ann.fit(u, ann.lists_for(4000))
+    assert len(index.centroids) == 63 and index.visits < 20
+    for shard, block in ((ann.SHARD, ann.BLOCK), (50, 7)):
+        monkeypatch.setattr(ann, "SHARD", shard)
+        monkeypatch.setattr(ann, "BLOCK", block)
+        rows = ann.nearest(table, F.col("vec_id") % 50 == 0).collect()
+        found = 0
+        for q in range(0, 4000, 50):
+            likeness = u @ u[q]
+            likeness[q] = -2
+            mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in rows if r["query_id"] == q)
+            assert [m[0] for m in mine] == [1, 2, 3, 4, 5] and [m[2] for m in mine] == pytest.approx([likeness[m[1]] for m in mine])
+            found += len({m[1] for m in mine} & set(np.argsort(-likeness)[:5].tolist()))
+        assert found >= 0.95 * 80 * 5
+
+
 def test_link_rank(spark):
     page = lambda *links: "".join(f'<a href="{u}">x</a>' for u in links)
     rows = [
