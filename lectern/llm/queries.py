@@ -77,6 +77,6 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_transcript_roles")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
+    turns = transcript.marked(table(spark, sf_dir, "conversations"))
     model = transcript.trained(turns.filter(crc_fold("conv_id", 4) != 2))
-    return transcript.parsed(turns, model)
+    return transcript.recovered(turns, model)

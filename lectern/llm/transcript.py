@@ -1,6 +1,6 @@
 """Chat formatting: who says what in a transcript, by a hidden Markov model, and its canonical rendering.
 
-The hidden states are roles. A line (one row: a turn, or a line of a raw transcript) is observed through its speaker
+The hidden states are roles. A line of a transcript (``lines`` gives a row for each) is observed through its speaker
 marker ("User:", "[Assistant]", "Speaker 2:"), its length, whether it asks, and whether it looks like a list or code.
 Start, transition and emission probabilities are smoothed counts over labelled lines, taken in Spark; without labels
 the pseudo-counts alone remain, which tie markers to roles and let user and assistant alternate.
@@ -75,18 +75,21 @@ def _pseudo() -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     return start, move, emit
 
 
-def trained(lines: DataFrame, conversation: str = "conv_id", position: str = "turn", text: str = "text", role: str = "role") -> Model:
-    """The model of labelled lines: counts of roles, of pairs of successive lines (numbered in sequence), of features.
+def trained(turns: DataFrame, conversation: str = "conv_id", position: str = "turn", text: str = "text", role: str = "role") -> Model:
+    """The model of labelled turns (numbered in sequence): counts of roles, of pairs of successive lines, of lines' features.
 
     Roles beside ROLES, and null ones, are left out. Only counts reach the driver: at most roles times features' values.
     """
     start, move, emit = _pseudo()
     number = {r: k for k, r in enumerate(ROLES)}
-    known = lines.select(F.col(conversation).alias("c"), F.col(position).cast("long").alias("p"), F.lower(role).alias("r"), *[f.alias(f"f{k}") for k, f in enumerate(features(F.col(text)))])
+    known = turns.select(F.col(conversation).alias("c"), F.col(position).cast("long").alias("p"), F.lower(role).alias("r"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"))
     known = known.filter(F.col("r").isin(*ROLES))
+    observed = known.select("r", F.explode("lines").alias("line")).select("r", *[f.alias(f"f{k}") for k, f in enumerate(features(F.col("line")))])
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"f{k}").alias("v")) for k in range(len(SIZES))])).alias("f")
-    for r in known.select("r", pairs).groupBy("r", "f.k", "f.v").count().collect():
+    for r in observed.select("r", pairs).groupBy("r", "f.k", "f.v").count().collect():
         emit[r["k"]][number[r["r"]], r["v"]] += r["count"]
+    for r in known.groupBy("r").agg(F.sum(F.size("lines") - 1).alias("n")).collect():
+        move[number[r["r"]], number[r["r"]]] += r["n"]
     after = known.select("c", (F.col("p") - 1).alias("p"), F.col("r").alias("s"))
     for r in known.select("c", "p", "r").join(after, ["c", "p"]).groupBy("r", "s").count().collect():
         move[number[r["r"]], number[r["s"]]] += r["count"]
@@ -246,3 +249,37 @@ def parsed(lines: DataFrame, model: Model, conversation: str = "conv_id", positi
 def lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The lines of raw transcripts: ``doc_id, position, text``; a null text has none."""
     return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("position", "text"))
+
+
+#: Ways to mark who speaks, for the roles in order.
+STYLES = (
+    ("System: ", "User: ", "Assistant: ", "Tool: "),
+    ("[System] ", "[Human] ", "[AI] ", "[Function] "),
+    ("**System:** ", "**Customer:** ", "**Agent:** ", "**Tool:** "),
+    ("### Instructions: ", "### Question: ", "### Answer: ", "### Observation: "),
+    ("<system> ", "<user> ", "<bot> ", "<tool> "),
+    ("", "Speaker 1: ", "Speaker 2: ", ""),
+)
+#: One turn in so many bears no marker.
+BARE = 5
+
+
+def marked(turns: DataFrame, conversation: str = "conv_id", position: str = "turn", text: str = "text", role: str = "role") -> DataFrame:
+    """``turns`` as their raw transcript has them: each text after its speaker's marker.
+
+    A conversation keeps to one style, chosen by a hash of its id; turns without a known role, and one in BARE by a
+    hash of id and number, stand bare.
+    """
+    style = F.pmod(F.xxhash64(F.col(conversation), F.lit("style")), F.lit(len(STYLES)))
+    at = F.array_position(F.array(*map(F.lit, ROLES)), F.lower(role))
+    mark = F.try_element_at(F.try_element_at(F.array(*[F.array(*map(F.lit, s)) for s in STYLES]), (style + 1).cast("int")), F.nullif(at, F.lit(0)).cast("int"))
+    bare = F.pmod(F.xxhash64(F.col(conversation), F.col(position), F.lit("bare")), F.lit(BARE)) == 0
+    return turns.withColumn(text, F.concat(F.when(bare, F.lit("")).otherwise(F.coalesce(mark, F.lit(""))), F.coalesce(F.col(text), F.lit(""))))
+
+
+def recovered(turns: DataFrame, model: Model, conversation: str = "conv_id", position: str = "turn", text: str = "text") -> DataFrame:
+    """``parsed`` for every line of ``turns``, whose texts may hold several: with ``position`` (of the turn) and ``line``."""
+    each = turns.select(F.col(conversation).alias("c"), F.col(position).cast("long").alias("p"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "text"))
+    each = each.select("c", (F.shiftleft("p", 32) + F.col("line")).alias("place"), "text")
+    out = parsed(each, model, "c", "place", "text")
+    return out.select(F.col("c").alias(conversation), F.shiftright("place", 32).alias(position), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("line"), "role", "starts_turn", "ends_turn", "rendered")

@@ -586,3 +586,54 @@ def test_transcripts(spark, monkeypatch):
     assert sorted(map(key, transcript.parsed(table, model).collect())) == sorted(map(key, whole))
     assert transcript.parsed(table.limit(0), model).count() == 0
     assert transcript.lines(spark.createDataFrame([(1, "a\nb"), (2, None)], "doc_id long, text string")).count() == 2
+
+
+def test_viterbi_against_all_paths():
+    from itertools import product
+
+    rng = np.random.default_rng(1)
+    n = len(transcript.ROLES)
+    share = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
+    for length in (1, 2, 3, 6, 7):
+        model = transcript.Model(share(rng.random(n)), share(rng.random((n, n))), ())
+        emitted = np.log(rng.random((length, n)))
+
+        def value(path, model=model, emitted=emitted):
+            return model.start[path[0]] + sum(model.move[a, b] for a, b in zip(path, path[1:])) + sum(emitted[k, r] for k, r in enumerate(path))
+
+        best = max(product(range(n), repeat=length), key=value)
+        assert tuple(transcript.viterbi(model, emitted)) == best
+        m = transcript.transfer(model, emitted)
+        for first, last in product(range(n), repeat=2):
+            paths = [p for p in product(range(n), repeat=length) if p[0] == first and p[-1] == last]
+            want = max((value(p) - model.start[first] for p in paths), default=-np.inf)
+            assert m[first, last] == pytest.approx(want)
+            if paths:
+                assert tuple(transcript.viterbi(model, emitted, first, last)) == max(paths, key=value)
+
+
+def test_roles_of_raw_transcripts(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for c in range(60):
+        for t in range(rng.randrange(2, 9)):
+            role = "system" if t == 0 and c % 3 == 0 else ("user", "assistant")[(t + (c % 3 == 0)) % 2]
+            n = 1 if role == "user" else rng.randrange(1, 5)
+            rows.append((c, t, role, "\n".join(" ".join(rng.choices("abc def ghij klmno".split(), k=5 if role == "user" else 40)) for _ in range(n)), "x"))
+    rows += [(None, None, None, None, "x"), (99, 0, "narrator", "", "x")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, line string")
+    raw = transcript.marked(table)
+    assert raw.columns == table.columns and raw.count() == len(rows)
+    model = transcript.trained(raw.filter("conv_id < 40"))
+    found = transcript.recovered(raw, model).collect()
+    role = {(c, t): r for c, t, r, _, _ in rows}
+    assert len(found) == sum((t or "").count("\n") + 1 for *_, t, _ in rows)
+    held = [r for r in found if r["conv_id"] is not None and 40 <= r["conv_id"] < 60]
+    assert sum(r["role"] == role[r["conv_id"], r["turn"]] for r in held) >= 0.95 * len(held)
+    one = sorted((r for r in found if r["conv_id"] == 41), key=lambda r: (r["turn"], r["line"]))
+    text = "".join(r["rendered"] for r in one)
+    assert text.count("<|end|>") == sum(r["starts_turn"] for r in one) == sum(r["ends_turn"] for r in one) and "User:" not in text
+    monkeypatch.setattr(transcript, "BLOCK", 3)
+    key = lambda r: str((r["conv_id"], r["turn"], r["line"], r["role"], r["rendered"]))
+    assert sorted(map(key, transcript.recovered(raw, model).collect())) == sorted(map(key, found))
+    assert transcript.recovered(raw.limit(0), model).count() == 0
