@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,11 +36,35 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written to the shared folder: computed once, its lineage cut, safe from lost executors."""
+#: What has been written since the innermost ``scratch`` began.
+_SCRATCH: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
+
+
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """``df`` as a table written to the shared folder: computed once, its lineage cut, safe from lost executors.
+
+    Within ``scratch`` it is removed at the end, unless it is ``lasting``.
+    """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    held = _SCRATCH.get()
+    if held is not None and not lasting:
+        held.append(table)
+    return table
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes the tables written inside; what goes on from here must rest on lasting ones."""
+    held: list[DataFrame] = []
+    token = _SCRATCH.set(held)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for table in held:
+            discarded(table)
 
 
 def discarded(table: DataFrame) -> None:

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD, discarded, free_name, written
+from lectern.llm.common import WORD, discarded, free_name, scratch, written
 
 #: Weights of the sources in the order of their names' code points, null last, repeating.
 WEIGHTS = (5, 2, 1)
@@ -201,7 +201,8 @@ def taken(docs: DataFrame, text: str = "text", source: str = "source", doc_id: s
     result. Columns of ``docs`` that bear a result's name are replaced.
     """
     names = ("source", "source_size", "target", "multiplier", "scale", "corrections")
-    solved = multipliers(docs, text, source, doc_id, weights, most).select(*names)
+    with scratch():
+        solved = written(multipliers(docs, text, source, doc_id, weights, most).select(*names), "mix-solved", lasting=True)
     of = F.struct(*names)
     held, key, counted = (free_name(docs, stem) for stem in ("mix_of_source", "mix_source", "mix_size"))
     solved = solved.select(F.col("source").alias(key), of.alias(held))

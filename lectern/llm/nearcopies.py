@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import free_name, map_column, utf8, written
+from lectern.llm.common import free_name, map_column, scratch, utf8, written
 from lectern.llm.simhash import TREE, components, forest, links, merged, shingle_hashes, simhash
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -64,8 +64,17 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def packed(found: np.ndarray) -> bytes:
-    """The set by the high 32 bits of its hashes, ascending."""
-    return np.unique((found >> np.uint64(32)).astype("<u4")).tobytes()
+    """The set by the high 32 bits of its hashes: the bytes of ascending hashes' differences in four planes.
+
+    The plane of the highest bytes is nearly all 0, so that tables and shuffles compress it away.
+    """
+    high = np.unique((found >> np.uint64(32)).astype("<u4"))
+    return np.ascontiguousarray(np.diff(high, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -190,7 +199,7 @@ def similar(least: float) -> Search:
         out = label.copy()
         for a, b in zip(*_ranges(group)):
             if b - a > 1:
-                sets = [np.frombuffer(x, "<u4") for x in columns[0].slice(a, b - a).to_pylist()]
+                sets = [unpacked(x) for x in columns[0].slice(a, b - a).to_pylist()]
                 out[a:b] = one(label[a:b] - a, sets) + a
         return out
 
@@ -254,7 +263,7 @@ def linked(members: DataFrame, attributes: DataFrame, search: Search, most: int,
     A group over ``most`` in weight is dealt into parts by a hash of the ids, each with the group's smallest id. Parts
     are searched alone at first; then every id outside the group's largest class so far visits all parts.
     """
-    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("all"), F.min("id").alias("head")).filter("n > 1")
+    sizes = members.groupBy("group").agg(F.min("id").alias("head"), F.max("id").alias("tail"), F.sum("weight").alias("all")).filter("head < tail")
     parts = F.when(F.col("all") <= most, 1).otherwise(F.ceil(2 * F.col("all") / most)).cast("int")
     sizes = written(sizes.select("group", "head", parts.alias("parts")), f"{name}-groups")
     shared = members.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
@@ -274,7 +283,7 @@ def linked(members: DataFrame, attributes: DataFrame, search: Search, most: int,
 
 def copies(sketched: DataFrame, least: float = SIMILARITY, radius: int = RADIUS, tree: int = TREE, family: int = FAMILY) -> DataFrame:
     """``node, root`` of every text but the first in each group of near copies; ``sketched`` holds ``id`` and the sketches."""
-    bands = sketched.select(F.explode("bands").alias("group"), "id", F.lit(1).alias("weight"))
+    bands = sketched.select(F.explode("bands").alias("group"), "id").withColumn("weight", F.lit(1))
     maybe = components(linked(bands, sketched.select("id", "fp", "low"), maybe_similar(radius, least - SLACK), tree, "copies-maybe"), "copies-families")
     both = maybe.select(F.col("root").alias("group"), F.col("node").alias("id")).union(maybe.select("root", "root").distinct())
     weights = sketched.select("id", (F.octet_length("set") / 4 + 64).cast("int").alias("weight"))
@@ -302,15 +311,17 @@ def without_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     empty result; all columns stay as they are.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc"), body.alias("t")).select("doc", "t", row_key(F.col("doc"), F.col("t")).alias("key"), text_key(F.col("t")).alias("of_text"), F.monotonically_increasing_id().alias("id"))
-    rows = written(sketches(rows, "t", ["doc", "key", "of_text", "id"], width), "copies-rows")
-    order = F.struct(F.col("doc").isNull().alias("unknown"), "doc", "key", "id")
-    classes = written(rows.groupBy("of_text").agg(F.min(order).alias("first")).select("first.*"), "copies-classes")
-    sketched = rows.select("id", "fp", "bands", "low", "set").join(classes.select("id"), "id", "left_semi")
-    groups = copies(sketched, least, tree=tree, family=family)
-    rooted = classes.join(groups, classes["id"] == groups["node"], "left").select("unknown", "doc", "key", F.coalesce("root", "id").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min(F.struct("unknown", "doc", "key")).alias("first")).select(F.col("first.key").alias("kept"))
-    of_key = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(kept, F.col("key") == F.col("kept"), "left_semi"), "copies-kept")
+    with scratch():
+        rows = docs.select(F.col(doc_id).alias("doc"), body.alias("t")).select("doc", "t", row_key(F.col("doc"), F.col("t")).alias("key"), text_key(F.col("t")).alias("of_text"), F.monotonically_increasing_id().alias("id"))
+        rows = written(sketches(rows, "t", ["doc", "key", "of_text", "id"], width), "copies-rows")
+        order = F.struct(F.col("doc").isNull().alias("unknown"), "doc", "key", "id")
+        classes = written(rows.groupBy("of_text").agg(F.min(order).alias("first")).select("first.*"), "copies-classes")
+        sketched = rows.select("id", "fp", "bands", "low", "set").join(classes.select("id"), "id", "left_semi")
+        groups = copies(sketched, least, tree=tree, family=family)
+        rooted = classes.join(groups, classes["id"] == groups["node"], "left").select("unknown", "doc", "key", F.coalesce("root", "id").alias("root"))
+        kept = rooted.groupBy("root").agg(F.min(F.struct("unknown", "doc", "key")).alias("first")).select(F.col("first.key").alias("kept"))
+        of_key = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(kept, F.col("key") == F.col("kept"), "left_semi")
+        of_key = written(of_key, "copies-kept", lasting=True)
     key = free_name(docs, "row_key")
     keyed = docs.withColumn(key, row_key(F.col(doc_id), body))
     out = keyed.join(of_key.filter("n = 1").select(F.col("key").alias(key)), key, "left_semi")
