@@ -2,10 +2,14 @@
 
 An index is an ordinary table of postings (document, column, position, term) with the documents' lengths. A search is
 built from the classes below and evaluates to DataFrames: the documents that match, and for each phrase its instances.
+
+A stored index lies in folders by bucket of the term's first two letters, so that a search for a term, or for a prefix of
+two letters or more, reads the buckets it needs alone; in a bucket, files are in order of their terms.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -18,36 +22,63 @@ from lectern.functions.text import tokens
 K1, B = 1.2, 0.75
 
 
+#: Buckets of a stored index, and letters that a term's bucket depends on.
+BUCKETS, LETTERS = 64, 2
+
+
 @dataclass(frozen=True)
 class Index:
-    """``postings`` (doc, col, pos, term) and ``lengths`` (doc, dl): every document, also those without a token."""
+    """``postings`` (doc, col, pos, term) and ``lengths`` (doc, dl): every document, also those without a token.
+
+    Where ``buckets`` is set, postings have their ``bucket`` too.
+    """
 
     postings: DataFrame
     lengths: DataFrame
+    buckets: int | None = None
 
     @classmethod
     def of(cls, texts: DataFrame, key: str, columns: list[str], tokenize: Callable[[Column], Column] = tokens) -> Index:
-        rows = texts.select(F.col(key).alias("doc"), *[tokenize(F.col(c)).alias(c) for c in columns])
-        parts = [rows.select("doc", F.lit(c).alias("col"), F.posexplode(c).alias("pos", "term")) for c in columns]
-        size = sum((F.size(F.coalesce(c, F.array().cast("array<string>"))) for c in columns), F.lit(0))
-        return cls(reduce(DataFrame.unionByName, parts), rows.select("doc", size.cast("long").alias("dl")))
-
-    def write(self, path: str, buckets: int = 64) -> None:
-        """Postings by bucket of their term, so that a search reads the buckets of its terms alone."""
-        bucket = (F.crc32(F.col("term").cast("binary")) % buckets).cast("int")
-        self.postings.withColumn("bucket", bucket).repartition("bucket", "doc").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        """The index of ``texts``; a row's columns are tokenised at once, and each of its tokens becomes a posting."""
+        rows = texts.select(F.col(key).alias("doc"), F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.coalesce(c, F.lit("")).alias("text")) for c in columns])).alias("of"))
+        rows = rows.select("doc", "of.col", tokenize(F.col("of.text")).alias("terms"))
+        return cls(rows.select("doc", "col", F.posexplode("terms").alias("pos", "term")), rows.groupBy("doc").agg(F.sum(F.size("terms")).alias("dl")))
+
+    def write(self, path: str, buckets: int = BUCKETS) -> None:
+        """Postings by bucket of their term; a bucket's documents are dealt into as many files as there are partitions for it."""
+        shares = -(-int(self.postings.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets)
+        rows = self._bucketed(buckets).postings.withColumn("share", F.pmod(F.xxhash64("doc"), F.lit(shares)))
+        rows = rows.repartition("bucket", "share").drop("share").sortWithinPartitions("bucket", "term", "doc", "pos")
+        rows.write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+        stored = self.postings.sparkSession.read.parquet(f"{path}/postings")
+        counted = stored.groupBy("doc").agg(F.count(F.lit(1)).alias("held"))
+        lengths = self.lengths.select("doc").join(counted, "doc", "left").select("doc", F.coalesce("held", F.lit(0)).alias("dl"))
+        lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
     @classmethod
-    def read(cls, spark, path: str) -> Index:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+    def read(cls, spark, path: str, buckets: int = BUCKETS) -> Index:
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), buckets)
+
+    def _bucketed(self, buckets: int | None) -> Index:
+        if buckets is None or buckets == self.buckets:
+            return self
+        head = F.substring("term", 1, LETTERS).cast("binary")
+        return Index(self.postings.withColumn("bucket", (F.crc32(head) % buckets).cast("int")), self.lengths, buckets)
+
+    def of_terms(self, terms: list[str], prefix: bool = False) -> DataFrame:
+        """The postings among which all of ``terms`` are (the last one begun only, with ``prefix``)."""
+        if self.buckets is None or prefix and len(terms[-1]) < LETTERS:
+            return self.postings
+        return self.postings.filter(F.col("bucket").isin(sorted({zlib.crc32(t[:LETTERS].encode()) % self.buckets for t in terms})))
 
     def without(self, changed: DataFrame) -> Index:
         """The index less the documents in ``changed`` (doc)."""
-        return Index(self.postings.join(changed, "doc", "left_anti"), self.lengths.join(changed, "doc", "left_anti"))
+        return Index(self.postings.join(changed, "doc", "left_anti"), self.lengths.join(changed, "doc", "left_anti"), self.buckets)
 
     def plus(self, other: Index) -> Index:
-        return Index(self.postings.unionByName(other.postings, allowMissingColumns=True), self.lengths.unionByName(other.lengths))
+        added = other._bucketed(self.buckets)
+        columns = ["doc", "col", "pos", "term"] + (["bucket"] if self.buckets else [])
+        return Index(self.postings.select(*columns).unionByName(added.postings.select(*columns)), self.lengths.unionByName(added.lengths), self.buckets)
 
 
 class Query:
@@ -81,7 +112,9 @@ class Phrase(Query):
 
     def instances(self, index: Index) -> DataFrame:
         """``doc, col, pos`` of each instance's first term."""
-        found = index.postings if self.column is None else index.postings.filter(F.col("col") == self.column)
+        found = index.of_terms(list(self.terms), self.prefix)
+        if self.column is not None:
+            found = found.filter(F.col("col") == self.column)
         last = len(self.terms) - 1
         fits = [F.col("term").startswith(t) if self.prefix and k == last else F.col("term") == t for k, t in enumerate(self.terms)]
         at = F.array_compact(F.array(*[F.when(f, F.lit(k)) for k, f in enumerate(fits)]))

@@ -40,8 +40,7 @@ def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _canonical(spark, sf_dir).select("folder_name", recordings.body().alias("body"))
-    return chunks.chunked(rows)
+    return demo.chunks(spark, sf_dir)
 
 
 # Relational recipes.
@@ -74,7 +73,7 @@ def daily_volume(spark, sf_dir):
 
 @query("longest", f"WITH {o.REC} SELECT folder_name, datetime_iso, mode_name, round(duration_sec / 60.0, 1) AS min, coalesce(nullif(processed_word_count, 0), raw_word_count) AS words FROM rec WHERE superseded_by IS NULL ORDER BY duration_sec DESC, folder_name LIMIT 10")
 def longest(spark, sf_dir):
-    top = _canonical(spark, sf_dir).orderBy(F.desc("duration_sec"), "folder_name").limit(10)
+    top = _canonical(spark, sf_dir).select("folder_name", "datetime_iso", "mode_name", "duration_sec", "processed_word_count", "raw_word_count").orderBy(F.desc("duration_sec"), "folder_name").limit(10)
     count = F.coalesce(F.nullif(F.col("processed_word_count").cast("long"), F.lit(0).cast("long")), F.col("raw_word_count"))
     return top.select("folder_name", "datetime_iso", "mode_name", F.round(F.col("duration_sec") / 60.0, 1).alias("min"), count.alias("words"))
 
@@ -280,13 +279,8 @@ _TERM = lambda w: f"SELECT doc FROM post WHERE term = '{w}'"
 _TOP = "SELECT folder_name, mode_name, round(bm25, 6) AS bm25 FROM hits JOIN rec ON folder_name = doc WHERE superseded_by IS NULL ORDER BY hits.bm25, folder_name LIMIT 10"
 
 
-def _index(spark, sf_dir):
-    """The row index holds superseded recordings too; they are filtered after scoring."""
-    return search.Index.of(rec(spark, sf_dir), "folder_name", ["raw_transcript", "processed_transcript"])
-
-
 def _keyword(spark, sf_dir, q, most: int = 10):
-    hits = search.bm25(_index(spark, sf_dir), q)
+    hits = search.bm25(demo.index(spark, sf_dir), q)  # of superseded recordings too; they are filtered after scoring
     rows = _canonical(spark, sf_dir).select(F.col("folder_name"), "mode_name")
     top = rows.join(hits, F.col("folder_name") == F.col("doc")).orderBy("bm25", "folder_name").limit(most)
     return top.select("folder_name", "mode_name", F.round("bm25", 6).alias("bm25"))
@@ -333,14 +327,13 @@ _CPOST = o.postings("(SELECT folder_name || '/' || chunk_idx AS doc_key, text FR
 
 @query("kw_chunk_bm25", f"{_CHUNKS}, {_CPOST}, {o.scored(_TERM('loser'), [(o.instances('loser'),) * 2])} SELECT doc, round(bm25, 6) AS bm25 FROM hits ORDER BY hits.bm25, doc LIMIT 20")
 def kw_chunk_bm25(spark, sf_dir):
-    texts = _chunks(spark, sf_dir).select(F.concat_ws("/", "folder_name", F.col("chunk_idx").cast("string")).alias("doc_key"), "text")
-    hits = search.bm25(search.Index.of(texts, "doc_key", ["text"]), search.term("loser"))
+    hits = search.bm25(demo.chunk_index(spark, sf_dir), search.term("loser"))
     return hits.orderBy("bm25", "doc").limit(20).select("doc", F.round("bm25", 6).alias("bm25"))
 
 
 @query("hybrid_rrf", f"WITH {o.REC}, {_POST}, {o.QUERY}, {o.ROWVEC}, {o.scored(_TERM('loser'), [(o.instances('loser'),) * 2])}, kw AS (SELECT doc AS folder_name, row_number() OVER (ORDER BY bm25, doc) AS r FROM (SELECT * FROM hits ORDER BY bm25, doc LIMIT 50)), vec AS (SELECT folder_name, row_number() OVER (ORDER BY d, folder_name) AS r FROM (SELECT folder_name, {_D} AS d FROM rowvec v, q ORDER BY d, folder_name LIMIT 50)) SELECT folder_name, datetime_iso, mode_name, round(coalesce(1.0::DOUBLE / (60 + kw.r), 0) + coalesce(1.0::DOUBLE / (60 + vec.r), 0), 9) AS rrf FROM rec LEFT JOIN kw USING (folder_name) LEFT JOIN vec USING (folder_name) WHERE superseded_by IS NULL AND (kw.r IS NOT NULL OR vec.r IS NOT NULL) ORDER BY rrf DESC, folder_name LIMIT 10")
 def hybrid_rrf(spark, sf_dir):
-    kw = search.bm25(_index(spark, sf_dir), search.term("loser")).orderBy("bm25", "doc").limit(50)
+    kw = search.bm25(demo.index(spark, sf_dir), search.term("loser")).orderBy("bm25", "doc").limit(50)
     kw = vectors.ranked(kw, "bm25", "doc").select(F.col("doc").alias("folder_name"), "r")
     vec = vectors.ranked(vectors.nearest(demo.row_vectors(spark, sf_dir), demo.query_vector(spark, sf_dir), "folder_name", 50), "dist", "folder_name")
     found = vectors.fused(kw, vec, "folder_name").withColumn("rrf", F.round("rrf", 9))
@@ -350,8 +343,8 @@ def hybrid_rrf(spark, sf_dir):
 
 @query("hybrid_rrf_chunk", f"{_CVEC}, {_CPOST}, {o.scored(_TERM('loser'), [(o.instances('loser'),) * 2])}, kw AS (SELECT doc, row_number() OVER (ORDER BY bm25, doc) AS r FROM (SELECT * FROM hits ORDER BY bm25, doc LIMIT 50)), vec AS (SELECT doc, row_number() OVER (ORDER BY d, doc) AS r FROM (SELECT folder_name || '/' || chunk_idx AS doc, {_D} AS d FROM chunkvec v, q ORDER BY d, doc LIMIT 50)) SELECT doc, round(coalesce(1.0::DOUBLE / (60 + kw.r), 0) + coalesce(1.0::DOUBLE / (60 + vec.r), 0), 9) AS rrf FROM kw FULL JOIN vec USING (doc) ORDER BY rrf DESC, doc LIMIT 10")
 def hybrid_rrf_chunk(spark, sf_dir):
-    all_chunks = _chunks(spark, sf_dir).withColumn("doc", F.concat_ws("/", "folder_name", F.col("chunk_idx").cast("string")))
-    kw = search.bm25(search.Index.of(all_chunks, "doc", ["text"]), search.term("loser")).orderBy("bm25", "doc").limit(50)
+    all_chunks = _chunks(spark, sf_dir).withColumn("doc", demo.chunk_key())
+    kw = search.bm25(demo.chunk_index(spark, sf_dir), search.term("loser")).orderBy("bm25", "doc").limit(50)
     near = demo.chunk_vectors(spark, sf_dir, all_chunks).join(all_chunks.select("chunk_id", "doc"), "chunk_id")
     vec = vectors.ranked(vectors.nearest(near, demo.query_vector(spark, sf_dir), "doc", 50), "dist", "doc")
     found = vectors.fused(vectors.ranked(kw, "bm25", "doc"), vec, "doc").withColumn("rrf", F.round("rrf", 9))
@@ -361,8 +354,7 @@ def hybrid_rrf_chunk(spark, sf_dir):
 @query("kw_porter")
 def kw_porter(spark, sf_dir):
     """Stemmed search; no SQL twin, since SQL has no stemmer. Tested against SQLite's full-text search."""
-    index = search.Index.of(rec(spark, sf_dir), "folder_name", ["raw_transcript", "processed_transcript"], words.porter_tokens)
-    return search.bm25(index, search.term(words.stem("disgusting"))).select(F.col("doc").alias("folder_name"), F.round("bm25", 6).alias("bm25"))
+    return search.bm25(demo.index(spark, sf_dir, stemmed=True), search.term(words.stem("disgusting"))).select(F.col("doc").alias("folder_name"), F.round("bm25", 6).alias("bm25"))
 
 
 @query("kw_snippet")

@@ -1,13 +1,20 @@
-"""The recording tables that the registered queries run on, derived from the driver's tables by fixed expressions."""
+"""The archive that the registered queries run on, derived from the driver's tables by fixed expressions.
+
+As in any archive, recordings with their derived columns, chunks and keyword indexes are stored tables: the first query of
+a session that needs one has it written, and all read it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.text import token_count
-from lectern.operators.recordings import with_derived
+from lectern.functions.text import porter_tokens, token_count, tokens
+from lectern.operators.chunks import chunked
+from lectern.operators.recordings import body, canonical, with_derived
+from lectern.operators.search import Index
 from lectern.operators.supersede import superseded
+from lectern.sources.stored import spread, stored, stored_path
 
 APPS = ("Cursor", "Zoom", "Slack", "Notes")
 
@@ -18,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One recording for each document, as a source would give it."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     k = F.col("doc_id")
     at = F.timestamp_seconds(F.lit(1704067200) + k * 37 * 60)
     app = F.lit(None).cast("string")
@@ -43,7 +50,30 @@ def raw_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings with derived columns, and who supersedes whom among equal audio."""
-    return superseded(with_derived(raw_recordings(spark, sf_dir)))
+    return stored(spark, f"{sf_dir}/recording", lambda: superseded(with_derived(raw_recordings(spark, sf_dir))))
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of the canonical recordings."""
+    rows = lambda: canonical(recordings(spark, sf_dir)).select("folder_name", body().alias("body"))
+    return stored(spark, f"{sf_dir}/recording_chunk", lambda: chunked(spread(rows())))
+
+
+def index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> Index:
+    """The keyword index of all recordings, superseded ones too."""
+    rows = lambda: spread(recordings(spark, sf_dir).select("folder_name", "raw_transcript", "processed_transcript"))
+    made = lambda: Index.of(rows(), "folder_name", ["raw_transcript", "processed_transcript"], porter_tokens if stemmed else tokens)
+    return Index.read(spark, stored_path(spark, f"{sf_dir}/recording_{'stem' if stemmed else 'word'}_index", lambda path: made().write(path)))
+
+
+def chunk_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The keyword index of the chunks, each known by its recording and number."""
+    texts = lambda: spread(chunks(spark, sf_dir).select(chunk_key().alias("doc"), "text"))
+    return Index.read(spark, stored_path(spark, f"{sf_dir}/chunk_word_index", lambda path: Index.of(texts(), "doc", ["text"]).write(path)))
+
+
+def chunk_key() -> Column:
+    return F.concat_ws("/", "folder_name", F.col("chunk_idx").cast("string"))
 
 
 def row_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,11 @@ def test_matches_and_scores_agree_with_sqlite(corpus, match, query):
 def test_index_can_be_kept_up(spark, corpus, tmp_path):
     _, index = corpus
     index.write(f"file://{tmp_path}/index", buckets=4)
-    stored = search.Index.read(spark, f"file://{tmp_path}/index")
+    stored = search.Index.read(spark, f"file://{tmp_path}/index", buckets=4)
+    for query in (t("queue"), t("que", prefix=True), search.Phrase((stem("corporate"), stem("group")))):
+        assert {tuple(r) for r in search.bm25(stored, query).collect()} == {tuple(r) for r in search.bm25(index, query).collect()}
+        plan = query.instances(stored)._jdf.queryExecution().toString()
+        assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
     gone = spark.createDataFrame([(k,) for k in range(25)], "doc long")
     added = search.Index.of(spark.createDataFrame([(99, "queue", None)], "id long, a string, b string"), "id", ["a", "b"], porter_tokens)
     got = {r["doc"] for r in search.bm25(stored.without(gone).plus(added), t("queue")).collect()}
