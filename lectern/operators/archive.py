@@ -1,27 +1,35 @@
-"""The archive: append-only tables on shared storage, written as whole versions, and what an ingest does to them.
+"""The archive: append-only tables on shared storage, and what an ingest does to them.
 
-A table's version is a folder of Parquet files; the state file names the current version of each table and holds the
-bookmarks. It is replaced as a whole, last; so an ingest that fails changes nothing, and one that is run again repeats
-no effect. Rows are never deleted.
+Each table is cut into buckets by a hash of the folder name. The state file names the version of each bucket (a folder
+of Parquet files) and holds the bookmarks; an ingest writes new versions of those buckets alone in which a row changed.
+The state file is replaced as a whole, last; so an ingest that fails changes nothing, and one that is run again repeats
+no effect. Rows are never deleted; versions that no state names any more are removed by ``vacuum``.
+
+Marks (deletions, audio, supersedence) are decided on the few columns that they depend on; texts are read only in the
+buckets that are written.
 """
 
 from __future__ import annotations
 
 import json
 import logging
-import os
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow.fs import FileSelector, FileSystem, FileType
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import sql as functions
+from lectern.functions.text import porter_tokens
 from lectern.operators.chunks import Strategy, chunked
 from lectern.operators.recordings import body, parsed_time, with_derived
+from lectern.operators.search import Index
 from lectern.operators.supersede import superseded
 from lectern.operators.vectors import centroids, embedded
 from lectern.sources import folders, sqlite
@@ -37,13 +45,32 @@ RECORDING = (
     "audio_hash string, superseded_by string, superseded_at string"
 )
 CHUNK = "folder_name string, chunk_idx int, text string, start_word int, end_word int, word_count int, chunk_id long, body_hash string"
-SCHEMAS = {"recording": RECORDING, "recording_vec": "folder_name string, embedding array<float>", "recording_chunk": CHUNK, "recording_chunk_vec": "chunk_id long, folder_name string, embedding array<float>"}
+_POSTINGS = "folder_name string, doc string, col string, pos int, term string"
+SCHEMAS = {
+    "recording": RECORDING,
+    "recording_vec": "folder_name string, embedding array<float>",
+    "recording_chunk": CHUNK,
+    "recording_chunk_vec": "chunk_id long, folder_name string, embedding array<float>",
+    # Keyword indexes of recordings and of chunks: postings, in order of their terms, and the documents' lengths.
+    "recording_fts": _POSTINGS,
+    "recording_fts_docs": "folder_name string, doc string, dl long",
+    "recording_chunk_fts": _POSTINGS,
+    "recording_chunk_fts_docs": "folder_name string, doc string, dl long",
+}
 KEPT_ON_UPDATE = ("recording_id_hex", "source_deleted_at", "source_audio_lost_at", "embed_model", "embed_dim", "embed_text_hash", "audio_hash", "superseded_by", "superseded_at")
 FILLED_ON_UPDATE = ("language", "app_name", "app_category")
+#: What an ingest may change in rows that the source doesn't bring anew.
+MARKS = ("has_audio", "source_deleted_at", "source_audio_lost_at", "audio_hash", "superseded_by", "superseded_at")
+#: Buckets of a new archive's tables.
+BUCKETS = 64
 
 Embedder = Callable[[list[str]], list[np.ndarray]]
 
 
+def columns_of(table: str) -> list[str]:
+    return [c.split()[0] for c in SCHEMAS[table].split(", ")]
+
+
 @dataclass
 class Outcome:
     fast_path: bool = False
@@ -53,6 +80,7 @@ class Outcome:
     source_deletions: int = 0
     audio_changes: int = 0
     model_switched: bool = False
+    buckets_written: int = 0
     seconds: float = 0.0
 
 
@@ -63,43 +91,107 @@ class Archive:
     state: dict = field(default_factory=dict)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, readonly: bool = False) -> Archive:
-        at = os.path.join(path, "state.json")
-        if os.path.exists(at):
-            with open(at, encoding="utf-8") as file:
-                return cls(spark, path, json.load(file))
-        if readonly:
+    def open(cls, spark: SparkSession, path: str, readonly: bool = False, buckets: int = BUCKETS, dims: int = 1024) -> Archive:
+        """The archive at ``path`` (local, or a URI that Arrow's file systems know); a new one is begun unless ``readonly``."""
+        archive = cls(spark, path.rstrip("/"))
+        fs, at = archive._file("state.json")
+        if fs.get_file_info(at).type == FileType.File:
+            with fs.open_input_stream(at) as file:
+                archive.state = json.loads(file.read())
+        elif readonly:
             raise FileNotFoundError(f"no archive at {path}")
-        os.makedirs(path, exist_ok=True)
-        return cls(spark, path, {"tables": {}, "config": {"data_version": str(len(UPDATERS))}})
-
-    def table(self, name: str) -> DataFrame:
-        version = self.state["tables"].get(name)
-        if version is None:
+        else:
+            fs.create_dir(archive._file("")[1], recursive=True)
+            archive.state = {"tables": {}, "config": {"buckets": str(buckets)}}
+        config = archive.state["config"]
+        config.setdefault("embed_dim", str(dims))
+        if not archive.state["tables"].get("recording"):  # nothing yet that updates or migrations could change
+            config.setdefault("data_version", str(latest(UPDATERS)))
+            config.setdefault("schema_version", str(latest(MIGRATIONS)))
+        return archive
+
+    def _file(self, name: str) -> tuple[FileSystem, str]:
+        fs, top = FileSystem.from_uri(self.path)
+        return fs, f"{top.rstrip('/')}/{name}".rstrip("/")
+
+    @property
+    def buckets(self) -> int:
+        return int(self.state["config"]["buckets"])
+
+    def bucket(self, folder: Column | str = "folder_name") -> Column:
+        return F.pmod(F.crc32((F.col(folder) if isinstance(folder, str) else folder).cast("binary")), F.lit(self.buckets)).cast("int")
+
+    def table(self, name: str, buckets: list[int] | None = None, staged: bool = False) -> DataFrame:
+        """A table, or some of its buckets; with ``staged`` as it will be after the next commit."""
+        versions = dict(self.state["tables"].get(name, {})) | (self.state.get("staged", {}).get(name, {}) if staged else {})
+        chosen = [f"{self.path}/{name}/{v}/bucket={b}" for b, v in sorted(versions.items()) if v and (buckets is None or int(b) in buckets)]
+        if not chosen:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(os.path.join(self.path, name, version))
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*chosen)
 
-    def staged(self, name: str, rows: DataFrame) -> DataFrame:
-        """``rows`` written as a new version that isn't the table's yet; see ``commit``."""
+    def staged(self, name: str, rows: DataFrame, buckets: list[int], *order: str) -> None:
+        """``rows`` as new versions of ``buckets``, whose rows they all are; the table has them after ``commit``."""
         version = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
-        columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
-        rows.select(*columns).write.parquet(os.path.join(self.path, name, version))
-        self.state.setdefault("staged", {})[name] = version
-        return self.spark.read.schema(SCHEMAS[name]).parquet(os.path.join(self.path, name, version))
+        dealt = rows.select(*columns_of(name)).withColumn("bucket", self.bucket()).repartition("bucket", F.pmod(F.xxhash64("folder_name"), F.lit(4)))
+        dealt.sortWithinPartitions("bucket", *order or ("folder_name",)).write.partitionBy("bucket").parquet(f"{self.path}/{name}/{version}")
+        fs, at = self._file(f"{name}/{version}")
+        there = {int(f.base_name.partition("=")[2]) for f in fs.get_file_info(FileSelector(at)) if f.base_name.startswith("bucket=")}
+        self.state.setdefault("staged", {}).setdefault(name, {}).update({str(b): version if b in there else "" for b in buckets})
 
     def commit(self, **config: str | None) -> None:
-        self.state["tables"] |= self.state.pop("staged", {})
+        for name, versions in self.state.pop("staged", {}).items():
+            now = self.state["tables"].setdefault(name, {})
+            now.update(versions)
+            self.state["tables"][name] = {b: v for b, v in now.items() if v}
         self.state["config"] |= {k: v for k, v in config.items() if v is not None}
-        at = os.path.join(self.path, "state.json")
-        with open(f"{at}.new", "w", encoding="utf-8") as file:
-            json.dump(self.state, file)
-        os.replace(f"{at}.new", at)
+        fs, at = self._file("state.json")
+        with fs.open_output_stream(f"{at}.new") as file:
+            file.write(json.dumps(self.state).encode())
+        fs.move(f"{at}.new", at)
+
+    @contextmanager
+    def work(self) -> Iterator[Callable[[str, DataFrame], DataFrame]]:
+        """A function that writes a table for the time of the block, in the archive's own folder."""
+        name = f".work/{uuid.uuid4().hex}"
+
+        def written(step: str, rows: DataFrame) -> DataFrame:
+            rows.write.parquet(f"{self.path}/{name}/{step}")
+            return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}/{step}")
+
+        try:
+            yield written
+        finally:
+            fs, at = self._file(name)
+            if fs.get_file_info(at).type == FileType.Directory:
+                fs.delete_dir(at)
+
+    def vacuum(self, older_than: float = 3600.0) -> int:
+        """Removes versions that the state doesn't name, written over ``older_than`` seconds ago; readers may hold newer ones."""
+        removed = 0
+        for name in SCHEMAS:
+            fs, at = self._file(name)
+            named = set(self.state["tables"].get(name, {}).values()) | set(self.state.get("staged", {}).get(name, {}).values())
+            if fs.get_file_info(at).type != FileType.Directory:
+                continue
+            for f in fs.get_file_info(FileSelector(at)):
+                if f.base_name not in named and int(f.base_name[1:].partition("-")[0]) < time.time_ns() - older_than * 1e9:
+                    fs.delete_dir(f.path)
+                    removed += 1
+        return removed
 
     def config(self, key: str) -> str | None:
         return self.state["config"].get(key)
 
+    def index(self, table: str = "recording") -> Index:
+        """The keyword index of ``recording`` or ``recording_chunk``, kept up by each ingest.
+
+        Its files are in order of the terms, so a search skips the parts that can't hold its own.
+        """
+        return Index(self.table(f"{table}_fts").drop("folder_name"), self.table(f"{table}_fts_docs").drop("folder_name"))
+
     def views(self) -> None:
-        """Registers the tables, with derived columns, and ``v_search``: recordings as keyword search sees them."""
+        """Registers the tables, with derived columns, the functions, and ``v_search``: recordings as keyword search sees them."""
+        functions.register(self.spark)
         for name in SCHEMAS:
             rows = self.table(name)
             (with_derived(rows) if name == "recording" else rows).createOrReplaceTempView(name)
@@ -119,29 +211,75 @@ class Archive:
         return self.spark.sql(f"SELECT * FROM (\n{text.strip().rstrip(';')}\n)", args=args)
 
     def checks(self) -> dict[str, bool]:
-        """Whether the data's version is current, and all long canonical recordings have chunks and vectors."""
+        """Whether versions are current, long canonical recordings have chunks and vectors, and no chunk or vector is an orphan."""
         rows, chunks, vectors = self.table("recording"), self.table("recording_chunk"), self.table("recording_vec")
         long = rows.filter("superseded_by is null").withColumn("body", body()).filter(F.size(F.split("body", r"\s+")) > Strategy().threshold)
         embeddable = rows.filter("superseded_by is null and embed_text_hash is not null")
         return {
-            "data_version": int(self.config("data_version") or 0) >= len(UPDATERS),
+            "data_version": int(self.config("data_version") or 0) >= latest(UPDATERS),
+            "schema_version": int(self.config("schema_version") or 0) >= latest(MIGRATIONS),
             "chunks": without(long, chunks).isEmpty() or self.config("embed_model") is None,
             "vectors": without(embeddable, vectors).isEmpty(),
+            "no_orphans": without(chunks, rows).isEmpty() and without(vectors, rows).isEmpty() and self.table("recording_chunk_vec").join(chunks, "chunk_id", "left_anti").isEmpty(),
         }
 
+    def sizes(self) -> dict[str, int]:
+        """How many rows each table has."""
+        return {name: self.table(name).count() for name in SCHEMAS}
+
+
+@dataclass(frozen=True)
+class Change:
+    """A change to archives written before it, known by its number."""
+
+    version: int
+    name: str
+    run: Callable
+
 
-#: Changes to the data of archives written before them, in order; each runs once.
-UPDATERS: list[Callable[[Archive], None]] = []
+def _chunk_table(archive: Archive) -> None:
+    if "recording_chunk" not in SCHEMAS:
+        raise RuntimeError("there is no chunk table to fill")
 
 
-def updated(archive: Archive, updaters: list[Callable[[Archive], None]] | None = None) -> bool:
+def _marker(archive: Archive) -> None:
+    """Nothing to change: that it runs takes the next ingest off its fast path, where dirty rows are found."""
+
+
+#: Changes to the data, in order; each runs once. Long recordings get chunks as dirty rows once the first has run.
+UPDATERS: list[Change] = [Change(4, "chunks", _chunk_table), Change(5, "texts without edits", _marker), Change(6, "transcript columns", _marker)]
+#: Changes to the tables, in order: a function from the archive's table (in its present columns) to its rows, and which
+#: table. Columns that are merely new need none: they read as null.
+MIGRATIONS: list[tuple[Change, str]] = []
+
+
+def latest(changes: list) -> int:
+    return max((c[0].version if isinstance(c, tuple) else c.version for c in changes), default=0)
+
+
+def updated(archive: Archive, updaters: list[Change] | None = None) -> bool:
     """Runs the updaters that the archive hasn't seen; one that fails stops them, and runs again next time."""
-    updaters = UPDATERS if updaters is None else updaters
-    seen = int(archive.config("data_version") or 0)
-    for number, update in enumerate(updaters[seen:], seen + 1):
-        update(archive)
-        archive.commit(data_version=str(number))
-    return len(updaters) > seen
+    seen, ran = int(archive.config("data_version") or 0), False
+    for change in sorted(UPDATERS if updaters is None else updaters, key=lambda c: c.version):
+        if change.version > seen:
+            log.info("updater %s: %s", change.version, change.name)
+            change.run(archive)
+            archive.commit(data_version=str(change.version))
+            ran = True
+    return ran
+
+
+def migrated(archive: Archive, migrations: list[tuple[Change, str]] | None = None) -> bool:
+    """Rewrites tables by the migrations that the archive hasn't seen, each with its version in one commit."""
+    seen, ran = int(archive.config("schema_version") or 0), False
+    for change, table in sorted(MIGRATIONS if migrations is None else migrations, key=lambda m: m[0].version):
+        if change.version > seen:
+            log.info("migration %s: %s", change.version, change.name)
+            everywhere = list(range(archive.buckets))
+            archive.staged(table, change.run(archive.table(table)), everywhere)
+            archive.commit(schema_version=str(change.version))
+            ran = True
+    return ran
 
 
 def merged(old: DataFrame, new: DataFrame, now: str) -> DataFrame:
@@ -215,80 +353,123 @@ def ingest(
     model: str = "stub",
     dims: int = 1024,
     strategy: Strategy = Strategy(),
-    updaters: list[Callable[[Archive], None]] | None = None,
+    updaters: list[Change] | None = None,
     now: str | None = None,
 ) -> Outcome:
     """Brings the archive up to date with the source. Without ``embed``, text is ingested and embedding state stays."""
     began, spark, out = time.time(), archive.spark, Outcome()
     now = now or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
-    ran = updated(archive, updaters)
+    ran = migrated(archive) | updated(archive, updaters)
     changed = str(sqlite.modified(source_db))
     known = archive.config("embed_model")
     out.model_switched = embed is not None and known is not None and known != model
-    if not ran and archive.config("source_mtime_ns") == changed and not out.model_switched and (embed is None or archive.config("embedded_mtime_ns") == changed):
+    embedded_then = archive.config("embedded_mtime_ns") == archive.config("source_mtime_ns")
+    restructured = archive.config("chunk_strategy") not in (None, strategy.text())
+    if not ran and archive.config("source_mtime_ns") == changed and not out.model_switched and (embed is None or archive.config("embedded_mtime_ns") == changed and not restructured):
         return replace(out, fast_path=True, seconds=time.time() - began)
     try:
-        source = sqlite.snapshot(source_db)
-        since = archive.config("last_indexed_datetime")
-        rows = sqlite.source_recordings(spark, source, since)
-        meta, audio = folders.metadata(spark, recordings_dir), folders.audio(spark, recordings_dir)
-        new = rows.join(meta.drop("meta_path"), "folder_name", "left").join(audio, "folder_name", "left").withColumns(
-            {"has_audio": F.col("audio_path").isNotNull().cast("int"), "meta_path": F.concat(F.lit(recordings_dir.rstrip("/") + "/"), "folder_name", F.lit("/meta.json"))}
-        )
-        old = archive.table("recording")
-        counts = new.select("folder_name").join(old.select("folder_name", F.lit(1).alias("was")), "folder_name", "left").agg(F.count(F.lit(1)).alias("n"), F.count("was").alias("u")).first()
-        out.new_rows, out.updated_rows = counts["n"] - counts["u"], counts["u"]
-        full = merged(old, new, now)
-        marked = audio_marked(deletions_marked(full, sqlite.source_folders(spark, source), meta, now), audio, now)
-        unhashed = marked.filter("audio_hash is null and audio_path is not null").select("folder_name")
-        hashes = folders.audio_hashes(spark, recordings_dir, unhashed).withColumnRenamed("audio_hash", "found_hash")
-        hashed = marked.join(hashes, "folder_name", "left").withColumn("audio_hash", F.coalesce("audio_hash", "found_hash")).drop("found_hash")
-        current = archive.staged("recording", superseded(hashed, now))
-        before = old.select("folder_name", F.col("source_deleted_at").alias("d"), F.col("has_audio").alias("a"))
-        diff = current.join(before, "folder_name").agg(F.count_if(F.expr("d is null and source_deleted_at is not null")).alias("deleted"), F.count_if(F.expr("a <> has_audio")).alias("audio")).first()
-        out.source_deletions, out.audio_changes = diff["deleted"], diff["audio"]
-        if embed is not None:
-            out.embedded = _embedded(archive, current, embed, model, dims, strategy, out.model_switched)
-        bookmark = current.select(F.max(F.struct(parsed_time(F.col("datetime")), "datetime")).alias("last")).first()["last"]
-        archive.commit(
-            source_mtime_ns=changed,
-            last_indexed_datetime=bookmark["datetime"] if bookmark else None,
-            last_sync_finished_at=now,
-            last_sync_error="",
-            **({"embed_model": model, "embed_dim": str(dims), "chunk_strategy": strategy.text(), "embedded_mtime_ns": changed} if embed is not None else {}),
-        )
+        with sqlite.snapshot(source_db, archive._file(".snapshots")[1]) as source, archive.work() as written:
+            new = written("new", _incoming(archive, source, recordings_dir))
+            old = archive.table("recording")
+            small = ["folder_name", "datetime", "audio_path", *MARKS]
+            meta, audio = folders.metadata(spark, recordings_dir), folders.audio(spark, recordings_dir)
+            marked = audio_marked(deletions_marked(merged(old, new, now).select(*small), sqlite.source_folders(spark, source), meta, now), audio, now)
+            unhashed = marked.filter("audio_hash is null and audio_path is not null").select("folder_name")
+            hashes = folders.audio_hashes(spark, recordings_dir, unhashed).withColumnRenamed("audio_hash", "found_hash")
+            hashed = marked.join(hashes, "folder_name", "left").withColumn("audio_hash", F.coalesce("audio_hash", "found_hash")).drop("found_hash")
+            marks = written("marks", superseded(hashed, now).select(*small))
+            was = old.select("folder_name", F.lit(True).alias("was"), *[F.col(c).alias(f"{c}_was") for c in MARKS])
+            came = new.select("folder_name", F.lit(True).alias("came"))
+            both = marks.join(was, "folder_name", "left").join(came, "folder_name", "left")
+            differs = F.lit(False)
+            for c in MARKS:
+                differs = differs | ~F.col(c).eqNullSafe(F.col(f"{c}_was"))
+            moved = F.col("came").isNotNull() | differs
+            counts = both.agg(
+                F.count_if(F.expr("came and was is null")).alias("new"),
+                F.count_if(F.expr("came and was")).alias("updated"),
+                F.count_if(F.expr("was and source_deleted_at_was is null and source_deleted_at is not null")).alias("deleted"),
+                F.count_if(F.expr("was and has_audio_was <> has_audio")).alias("audio"),
+                F.collect_set(F.when(moved, archive.bucket())).alias("buckets"),  # at most as many as there are
+                F.max(F.struct(parsed_time(F.col("datetime")), "datetime")).alias("last"),
+            ).first()
+            out.new_rows, out.updated_rows, out.source_deletions, out.audio_changes = counts["new"], counts["updated"], counts["deleted"], counts["audio"]
+            touched = sorted(counts["buckets"])
+            # Texts whose embedding may be stale lie in touched buckets, unless an ingest went without or all is to be redone.
+            every = embed is not None and (ran or out.model_switched or restructured or not embedded_then or known is None)
+            held = list(range(archive.buckets)) if every else touched
+            here = lambda df: df.filter(archive.bucket().isin(held)) if len(held) < archive.buckets else df
+            rows = merged(archive.table("recording", held), here(new), now).drop(*MARKS).join(here(marks).select("folder_name", *MARKS), "folder_name")
+            if held:
+                current = written("current", rows.select(*columns_of("recording")))
+                if embed is not None:
+                    out.embedded, current = _embedded(archive, current, held, written, embed, model, dims, strategy, out.model_switched)
+                archive.staged("recording", current, held)
+                _indexed(archive, "recording", with_derived(current), "folder_name", ["raw_transcript", "processed_transcript"], held)
+            out.buckets_written = len(held)
+            last = counts["last"]
+            archive.commit(
+                source_mtime_ns=changed,
+                last_indexed_datetime=last["datetime"] if last else None,
+                last_sync_finished_at=now,
+                last_sync_error="",
+                **({"embed_model": model, "embed_dim": str(dims), "chunk_strategy": strategy.text(), "embedded_mtime_ns": changed} if embed is not None else {}),
+            )
     except Exception as error:
         archive.state.pop("staged", None)
         archive.commit(last_sync_error=str(error)[:500])
         raise
+    archive.vacuum()
     return replace(out, seconds=time.time() - began)
 
 
-def _embedded(archive: Archive, current: DataFrame, embed: Embedder, model: str, dims: int, strategy: Strategy, switched: bool) -> int:
-    """Chunks and embeds what is dirty; superseded rows lose their chunks and vectors. Returns the rows embedded."""
-    vectors, chunks, chunk_vectors = (archive.table(t) for t in ("recording_vec", "recording_chunk", "recording_chunk_vec"))
+def _incoming(archive: Archive, source: str, recordings_dir: str) -> DataFrame:
+    """The source's recordings since the bookmark, with what their folders say."""
+    spark = archive.spark
+    rows = sqlite.source_recordings(spark, source, archive.config("last_indexed_datetime"))
+    meta, audio = folders.metadata(spark, recordings_dir), folders.audio(spark, recordings_dir)
+    return rows.join(meta.drop("meta_path"), "folder_name", "left").join(audio, "folder_name", "left").withColumns(
+        {"has_audio": F.col("audio_path").isNotNull().cast("int"), "meta_path": F.concat(F.lit(recordings_dir.rstrip("/") + "/"), "folder_name", F.lit("/meta.json"))}
+    )
+
+
+def _indexed(archive: Archive, table: str, texts: DataFrame, key: str, columns: list[str], buckets: list[int]) -> None:
+    """Stages the keyword index of ``texts``, all those of ``buckets``."""
+    folder = texts.select(F.col(key).alias("doc"), F.col("folder_name")) if key != "folder_name" else None
+    index = Index.of(texts, key, columns, porter_tokens)
+    for name, rows, order in ((f"{table}_fts", index.postings, ("term", "doc", "pos")), (f"{table}_fts_docs", index.lengths, ("doc",))):
+        placed = rows.withColumn("folder_name", F.col("doc")) if folder is None else rows.join(folder, "doc")
+        archive.staged(name, placed, buckets, *order)
+
+
+def _embedded(archive: Archive, current: DataFrame, buckets: list[int], written: Callable, embed: Embedder, model: str, dims: int, strategy: Strategy, switched: bool) -> tuple[int, DataFrame]:
+    """Chunks and embeds what is dirty in ``buckets``; superseded rows lose their chunks and vectors.
+
+    Returns the number of rows embedded, and ``current`` with the proof of it.
+    """
+    vectors, chunks, chunk_vectors = (archive.table(t, buckets) for t in ("recording_vec", "recording_chunk", "recording_chunk_vec"))
     if switched:
         vectors, chunk_vectors = vectors.limit(0), chunk_vectors.limit(0)
     if archive.config("chunk_strategy") not in (None, strategy.text()):
         chunks, chunk_vectors = chunks.limit(0), chunk_vectors.limit(0)
-    work = dirty(current, vectors, chunks, model, strategy)
-    todo = work.select("folder_name", "mode_name", "body", "body_hash", "long")
+    todo = written("todo", dirty(current, vectors, chunks, model, strategy).select("folder_name", "mode_name", "body", "body_hash", "long"))
     gone = current.filter("superseded_by is not null").select("folder_name").unionByName(todo.select("folder_name"))
     made = chunked(todo.filter("long"), strategy=strategy).join(todo.select("folder_name", "body_hash"), "folder_name")
-    chunks = archive.staged("recording_chunk", without(chunks, gone).unionByName(made))
+    archive.staged("recording_chunk", without(chunks, gone).unionByName(made), buckets)
+    chunks = archive.table("recording_chunk", buckets, staged=True)
+    _indexed(archive, "recording_chunk", chunks.withColumn("doc", F.concat_ws("/", "folder_name", F.col("chunk_idx").cast("string"))), "doc", ["text"], buckets)
     fresh = chunks.join(todo.select("folder_name", "mode_name"), "folder_name")
     prefix = F.concat(F.lit("["), "mode_name", F.lit("] "))
     chunk_texts = fresh.select("chunk_id", "folder_name", F.concat(prefix, "text").alias("embed_text"))
-    chunk_vectors = archive.staged("recording_chunk_vec", without(chunk_vectors, gone).unionByName(embedded(chunk_texts, embed).drop("embed_text")))
+    archive.staged("recording_chunk_vec", without(chunk_vectors, gone).unionByName(embedded(chunk_texts, embed).drop("embed_text")), buckets)
+    chunk_vectors = archive.table("recording_chunk_vec", buckets, staged=True)
     of_chunks = chunk_vectors.join(chunks.select("chunk_id", "chunk_idx"), "chunk_id").join(todo.select("folder_name"), "folder_name", "left_semi")
     centres = centroids(of_chunks.select("folder_name", "chunk_idx", F.col("embedding").cast("array<double>").alias("embedding")))
     short = todo.join(fresh.select("folder_name").distinct(), "folder_name", "left_anti").select("folder_name", F.concat(prefix, "body").alias("embed_text"))
-    vectors = without(vectors, gone).unionByName(embedded(short, embed).drop("embed_text")).unionByName(centres.select("folder_name", F.col("embedding").cast("array<float>").alias("embedding")))
-    archive.staged("recording_vec", vectors)
+    archive.staged("recording_vec", without(vectors, gone).unionByName(embedded(short, embed).drop("embed_text")).unionByName(centres.select("folder_name", F.col("embedding").cast("array<float>").alias("embedding"))), buckets)
     done = todo.select("folder_name", F.col("body_hash").alias("done_hash"))
     lost = F.col("superseded_by").isNotNull()
     proof = lambda name, new: F.when(lost, F.lit(None)).when(F.col("done_hash").isNotNull(), new).otherwise(F.col(name)).alias(name)
-    rows = current.join(done, "folder_name", "left")
     kept = [c for c in current.columns if not c.startswith("embed_")]
-    archive.staged("recording", rows.select(*kept, proof("embed_model", F.lit(model)), proof("embed_dim", F.lit(dims)), proof("embed_text_hash", F.col("done_hash"))))
-    return todo.count()
+    rows = current.join(done, "folder_name", "left").select(*kept, proof("embed_model", F.lit(model)), proof("embed_dim", F.lit(dims)), proof("embed_text_hash", F.col("done_hash")))
+    return todo.count(), rows

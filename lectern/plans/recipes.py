@@ -18,7 +18,7 @@ from lectern.sources import demo
 from lectern.streaming import watch
 
 NOW = "2024-01-20T00:00:00.000Z"
-MODE, APP, LANGUAGE = "src3", "Cursor", "fr"
+MODE, APP, APP_MODE, LANGUAGE = "src3", "Cursor", "src6", "fr"
 
 
 def query(name: str, sql: str | None = None) -> Callable:
@@ -212,8 +212,8 @@ def vec_topk(spark, sf_dir):
     return rows.join(F.broadcast(found), "folder_name").select("folder_name", "datetime_iso", "mode_name", F.round("dist", 6).alias("dist"))
 
 
-@query("vec_filtered", f"{_VEC} SELECT folder_name, app_name, round({_D}, 6) AS dist FROM rowvec v JOIN rec USING (folder_name), q WHERE superseded_by IS NULL AND app_name = '{APP}' AND mode_name_lower = '{MODE}' ORDER BY {_D}, folder_name LIMIT 10")
-def vec_filtered(spark, sf_dir, app: str = APP, mode: str = MODE):
+@query("vec_filtered", f"{_VEC} SELECT folder_name, app_name, round({_D}, 6) AS dist FROM rowvec v JOIN rec USING (folder_name), q WHERE superseded_by IS NULL AND app_name = '{APP}' AND mode_name_lower = '{APP_MODE}' ORDER BY {_D}, folder_name LIMIT 10")
+def vec_filtered(spark, sf_dir, app: str = APP, mode: str = APP_MODE):
     rows = _canonical(spark, sf_dir).filter((F.col("app_name") == app) & (F.col("mode_name_lower") == mode)).select("folder_name", "app_name")
     found = vectors.nearest(demo.row_vectors(spark, sf_dir).join(rows, "folder_name", "left_semi"), demo.query_vector(spark, sf_dir), "folder_name", 10)
     return rows.join(F.broadcast(found), "folder_name").select("folder_name", "app_name", F.round("dist", 6).alias("dist"))
@@ -325,6 +325,16 @@ def kw_boolean(spark, sf_dir):
 _CPOST = o.postings("(SELECT folder_name || '/' || chunk_idx AS doc_key, text FROM chunk)", "doc_key", ("text",))
 
 
+@query("kw_chunk_recordings", f"{_CHUNKS}, {_CPOST}, {o.scored(_TERM('loser'), [(o.instances('loser'),) * 2])} SELECT folder_name, chunk_idx, datetime_iso, mode_name, c.text, round(bm25, 6) AS bm25 FROM hits JOIN chunk c ON doc = folder_name || '/' || chunk_idx JOIN rec USING (folder_name) WHERE superseded_by IS NULL ORDER BY hits.bm25, doc LIMIT 20")
+def kw_chunk_recordings(spark, sf_dir):
+    """The best chunks with what their recording says; texts are read of the few that remain."""
+    hits = search.bm25(demo.chunk_index(spark, sf_dir), search.term("loser"))
+    named = _chunks(spark, sf_dir).withColumn("doc", demo.chunk_key())
+    rows = _canonical(spark, sf_dir).select("folder_name", "datetime_iso", "mode_name")
+    top = hits.join(named.select("doc", "folder_name", "chunk_idx"), "doc").join(rows, "folder_name").orderBy("bm25", "doc").limit(20)
+    return named.select("doc", "text").join(F.broadcast(top), "doc").select("folder_name", "chunk_idx", "datetime_iso", "mode_name", "text", F.round("bm25", 6).alias("bm25"))
+
+
 @query("kw_chunk_bm25", f"{_CHUNKS}, {_CPOST}, {o.scored(_TERM('loser'), [(o.instances('loser'),) * 2])} SELECT doc, round(bm25, 6) AS bm25 FROM hits ORDER BY hits.bm25, doc LIMIT 20")
 def kw_chunk_bm25(spark, sf_dir):
     hits = search.bm25(demo.chunk_index(spark, sf_dir), search.term("loser"))
@@ -379,29 +389,3 @@ def session_debounce(spark, sf_dir):
 def events_hourly(spark, sf_dir):
     events = demo.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return watch.hourly(events).select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
-
-
-# What plain SQL over the recordings reaches besides the recipes: windows, set operations, aggregates, recursion, joins.
-
-_WINDOWS = """SELECT folder_name, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(4) OVER w AS quart, lag(folder_name, 1) OVER w AS prev, lead(folder_name, 1) OVER w AS nxt,
-  round(cume_dist() OVER w, 6) AS cd, round(percent_rank() OVER w, 6) AS pr, round(sum(duration_sec) OVER (PARTITION BY mode_name ORDER BY datetime_iso, folder_name ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS moving
-FROM rec WINDOW w AS (PARTITION BY mode_name ORDER BY datetime_iso, folder_name)"""
-_SETS = """SELECT mode_name FROM rec WHERE language = 'de' INTERSECT SELECT mode_name FROM rec WHERE app_name = 'Zoom' UNION SELECT app_name FROM rec EXCEPT SELECT 'Slack'"""
-_AGGREGATES = """SELECT language, count(*) FILTER (WHERE superseded_by IS NULL) AS canonical, count(DISTINCT mode_name) AS modes, min(datetime_iso) AS first_one, max(datetime_iso) AS last_one,
-  sum(CASE WHEN app_name LIKE 'Z%' THEN 1 ELSE 0 END) AS zooms FROM rec GROUP BY language HAVING count(*) > 1"""
-_RECURSION = "SELECT n, n * n AS square FROM steps WHERE n IN (SELECT raw_word_count % 50 FROM rec)"
-_STEPS = "RECURSIVE steps(n) AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM steps WHERE n < 40)"
-_JOINS = "SELECT a.folder_name AS later, b.folder_name AS earlier FROM rec a RIGHT JOIN rec b ON a.audio_hash = b.audio_hash AND a.datetime_iso > b.datetime_iso"
-
-
-def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rec(spark, sf_dir).createOrReplaceTempView("rec")
-        return spark.sql(text)
-
-    return run
-
-
-for _name, _text in {"sql_windows": _WINDOWS, "sql_set_operations": _SETS, "sql_aggregates": _AGGREGATES, "sql_joins": _JOINS}.items():
-    query(_name, f"WITH {o.REC} {_text}")(_sql(_text))
-query("sql_recursion", f"WITH {_STEPS}, {o.REC} {_RECURSION}")(_sql(f"WITH {_STEPS} {_RECURSION}"))

@@ -7,10 +7,13 @@ import html
 import io
 import json
 from collections.abc import Iterator
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame
 
-MODES = ("list", "csv", "tabs", "json", "line", "markdown", "html")
+MODES = ("list", "csv", "tabs", "json", "line", "markdown", "html", "column", "box")
+#: Rows whose widths ``column`` and ``box`` measure before they print; longer cells further on widen their own line.
+MEASURED = 1000
 
 
 def _cell(value: object) -> str:
@@ -35,6 +38,10 @@ def render(df: DataFrame, mode: str = "list", header: bool | None = None) -> Ite
             yield "\n".join(f"{n:>{width}} = {_cell(v)}" for n, v in zip(names, row)) + "\n"
         return
 
+    if mode in ("column", "box"):
+        yield from _aligned(names, ([_cell(v) for v in row] for row in rows), mode == "box")
+        return
+
     def line(cells: list[str], head: bool = False) -> str:
         if mode == "csv":
             out = io.StringIO()
@@ -53,3 +60,19 @@ def render(df: DataFrame, mode: str = "list", header: bool | None = None) -> Ite
             yield "|" + "---|" * len(names)
     for row in rows:
         yield line([_cell(v) for v in row])
+
+
+def _aligned(names: list[str], rows: Iterator[list[str]], boxed: bool) -> Iterator[str]:
+    few = list(islice(rows, MEASURED))
+    widths = [max(len(c) for c in column) for column in zip(names, *few)]
+    pad = lambda cells: [c.ljust(w) for c, w in zip(cells, widths)]
+    rule = lambda left, middle, right: left + middle.join("─" * (w + 2) for w in widths) + right
+    line = (lambda cells: "│ " + " │ ".join(pad(cells)) + " │") if boxed else (lambda cells: "  ".join(pad(cells)).rstrip())
+    if boxed:
+        yield rule("┌", "┬", "┐")
+    yield line(names)
+    yield rule("├", "┼", "┤") if boxed else "  ".join("-" * w for w in widths)
+    for row in chain(few, rows):
+        yield line(row)
+    if boxed:
+        yield rule("└", "┴", "┘")

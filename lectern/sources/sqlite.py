@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import logging
 import os
+import shutil
 import sqlite3
-import tempfile
+import time
+import uuid
 from collections.abc import Iterator
+from contextlib import closing, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+log = logging.getLogger(__name__)
+
 #: What is read of a recording; NOT NULL in the source unless marked.
 RECORDING = """id binary, datetime string, duration double, modeName string, modelKey string, modelName string, languageModelKey string,
     languageModelName string, recordingDevice string, rawWordCount long, llmWordCount long, folderName string"""
@@ -76,12 +82,56 @@ class SQLiteSource(DataSource):
         return SQLiteReader(schema, self.options)
 
 
-def snapshot(path: str) -> str:
-    """A consistent copy of a database that another program may be writing, on the driver's disk."""
-    out = os.path.join(tempfile.mkdtemp(prefix="lectern-snapshot-"), os.path.basename(path))
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as source, sqlite3.connect(out) as copy:
-        source.backup(copy)
-    return out
+#: How snapshots are named, seconds after which one left behind is swept, and attempts at a plain copy.
+_PREFIX, STALE, ATTEMPTS = "snapshot-", 3600.0, 5
+
+
+def swept(folder: str) -> None:
+    """Removes snapshots that runs which didn't end left in ``folder`` over an hour ago."""
+    for name in os.listdir(folder):
+        at = os.path.join(folder, name)
+        if name.startswith(_PREFIX):
+            try:
+                if os.stat(at).st_mtime < time.time() - STALE:
+                    os.unlink(at)
+            except OSError:
+                log.debug("%s couldn't be swept", at, exc_info=True)  # another run may have been first
+
+
+@contextmanager
+def snapshot(path: str, folder: str) -> Iterator[str]:
+    """A consistent copy of a database that another program may be writing, in a folder that executors share.
+
+    It is removed at the end. Where the backup fails, the file is copied, with a few attempts.
+    """
+    if not os.path.exists(path):
+        raise FileNotFoundError(path)
+    os.makedirs(folder, exist_ok=True)
+    swept(folder)
+    out = os.path.join(folder, f"{_PREFIX}{uuid.uuid4().hex}.sqlite")
+    try:
+        try:
+            with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True, timeout=30)) as source, closing(sqlite3.connect(out)) as copy:
+                source.backup(copy)
+        except sqlite3.Error:
+            log.warning("%s couldn't be backed up; it is copied", path, exc_info=True)
+            _copied(path, out)
+        yield out
+    finally:
+        for name in (out, f"{out}-wal", f"{out}-shm"):
+            if os.path.exists(name):
+                os.unlink(name)
+
+
+def _copied(path: str, out: str) -> None:
+    for attempt in range(1, ATTEMPTS + 1):
+        try:
+            shutil.copyfile(path, out)
+            return
+        except OSError:
+            if attempt == ATTEMPTS:
+                raise
+            time.sleep(0.05 * attempt)
 
 
 def modified(path: str) -> int | None:

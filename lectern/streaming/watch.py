@@ -2,34 +2,95 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
 import os
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 log = logging.getLogger(__name__)
 
 
-def watch(spark: SparkSession, recordings_dir: str, refresh: Callable[[], object], checkpoint: str, seconds: float = 2.0) -> StreamingQuery:
-    """Calls ``refresh`` once now, and after each micro-batch in which meta files appeared under ``recordings_dir``.
+class Changes(SimpleDataSourceStreamReader):
+    """A row for each run of changes to the recordings' files or the source database, once it has been quiet for a while.
 
-    Batches follow each other, so no two refreshes overlap and what arrives meanwhile is one next batch. A refresh that
-    fails is logged, and the stream goes on. ``query.stop()`` waits for the running batch.
+    Every trigger takes a digest of the files' names, sizes and times. While it keeps changing nothing is told; when it
+    has stayed the same for ``quiet`` seconds and differs from the last one told, it is. The digest is the offset.
+    """
+
+    def __init__(self, options: dict):
+        self.folder, self.database, self.quiet = options["path"], options.get("database"), float(options.get("quiet", 2.0))
+        self.seen, self.since = "", 0.0
+
+    def _digest(self) -> str:
+        found = hashlib.sha1()
+        entries = []
+        for top, _, names in os.walk(self.folder):
+            entries += [os.path.join(top, n) for n in names]
+        if self.database and os.path.isdir(os.path.dirname(self.database)):
+            parent, base = os.path.split(self.database)
+            entries += [os.path.join(parent, n) for n in os.listdir(parent) if n == base or n.startswith(f"{base}-")]
+        for at in sorted(entries):
+            try:
+                status = os.stat(at)
+            except OSError:
+                continue  # gone since it was listed
+            found.update(f"{at} {status.st_size} {status.st_mtime_ns}\n".encode("utf-8", "surrogateescape"))
+        return found.hexdigest()
+
+    def initialOffset(self) -> dict:
+        return {"digest": self._digest()}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        now = self._digest()
+        if now != self.seen:
+            self.seen, self.since = now, time.monotonic()
+        if now == start["digest"] or time.monotonic() - self.since < self.quiet:
+            return iter([]), start
+        return iter([(now,)]), {"digest": now}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter([(end["digest"],)] if end != start else [])
+
+
+class ChangeSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "recording_changes"
+
+    def schema(self) -> str:
+        return "digest string"
+
+    def simpleStreamReader(self, schema: StructType) -> Changes:
+        return Changes(self.options)
+
+
+def watch(spark: SparkSession, recordings_dir: str, refresh: Callable[[], object], checkpoint: str, seconds: float = 2.0, database: str | None = None, poll: float = 0.5) -> StreamingQuery:
+    """Calls ``refresh`` once now, and whenever ``recordings_dir`` or the source ``database`` has changed and then been
+    quiet for ``seconds``: each further change sets the waiting back.
+
+    Files count recursively, new, rewritten and removed ones; of the database's folder, the file and its companions
+    (``name-wal`` and the like). Batches follow each other, so no two refreshes overlap and what changes meanwhile is
+    one next batch. A refresh that fails is logged, and the stream goes on. ``query.stop()`` waits for the running batch.
     """
     if not os.path.isdir(recordings_dir):
         raise FileNotFoundError(recordings_dir)
     attempt(refresh)
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
-    stream = files.option("recursiveFileLookup", True).option("pathGlobFilter", "meta.json").load(recordings_dir).select("path")
+    spark.dataSource.register(ChangeSource)
+    stream = spark.readStream.format("recording_changes").option("path", recordings_dir).option("quiet", seconds)
+    stream = (stream.option("database", database) if database else stream).load()
 
     def batch(rows: DataFrame, number: int) -> None:
         if not rows.isEmpty():
             attempt(refresh)
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{int(poll * 1000)} milliseconds").start()
 
 
 def attempt(refresh: Callable[[], object]) -> bool:

@@ -1,16 +1,24 @@
 import json
+import os
 import sqlite3
 import sys
+import threading
+import time
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.errors import ParseException
 
-from lectern.operators.archive import Archive, ingest
+from lectern.functions.text import stem
+from lectern.operators import search
+from lectern.operators.archive import MARKS, Archive, Change, ingest, migrated, updated
+from lectern.operators.chunks import Strategy
 from lectern.operators.vectors import blob_literal, cosine_distance, embedded, from_blob, stub_vector, to_blob
 from lectern.plans.render import render
 from lectern.sources import sqlite as source
+from lectern.sources.embedding import EmbeddingService
 from lectern.streaming import watch
 
 
@@ -79,7 +87,10 @@ def test_ingest_life(spark, tmp_path):
     assert archive.sql("SELECT count(*) AS n FROM v_search", refresh=lambda: 1 / 0).first()["n"] == 4
     with pytest.raises(ParseException):
         archive.sql("DROP VIEW recording")
-    assert archive.checks() == {"data_version": True, "chunks": True, "vectors": True}
+    assert set(archive.checks().items()) == {(k, True) for k in ("data_version", "schema_version", "chunks", "vectors", "no_orphans")}
+    assert archive.sizes()["recording"] == 4 and archive.sql("SELECT vec_length(embedding) AS n FROM recording_vec LIMIT 1").first()["n"] == 8
+    matches = lambda word, table="recording": {r["doc"] for r in search.bm25(archive.index(table), search.term(stem(word))).collect()}
+    assert matches("newest") == {"400"} and matches("short") == {"100"} and len(matches("w690", "recording_chunk")) == 1
 
 
 def test_sources(spark, tmp_path):
@@ -110,21 +121,169 @@ def test_vectors(spark):
         embedded(texts, lambda texts: []).collect()
 
 
-def test_watch_goes_on_after_a_failure(spark, tmp_path):
+def test_what_makes_rows_dirty(spark, tmp_path):
+    """Model and strategy switches, skipped embedding, a long text that becomes short; only touched buckets are written."""
+    f = Fixture(tmp_path)
+    long = " ".join(f"w{k}" for k in range(700))
+    for k in range(6):
+        f.add(str(k), f"2026-05-1{k}T00:00:00", long if k == 3 else f"text number {k}")
+    at = str(tmp_path / "archive")
+    run = lambda *a, **o: ingest(Archive.open(spark, at, buckets=16), f.db, f.folder, *a, dims=8, **o)
+    first = run()
+    archive = Archive.open(spark, at)
+    assert (first.new_rows, first.embedded) == (6, 0) and archive.table("recording_vec").count() == 0 and archive.config("embed_model") is None
+    assert run().fast_path  # nothing to embed with
+    assert run(embed).embedded == 6 and run(embed).fast_path
+    switched = run(embed, model="other")
+    archive = Archive.open(spark, at)
+    assert switched.model_switched and switched.embedded == 6 and {r["embed_model"] for r in archive.table("recording").collect()} == {"other"}
+    before = archive.table("recording_chunk").count()
+    assert run(embed, model="other", strategy=Strategy(size=100, overlap=10)).embedded >= 1
+    archive = Archive.open(spark, at)
+    assert archive.table("recording_chunk").count() > before and archive.checks()["no_orphans"]
+    f.add("3", "2026-05-20T00:00:00", "short now")
+    with sqlite3.connect(f.db) as db:
+        db.execute("DELETE FROM recording_fts WHERE recordingId = ? AND rawResult LIKE 'w0 %'", (b"3".ljust(16, b"0"),))
+    versions = dict(archive.state["tables"]["recording"])
+    out = run(embed, model="other", strategy=Strategy(size=100, overlap=10))
+    archive = Archive.open(spark, at)
+    assert (out.new_rows, out.updated_rows, out.embedded, out.buckets_written) == (0, 1, 1, 1) and archive.table("recording_chunk").count() == 0
+    kept = {b for b, v in archive.state["tables"]["recording"].items() if versions.get(b) == v}
+    assert len(kept) == len(versions) - 1 and archive.table("recording").count() == archive.table("recording_vec").count() == 6
+    assert archive.vacuum(0.0) > 0 and archive.table("recording").count() == 6 and archive.vacuum(0.0) == 0
+    assert not [p for p in (tmp_path / "archive/.snapshots").iterdir()] and not list((tmp_path / "archive/.work").iterdir())
+
+
+def test_updaters_and_migrations(spark, tmp_path):
+    f = Fixture(tmp_path)
+    f.add("1", "2026-05-18T08:30:00", "one")
+    archive = Archive.open(spark, str(tmp_path / "archive"))
+    ingest(archive, f.db, f.folder, embed, dims=8)
+    ran = []
+
+    def fails(archive):
+        raise RuntimeError("not yet")
+
+    changes = [Change(8, "b", lambda a: ran.append(8)), Change(7, "a", lambda a: ran.append(7)), Change(9, "c", fails), Change(2, "old", lambda a: ran.append(2))]
+    with pytest.raises(RuntimeError, match="not yet"):
+        updated(archive, changes)
+    assert ran == [7, 8] and Archive.open(spark, archive.path).config("data_version") == "8"
+    assert updated(archive, changes[:2]) is False and ran == [7, 8]
+    later = [(Change(1, "louder", lambda rows: rows.withColumn("mode_name", rows["folder_name"])), "recording"), (Change(2, "again", lambda rows: rows), "recording_vec")]
+    assert migrated(archive, later) and not migrated(archive, later)
+    again = Archive.open(spark, archive.path)
+    assert again.config("schema_version") == "2" and [r["mode_name"] for r in again.table("recording").collect()] == ["1"] and again.config("embed_dim") == "8"
+    assert Archive.open(spark, str(tmp_path / "other")).config("embed_dim") == "1024"
+    assert set(MARKS) < set(again.table("recording").columns)
+
+
+def test_snapshots(tmp_path, monkeypatch):
+    f = Fixture(tmp_path)
+    f.add("1", "2026-05-18T08:30:00", "one")
+    folder = tmp_path / "snapshots"
+    folder.mkdir()
+    (folder / "snapshot-old.sqlite").write_text("x")
+    os.utime(folder / "snapshot-old.sqlite", (1, 1))
+    (folder / "snapshot-new.sqlite").write_text("x")
+    with source.snapshot(f.db, str(folder)) as copy, sqlite3.connect(copy) as db:
+        assert db.execute("SELECT count(*) FROM recording").fetchone() == (1,)
+    assert [p.name for p in folder.iterdir()] == ["snapshot-new.sqlite"]
+    real, tries = source.shutil.copyfile, []
+
+    def sometimes(a, b):
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("busy")
+        return real(a, b)
+
+    monkeypatch.setattr(source.sqlite3, "connect", lambda *a, **o: (_ for _ in ()).throw(sqlite3.OperationalError("locked")))
+    monkeypatch.setattr(source.shutil, "copyfile", sometimes)
+    with source.snapshot(f.db, str(folder)) as copy:
+        assert os.path.getsize(copy) == os.path.getsize(f.db) and len(tries) == 3
+    with pytest.raises(FileNotFoundError):
+        source.snapshot(str(tmp_path / "none"), str(folder)).__enter__()
+
+
+def test_embedding_service():
+    answers, asked = [], []
+
+    class Handler(BaseHTTPRequestHandler):
+        def _say(self, code, body):
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def do_GET(self):
+            self._say(200, {"models": [{"name": "m:latest"}, {"model": "exact"}]})
+
+        def do_POST(self):
+            asked.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self._say(*answers.pop(0))
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        host = f"http://127.0.0.1:{server.server_port}"
+        service = EmbeddingService(host, "m", pause=0.01)
+        good = {"embeddings": [[1.0, 2.0], [3.0, 4.0]]}
+        answers[:] = [(500, {}), (429, {}), (200, good)]
+        assert [v.tolist() for v in service(["a", "b"])] == good["embeddings"] and len(asked) == 3
+        assert asked[0] == {"model": "m", "input": ["a", "b"], "keep_alive": "15m"} and service([]) == []
+        answers[:] = [(404, {})]
+        with pytest.raises(OSError):
+            service(["a"])
+        answers[:] = [(503, {})] * 4
+        with pytest.raises(OSError):
+            service(["a"])
+        assert not answers
+        answers[:] = [(200, good)]
+        with pytest.raises(ValueError, match="2 vectors for 1"):
+            service(["a"])
+        assert service.check() is None and EmbeddingService(host, "exact").check() is None and "doesn't hold" in EmbeddingService(host, "none").check()
+    finally:
+        server.shutdown()
+    assert "can't be reached" in EmbeddingService("http://127.0.0.1:1", "m").check()
+
+
+def test_formats(spark):
+    rows = spark.createDataFrame([("a", 1), (None, 20)], "name string, n int").orderBy("n")
+    assert list(render(rows, "column")) == ["name  n", "----  --", "a     1", "      20"]
+    assert list(render(rows, "box")) == ["┌──────┬────┐", "│ name │ n  │", "├──────┼────┤", "│ a    │ 1  │", "│      │ 20 │", "└──────┴────┘"]
+
+
+def test_watch_waits_for_quiet_and_goes_on_after_a_failure(spark, tmp_path):
     f = Fixture(tmp_path)
     calls = []
 
     def refresh():
-        calls.append(1)
+        calls.append(time.monotonic())
         if len(calls) == 2:
             raise RuntimeError("once")
 
-    query = watch.watch(spark, f.folder, refresh, f"file://{tmp_path}/checkpoint", 0.1)
+    def until(n):
+        end = time.monotonic() + 60
+        while len(calls) < n and time.monotonic() < end:
+            time.sleep(0.05)
+        return len(calls) >= n
+
+    query = watch.watch(spark, f.folder, refresh, f"file://{tmp_path}/checkpoint", 1.0, f.db, 0.1)
     try:
-        for k in range(2):
+        time.sleep(3)
+        for k in range(4):  # each change sets the waiting back: one refresh for all
             f.add(f"{k}", "2026-01-01", "x")
-            query.processAllAvailable()
-        assert query.isActive and len(calls) >= 3
+            last = time.monotonic()
+            time.sleep(0.4)
+        assert until(2) and len(calls) == 2 and calls[1] >= last + 0.9
+        (tmp_path / "recordings/1/meta.json").write_text("{}")  # rewritten, not new
+        assert until(3)
+        with sqlite3.connect(f.db) as db:
+            db.execute("DELETE FROM recording WHERE folderName = '1'")
+        assert until(4) and query.isActive
+        time.sleep(2)
+        assert len(calls) == 4
     finally:
         query.stop()
     with pytest.raises(FileNotFoundError):
