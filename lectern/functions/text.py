@@ -123,34 +123,92 @@ def porter_tokens(text: Column) -> Column:
     return tokenize(text)
 
 
-def snippet_of(text: str | None, wanted: set[str], most: int = 10, marks: tuple[str, str, str] = ("«", "»", "…")) -> str:
-    """The window of ``most`` tokens with most of the wanted stems, each run of hits in marks, cut ends as an ellipsis."""
-    text = text or ""
-    spans = [m.span() for m in _TOKEN.finditer(text)]
+#: A phrase of a snippet: its terms (stems), and whether the last is only begun.
+Terms = tuple[tuple[str, ...], bool]
+
+
+def _instances(terms: list[str], phrases: list[Terms]) -> list[tuple[int, int, int]]:
+    """(first token, phrase, tokens) of all instances, by place."""
+    out = []
+    for number, (wanted, prefix) in enumerate(phrases):
+        n = len(wanted)
+        for k in range(len(terms) - n + 1):
+            whole = n - 1 if prefix else n
+            if tuple(terms[k : k + whole]) == wanted[:whole] and (not prefix or terms[k + n - 1].startswith(wanted[-1])):
+                out.append((k, number, n))
+    return sorted(out)
+
+
+def _sentence_starts(text: str, spans: list[tuple[int, int]]) -> list[int]:
+    """Tokens that begin the text, or follow a stop or colon and white space."""
+    out = [0] if spans else []
+    for k, (start, _) in enumerate(spans[1:], 1):
+        before = text[:start].rstrip(" \t\n\r") if text[start - 1] in " \t\n\r" else ""
+        if before.endswith((".", ":")):
+            out.append(k)
+    return out
+
+
+def _windows(instances: list[tuple[int, int, int]], starts: list[int], size: int, most: int) -> Iterator[tuple[int, int]]:
+    """Windows worth showing (score, first token): around the hits from each hit on, and from the sentence it stands in.
+
+    A window is worth 1000 for each phrase in it and 1 for each further hit; that it begins a sentence is worth 100, and
+    that it begins the text 120.
+    """
+
+    def inside(first: int) -> list[tuple[int, int, int]]:
+        return [i for i in instances if first <= i[0] < first + most]
+
+    def score(hits: list[tuple[int, int, int]]) -> int:
+        phrases = len({p for _, p, _ in hits})
+        return 1000 * phrases + len(hits) - phrases
+
+    for place, *_ in instances:
+        hits = inside(place)
+        spread = hits[-1][0] + hits[-1][2] - hits[0][0]
+        yield score(hits), max(0, min(hits[0][0] - int((most - spread) / 2), size - most))
+        sentence = max((s for s in starts if s <= place), default=place)
+        if size > most and sentence < place:
+            yield score(inside(sentence)) + (100 if sentence else 120), sentence
+
+
+def snippet_of(texts: list[str | None], phrases: list[Terms], most: int = 10, marks: tuple[str, str, str] = ("«", "»", "…")) -> str:
+    """The best window of ``most`` tokens among the texts (columns of one row), hits in marks, cut ends as an ellipsis."""
+    best = (0, 0, 0)  # score, column, first token; of equal ones the first found
+    prepared = []
+    for column, text in enumerate(texts):
+        text = text or ""
+        spans = [m.span() for m in _TOKEN.finditer(text)]
+        found = _instances([stem(folded(text[a:b])) for a, b in spans], phrases)
+        prepared.append((text, spans, found))
+        for score, first in _windows(found, _sentence_starts(text, spans), len(spans), most):
+            if score > best[0]:
+                best = (score, column, first)
+    text, spans, found = prepared[best[1]]
     if not spans:
         return text
-    hit = [stem(folded(text[a:b])) in wanted for a, b in spans]
-    counts = [sum(hit[k : k + most]) for k in range(max(1, len(spans) - most + 1))]
-    first = max(range(len(counts)), key=lambda k: (counts[k], -k))
-    last = min(len(spans), first + most)
-    out, at = marks[2] if first else "", spans[first][0] if first else 0
-    for k in range(first, last):
-        a, b = spans[k]
-        out += text[at:a]
-        if hit[k] and not (k > first and hit[k - 1]):
-            out += marks[0]
-        out += text[a:b]
-        if hit[k] and not (k + 1 < last and hit[k + 1]):
-            out += marks[1]
-        at = b
-    return out + (marks[2] if last < len(spans) else text[at:])
-
-
-def snippet(text: Column, stems: list[str], most: int = 10) -> Column:
-    wanted = set(stems)
+    first, last = best[2], min(len(spans), best[2] + most) - 1
+    runs: list[list[int]] = []  # instances that overlap are one run
+    for place, _, n in found:
+        if runs and place <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], place + n - 1)
+        else:
+            runs.append([place, place + n - 1])
+    at = spans[first][0] if first else 0
+    out = marks[2] if first else ""
+    for a, b in runs:
+        if first <= a <= last:
+            end = spans[min(b, last)][1]
+            out += text[at : spans[a][0]] + marks[0] + text[spans[a][0] : end] + marks[1]
+            at = end
+    return out + (text[at:] if last == len(spans) - 1 else text[at : spans[last][1]] + marks[2])
+
+
+def snippet(columns: list[str], phrases: list[Terms], most: int = 10) -> Column:
+    """``snippet_of`` over some columns of each row."""
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([snippet_of(t, wanted, most) for t in texts], dtype=object)
+    def cut(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([snippet_of(list(row), phrases, most) for row in rows.itertuples(index=False)], dtype=object)
 
-    return cut(text)
+    return cut(F.struct(*columns))

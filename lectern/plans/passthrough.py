@@ -82,7 +82,7 @@ QUERIES["sql_recursion"], ORACLE_SQL["sql_recursion"] = over_recordings(f"WITH {
 
 
 _VEC = """SELECT vec_id, vec_length(v) AS n, vec_to_json(vec_slice(v, 0, 3)) AS head, round(vec_distance_l2(v, w), 6) AS l2, round(vec_distance_l1(v, w), 6) AS l1,
-  round(vec_distance_cosine(v, w), 6) AS cosine, round(vec_dot(vec_add(v, w), vec_sub(v, w)), 6) AS crossed, round(vec_dot(vec_normalize(v), vec_normalize(w)), 6) AS likeness, vec_length(vec_from_json('[1, 2.5]')) AS parsed
+  round(vec_distance_cosine(v, w), 6) AS cosine, round(vec_dot(vec_add(v, w), w) + vec_dot(vec_sub(v, w), w), 6) AS crossed, round(vec_dot(vec_normalize(v), vec_normalize(w)), 6) AS likeness, vec_length(vec_from_json('[1, 2.5]')) AS parsed
 FROM both_vectors"""
 
 
@@ -98,4 +98,4 @@ QUERIES["vec_functions"] = vec_functions
 ORACLE_SQL["vec_functions"] = """WITH b AS (SELECT vec_id, embedding::DOUBLE[] AS v, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7) AS w FROM embeddings),
 parts AS (SELECT vec_id, unnest(v) AS x, unnest(w) AS y FROM b), sums AS (SELECT vec_id, sum((x - y) * (x - y)) AS l2, sum(abs(x - y)) AS l1, sum(x * y) AS d, sum(x * x) AS xx, sum(y * y) AS yy FROM parts GROUP BY vec_id)
 SELECT vec_id, len(v)::INTEGER AS n, '[' || array_to_string(list_transform(v[1:3], lambda x: printf('%.6f', x)), ',') || ']' AS head, round(sqrt(l2), 6) AS l2, round(l1, 6) AS l1,
-  round(1 - d / (sqrt(xx) * sqrt(yy)), 6) AS cosine, round(xx - yy, 6) AS crossed, round(d / (sqrt(xx) * sqrt(yy)), 6) AS likeness, 2::INTEGER AS parsed FROM b JOIN sums USING (vec_id)"""
+  round(1 - d / (sqrt(xx) * sqrt(yy)), 6) AS cosine, round(2 * d, 6) AS crossed, round(d / (sqrt(xx) * sqrt(yy)), 6) AS likeness, 2::INTEGER AS parsed FROM b JOIN sums USING (vec_id)"""

@@ -157,12 +157,19 @@ def upsert_merge(spark, sf_dir):
     return archive.merged(old, new, NOW).select("folder_name", "recording_id_hex", "mode_name", "language")
 
 
-@query("dirty_rows", f"WITH {o.REC} SELECT folder_name, sha256('[' || mode_name || '] ' || coalesce(llm_result, raw_transcript)) AS body_hash FROM rec WHERE superseded_by IS NULL AND trim(coalesce(llm_result, raw_transcript)) <> '' AND doc_id NOT IN (SELECT vec_id FROM embeddings)")
+_DIRTY = f"""WITH {o.REC}, state AS (SELECT doc_id, folder_name, mode_name, coalesce(llm_result, raw_transcript) AS body, raw_word_count + CASE WHEN llm_result IS NULL THEN 0 ELSE 1 END AS words FROM rec WHERE superseded_by IS NULL)
+SELECT folder_name, sha256('[' || mode_name || '] ' || body) AS body_hash, words > 500 AS long FROM state WHERE trim(body) <> ''
+AND (doc_id % 7 = 0 OR doc_id % 13 = 0 OR doc_id NOT IN (SELECT vec_id FROM embeddings) OR (words > 500 AND doc_id % 4 = 0))"""
+
+
+@query("dirty_rows", _DIRTY)
 def dirty_rows(spark, sf_dir):
-    """Rows whose stored hash is right but that have no vector; the long ones among the others have chunks."""
-    rows = rec(spark, sf_dir).withColumns({"llm_word_count": words.token_count(F.col("llm_result")), "embed_model": F.lit("m")})
-    rows = rows.withColumn("embed_text_hash", F.sha2(F.concat(F.lit("["), "mode_name", F.lit("] "), recordings.body()), 256))
-    return archive.dirty(rows, demo.row_vectors(spark, sf_dir), rows.select("folder_name"), "m", chunks.Strategy()).select("folder_name", "body_hash")
+    """Rows whose stored hash is another text's (every 7th), whose model is another (every 13th), that have no vector, or
+    that are long and without chunks (every 4th)."""
+    rows = rec(spark, sf_dir).withColumns({"llm_word_count": words.token_count(F.col("llm_result")), "embed_model": F.when(F.col("doc_id") % 13 == 0, "before").otherwise("m")})
+    right = F.sha2(F.concat(F.lit("["), "mode_name", F.lit("] "), recordings.body()), 256)
+    rows = rows.withColumn("embed_text_hash", F.when(F.col("doc_id") % 7 == 0, F.sha2(F.lit("before"), 256)).otherwise(right))
+    return archive.dirty(rows, demo.row_vectors(spark, sf_dir), rows.filter("doc_id % 4 <> 0").select("folder_name"), "m", chunks.Strategy()).select("folder_name", "body_hash", "long")
 
 
 # Chunks.
@@ -367,11 +374,23 @@ def kw_porter(spark, sf_dir):
     return search.bm25(demo.index(spark, sf_dir, stemmed=True), search.term(words.stem("disgusting"))).select(F.col("doc").alias("folder_name"), F.round("bm25", 6).alias("bm25"))
 
 
+def _phrases(q: search.Query) -> list[words.Terms]:
+    return [(tuple(words.stem(t) for t in p.terms), p.prefix) for p in q.phrases()]
+
+
 @query("kw_snippet")
 def kw_snippet(spark, sf_dir):
-    top = _keyword(spark, sf_dir, search.term("loser"))
+    """The best rows with a snippet of whichever column has the better one. Tested against SQLite's."""
+    q = search.term("loser") | search.term("clown")
+    top = _keyword(spark, sf_dir, q)
     out = _canonical(spark, sf_dir).join(F.broadcast(top.select("folder_name", "bm25")), "folder_name")
-    return out.select("folder_name", words.snippet(F.col("raw_transcript"), [words.stem("loser")], 10).alias("snip"), "bm25")
+    return out.select("folder_name", words.snippet(["raw_transcript", "processed_transcript"], _phrases(q), 10).alias("snip"), "bm25")
+
+
+@query("kw_chunk_snippet")
+def kw_chunk_snippet(spark, sf_dir):
+    """``kw_chunk_recordings`` with a snippet in place of the whole chunk."""
+    return kw_chunk_recordings(spark, sf_dir).withColumn("snip", words.snippet(["text"], _phrases(search.term("loser")), 10)).drop("text")
 
 
 # Events.

@@ -63,8 +63,35 @@ def test_tokens_agree_with_full_text_search():
     assert [theirs[k + 1] for k in range(len(words))] == [stemmed_tokens(w, {})[0] for w in words]
 
 
-def test_snippets():
-    text = " ".join(numbered(30)[:20]) + " Notifying notified users, then " + " ".join(numbered(10))
-    cut = snippet_of(text, {stem("notify")}, 6)
-    assert "«Notifying notified»" in cut and cut.startswith("…") and cut.endswith("…")
-    assert snippet_of("", {"x"}) == "" and snippet_of("only this", {"x"}) == "only this"
+def test_snippets_agree_with_full_text_search():
+    """Marks and windows as SQLite cuts them, over two columns, for terms, phrases and prefixes."""
+    rng = random.Random(9)
+    filler = "alpha beta gamma delta. epsilon zeta: eta theta, Iota kappa mu. nu xi omicron".split()
+    queries = [("notify", [(("notify",), False)]), ('"corporate group"', [(("corporate", "group"), False)]), ("queue OR bull", [(("queue",), False), (("bull",), False)]), ("gro*", [(("gro",), True)])]
+    with sqlite3.connect(":memory:") as db:
+        db.execute("CREATE VIRTUAL TABLE t USING fts5(a, b, tokenize = 'porter unicode61 remove_diacritics 2')")
+        rows = []
+        for k in range(120):
+            texts = []
+            for _ in range(2):
+                words = rng.choices(filler, k=rng.randrange(0, 60))
+                for _ in range(rng.randrange(0, 4)):
+                    words[rng.randrange(len(words) + 1) : 0] = rng.choice([["notified"], ["Corporate", "groups"], ["queues"], ["bulls"], ["queue", "bull"], ["Notifying", "notified"]])
+                texts.append("  ".join(words) if k % 5 == 0 else " ".join(words))
+            rows.append((k, *texts))
+        db.executemany("INSERT INTO t (rowid, a, b) VALUES (?, ?, ?)", rows)
+        compared = 0
+        for match, phrases in queries:
+            stems = [(tuple(stem(w) for w in terms) if not prefix else terms, prefix) for terms, prefix in phrases]
+            for most in (5, 10):
+                for column in (-1, 0, 1):
+                    for k, want in db.execute("SELECT rowid, snippet(t, ?, '«', '»', '…', ?) FROM t WHERE t MATCH ?", (column, most, match)).fetchall():
+                        texts = list(rows[k][1:]) if column < 0 else [rows[k][1 + column]]
+                        assert snippet_of(texts, stems, most) == want, (match, most, column, texts)
+                        compared += 1
+    assert compared > 300
+
+
+def test_snippets_of_odd_texts():
+    assert snippet_of([""], [(("x",), False)]) == "" and snippet_of(["only this", None], [(("x",), False)]) == "only this"
+    assert snippet_of([None], [(("x",), False)]) == "" and snippet_of(["— — x"], [(("x",), False)]) == "— — «x»"
