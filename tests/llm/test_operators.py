@@ -315,10 +315,38 @@ def test_language_scores(spark, odd):
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws))
     held = [r for r in rows if r["doc_id"] % 4 == 2 and r["n_tokens"] == 81]
     assert len(held) > 5 and all(r["score"] > r["base_score"] for r in held)  # pairs tell
+    clash = bloomlm.language_scores(table.withColumns({c: F.lit("x") for c in ("of_row", "row_of_text", "tail_known", "head_", "segment", "TRAIN_TOKENS")}), F.expr(train))
+    assert clash.columns[-1] == "train_tokens" and sorted(r["score"] for r in clash.collect()) == sorted(r["score"] for r in rows)
+    assert bloomlm.language_scores(docs(spark, []), F.expr(train)).count() == 0
     nothing = bloomlm.language_scores(odd, F.lit(False)).collect()
     assert len(nothing) == len(ODD) and all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in nothing)
 
 
+def test_scores_against_exact_counts(spark):
+    """The score with the filter's counts lies by the score with exact ones, quantised to the same levels."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    words = [f"q{k}" for k in range(500)]
+    texts = [" ".join(rng.choices(words, [1 / (k + 1) for k in range(500)], k=rng.randrange(1, 80))) for _ in range(300)]
+    rows = bloomlm.language_scores(docs(spark, texts), F.expr("doc_id % 3 <> 2")).collect()
+    tokens = lambda t: t.encode().split() + [b"\n"]
+    pairs_of = lambda w: list(zip([w[-1], *w[:-1]], w))
+    train = [tokens(t) for k, t in enumerate(texts) if k % 3 != 2]
+    count, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in pairs_of(t))
+    level = lambda c: bloomlm.EXPECTED[int(bloomlm._levels(np.array([c]))[0])] if c else 0.0
+    total = float(sum(count.values()) + len(count) + 1)
+    off = []
+    for r in rows:
+        exact = 0.0
+        for a, b in pairs_of(tokens(r["text"])):
+            ca, cb, cab = level(count[a]), level(count[b]), level(pairs[a, b])
+            trust = min(ca / (ca + bloomlm.MU), bloomlm.TRUST)
+            exact += math.log10(trust * min(min(cab, cb) / max(ca, 1), 1) + (1 - trust) * (cb + 1) / total)
+        off.append((r["score"] - exact) / r["n_tokens"])
+    assert np.mean(np.abs(off)) < 0.05 and min(off) > -0.05  # a filter finds too much at times, never too little
+
+
 def test_filter_gives_counts_back():
     hashes = bloomlm.mixed_bits(np.arange(1, 5001, dtype=np.uint64))
     counts = np.random.default_rng(0).integers(1, 500, 5000)
