@@ -191,6 +191,23 @@ def test_simhash_groups_odd_rows(spark, odd):
     assert simhash.grouped(docs(spark, [])).count() == 0
 
 
+def test_fingerprints_are_majorities(spark):
+    """Every bit against its plain count over all shingles, repeats included, for texts of one word up to very many."""
+    import xxhash
+
+    rng = random.Random(12)
+    texts = ["One", "a B", "a b c", "a b c d", "x x x x x", " tab\tand\x0bline\n end ", "Ünï Cödé ÄB ok", "w " * 20_001]
+    texts += [" ".join(rng.choices([f"W{k}" for k in range(30)], k=rng.randrange(3, 60))) for _ in range(40)]
+    rows = {r["doc_id"]: r["fingerprint"] for r in simhash.grouped(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        low = "".join(c.lower() if c.isascii() else c for c in text)
+        words = [w for w in low.replace("\t", " ").replace("\n", " ").replace("\x0b", " ").split(" ") if w]
+        grams = [" ".join(words[j : j + 3]) for j in range(len(words) - 2)] or [" ".join(words)]
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert rows[k] == f"{bits:016x}", text[:30]
+
+
 def test_near_copies_keep_one_of_each_group(spark):
     rng = random.Random(5)
     words = [f"w{k}" for k in range(4000)]
@@ -217,6 +234,11 @@ def test_near_copies_keep_one_of_each_group(spark):
     parts = nearcopies.without_copies(table, tree=8, family=3000)  # nearly every group is dealt into parts
     assert parts.columns == table.columns and sorted(r["doc_id"] for r in parts.collect()) == kept
     assert nearcopies.without_copies(table.limit(0)).count() == 0
+    from pyspark.sql import functions as F
+
+    clash = table.withColumns({c: F.lit(c) for c in ("doc", "t", "key", "id", "of_text", "root", "set", "node", "n", "kept", "ROW_KEY_")})
+    out = nearcopies.without_copies(clash)
+    assert out.columns == clash.columns and sorted(r["doc_id"] for r in out.collect()) == kept
 
 
 def test_families_between_the_bounds(spark):
@@ -400,6 +422,21 @@ def test_toxicity_learns_held_out(spark, odd):
     assert toxicity.Scorer(constant.dumps()).score([b"x", b""]).max() < 0.3
 
 
+def test_toxicity_learns_from_odd_labels(spark, odd):
+    from pyspark.sql import functions as F
+
+    labels = spark.createDataFrame([(3, 1), (3, 0), (None, 1), (5, None), (6, 0), (6, 0), (7, 7), (999, 1), (8, 0)], "doc_id long, toxic int")
+    for held, allowed in ((labels, F.lit(True)), (labels.limit(0), F.lit(True)), (labels, F.lit(False)), (labels.filter("toxic = 0"), F.lit(True))):
+        weights = toxicity.fitted(odd, held, allowed)
+        rows = toxicity.scored(odd, weights).collect()
+        assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
+        assert weights == toxicity.fitted(odd.repartition(3), held, allowed)  # reruns agree
+    assert toxicity.scored(docs(spark, []), toxicity.fitted(docs(spark, []), labels, F.lit(True))).count() == 0
+    text = " ".join(f"n{k}" for k in range(20_000)) + " vile"
+    net = toxicity.train([text.encode(), b"n1 n2"] * 3, [1, 0] * 3)
+    assert toxicity.Scorer(net.dumps()).score([text.encode()]).shape == (1,)
+
+
 def test_toxicity_reads_long_words_whole():
     rng = random.Random(12)
     texts, labels = [], []

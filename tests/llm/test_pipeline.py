@@ -48,3 +48,17 @@ def test_stages(spark, tables):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, tables)
     assert last.count() == len(left)
     assert {tuple(r) for r in last.collect()} == {tuple(r) for r in bpe.digests(docs, keep=["doc_id"]).collect()}
+
+
+def test_stages_on_odd_tables(spark, tables, tmp_path):
+    """Empty tables give empty results; nulls, empty texts and repeated rows pass; other columns stay."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None)] * 2 + [(5, "", "en", "src0", 0)] + [(6, "w " * 60, None, None, 1)] * 2, docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), tables).count() == 0, name
+        out = stage(spark, odd, tables)
+        assert out.count() <= 3 * 5 and (name == "bpe" or out.columns == docs.columns), name
+    rows = spark.read.parquet(f"{tables}/documents.parquet").filter("doc_id < 40").withColumnRenamed("n_chars", "Row_Key")
+    assert corpus_pipeline.near_copies(spark, rows, tables).columns == rows.columns
