@@ -2,6 +2,10 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next one's
 ``docs``. All but the last return the columns of ``documents``.
+
+For every stage: a null text counts as empty; rows with a null id, language or source are judged like any other; very
+long texts are read whole; rows that repeat are judged alike, each on its own, but near_copies keeps one of them; an
+empty table gives an empty result; further columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
