@@ -130,25 +130,30 @@ class Phrase(Query):
         return self.instances(index).select("doc").distinct()
 
 
-@dataclass(frozen=True)
 class Near(Query):
-    """Two phrases of one term, in one column, with at most ``most`` tokens between them."""
+    """Phrases in one column, each with at most ``most`` tokens between its end and the start of the last one."""
 
-    a: Phrase
-    b: Phrase
-    most: int = 10
+    def __init__(self, *phrases: Phrase, most: int = 10):
+        self.near, self.most = phrases, most
 
     def phrases(self) -> list[Phrase]:
-        return [self.a, self.b]
+        return list(self.near)
+
+    def _reach(self, index: Index, of: Phrase) -> DataFrame:
+        """For each instance (``pos``) of a phrase the places (``last``) where the last of the phrases may start."""
+        return of.instances(index).select("doc", "col", "pos", F.explode(F.sequence(F.col("pos"), F.col("pos") + len(of.terms) + self.most)).alias("last"))
+
+    def _lasts(self, index: Index) -> DataFrame:
+        """Where the last phrase starts with all others in reach."""
+        starts = reduce(DataFrame.union, [p.instances(index).select("doc", "col", F.col("pos").alias("last")) for p in self.near]).distinct()
+        return reduce(lambda found, p: found.join(self._reach(index, p), ["doc", "col", "last"], "left_semi"), self.near, starts)
 
     def instances(self, index: Index, of: Phrase) -> DataFrame:
-        """The instances of one of the phrases that are near one of the other."""
-        other = self.b if of is self.a else self.a
-        near = other.instances(index).select("doc", "col", F.explode(F.sequence(F.col("pos") - self.most - 1, F.col("pos") + self.most + 1)).alias("pos"))
-        return of.instances(index).join(near.distinct(), ["doc", "col", "pos"], "left_semi")
+        """The instances of one of the phrases that are near some of all others."""
+        return self._reach(index, of).join(self._lasts(index), ["doc", "col", "last"], "left_semi").select("doc", "col", "pos").distinct()
 
     def docs(self, index: Index) -> DataFrame:
-        return self.instances(index, self.a).select("doc").distinct()
+        return self._lasts(index).select("doc").distinct()
 
 
 @dataclass(frozen=True)

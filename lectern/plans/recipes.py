@@ -321,7 +321,7 @@ _NEAR = lambda a, b: f"SELECT DISTINCT p.doc, p.col, p.pos FROM post p JOIN post
 
 @query("kw_near", f"WITH {o.REC}, {_POST}, {o.scored('SELECT doc FROM (' + _NEAR('was', 'with') + ')', [(_NEAR('was', 'with'), _TERM('was')), (_NEAR('with', 'was'), _TERM('with'))])} {_TOP}")
 def kw_near(spark, sf_dir):
-    return _keyword(spark, sf_dir, search.Near(search.term("was"), search.term("with"), 3))
+    return _keyword(spark, sf_dir, search.Near(search.term("was"), search.term("with"), most=3))
 
 
 @query("kw_boolean", _kw(f"SELECT doc FROM ({_TERM('loser')} UNION {_TERM('clown')}) WHERE doc NOT IN ({_TERM('with')})", ["loser", "clown"]))

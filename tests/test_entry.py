@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["modes_count", "daily_volume", "supersedence", "upsert_merge", "chunks_full", "vec_best_chunk", "kw_boolean", "hybrid_rrf"]
+NAMES = sorted(entry.oracle_sql())
 
 
 def test_registration_is_complete():
@@ -15,7 +15,7 @@ def test_registration_is_complete():
 @pytest.mark.parametrize("name", NAMES)
 def test_queries_agree_with_their_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations", "events"):
+    for t in ("documents", "embeddings", "conversations", "events", "pages", "labels"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = entry.queries()[name](spark, SF)
     names = sorted(df.columns)

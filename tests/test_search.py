@@ -34,7 +34,10 @@ CASES = [
     ("(bull OR pricing) NOT happy", (t("bull") | t("pricing")) - t("happy")),
     ("a : day", t("day", column="a")),
     ("^ bull", t("bull", first=True)),
-    ("NEAR(bull day, 2)", search.Near(t("bull"), t("day"), 2)),
+    ("NEAR(bull day, 2)", search.Near(t("bull"), t("day"), most=2)),
+    ('NEAR("corporate group" day, 3)', search.Near(search.Phrase((stem("corporate"), stem("group"))), t("day"), most=3)),
+    ("NEAR(bull day queue, 4)", search.Near(t("bull"), t("day"), t("queue"), most=4)),
+    ('NEAR("happy day" "bull pricing" que*, 9)', search.Near(search.Phrase((stem("happy"), stem("day"))), search.Phrase((stem("bull"), stem("pricing"))), t("que", prefix=True), most=9)),
 ]
 
 
