@@ -1,7 +1,8 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A text is read as overlapping windows of words, of which long ones are cut into overlapping pieces. Each word enters as the sum of a hashed word vector and hashed vectors
-of its character trigrams, so that spelling variants share what is learnt. A gated recurrent layer runs over the window
+A text is read as overlapping windows of words, of which long ones are cut into overlapping pieces. Each word enters as
+the sum of a hashed word vector and hashed vectors of its character n-grams (bytes, of two lengths), so that spelling
+variants and inflected forms share what is learnt. A gated recurrent layer runs over the window
 in either direction, attention weighs its states, and a logistic unit scores the pooled state. A text's score is the
 highest among its windows, since one passage makes a text toxic; it is calibrated on the training labels.
 
@@ -27,8 +28,8 @@ SAMPLE = 1200
 WINDOW, STRIDE = 32, 24
 #: Bytes of a word at most, and how far apart the pieces of longer ones begin.
 LONG, STEP = 64, 48
-#: Vectors for words and for character trigrams, their length, and the states in each direction.
-WORDS, GRAMS, INPUT, STATES = 1 << 14, 1 << 13, 8, 8
+#: Vectors for words and for character n-grams, the n-grams' bytes, vectors' length, and the states in each direction.
+WORDS, GRAMS, SIZES, INPUT, STATES = 1 << 14, 1 << 14, (3, 5), 8, 8
 #: Rounds of choosing windows, steps in each, their rate, and the share of that rate at which vectors move.
 ROUNDS, STEPS, RATE, VECTORS = 5, 60, 0.02, 0.02
 THRESHOLD = 0.3
@@ -50,12 +51,13 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def word_features(word: bytes) -> tuple[int, list[int]]:
-    """A word's slot and its trigrams' slots, after lower-casing A-Z and dropping punctuation at the ends."""
+    """A word's slot and its n-grams' slots, after lower-casing A-Z and dropping punctuation at the ends."""
     from xxhash import xxh32_intdigest
 
     core = word.lower().strip(_STRIP) or word
     marked = b"^" + core + b"$"
-    return xxh32_intdigest(core) % WORDS, [xxh32_intdigest(marked[k : k + 3], 7) % GRAMS for k in range(max(1, len(marked) - 2))]
+    grams = [xxh32_intdigest(marked[k : k + n], 7) % GRAMS for n in SIZES for k in range(len(marked) - n + 1)]
+    return xxh32_intdigest(core) % WORDS, grams or [xxh32_intdigest(marked, 7) % GRAMS]
 
 
 class Network:
