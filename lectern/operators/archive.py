@@ -1,36 +1,34 @@
 """The archive: append-only tables on shared storage, and what an ingest does to them.
 
-Each table is cut into buckets by a hash of the folder name. The state file names the version of each bucket (a folder
-of Parquet files) and holds the bookmarks; an ingest writes new versions of those buckets alone in which a row changed.
-The state file is replaced as a whole, last; so an ingest that fails changes nothing, and one that is run again repeats
-no effect. Rows are never deleted; versions that no state names any more are removed by ``vacuum``.
+Tables are kept as ``tables`` says, keyword indexes as ``segments`` does: an ingest writes the rows that change, and a
+commit makes them valid at once. An ingest that fails changes nothing, one that is run again repeats no effect, and of
+two at once the later decides anew what the other's rows bear on. Rows are never deleted.
 
-Marks (deletions, audio, supersedence) are decided on the few columns that they depend on; texts are read only in the
-buckets that are written.
+Marks (deletions, audio, supersedence) are decided on the few columns that they depend on; texts are read only of rows
+that are written.
 """
 
 from __future__ import annotations
 
-import json
 import logging
 import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from datetime import UTC, datetime
 
 import numpy as np
-from pyarrow.fs import FileSelector, FileSystem, FileType
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import sql as functions
 from lectern.functions.text import porter_tokens
+from lectern.operators import segments
 from lectern.operators.chunks import Strategy, chunked
 from lectern.operators.recordings import body, parsed_time, with_derived
-from lectern.operators.search import Index
 from lectern.operators.supersede import superseded
+from lectern.operators.tables import Conflict, Tables
 from lectern.operators.vectors import centroids, embedded
 from lectern.sources import folders, sqlite
 
@@ -45,24 +43,26 @@ RECORDING = (
     "audio_hash string, superseded_by string, superseded_at string"
 )
 CHUNK = "folder_name string, chunk_idx int, text string, start_word int, end_word int, word_count int, chunk_id long, body_hash string"
-_POSTINGS = "folder_name string, doc string, col string, pos int, term string"
+_DOCUMENTS = "folder_name string, doc string, dl long"
 SCHEMAS = {
     "recording": RECORDING,
     "recording_vec": "folder_name string, embedding array<float>",
     "recording_chunk": CHUNK,
     "recording_chunk_vec": "chunk_id long, folder_name string, embedding array<float>",
-    # Keyword indexes of recordings and of chunks: postings, in order of their terms, and the documents' lengths.
-    "recording_fts": _POSTINGS,
-    "recording_fts_docs": "folder_name string, doc string, dl long",
-    "recording_chunk_fts": _POSTINGS,
-    "recording_chunk_fts_docs": "folder_name string, doc string, dl long",
+    # The documents of the keyword indexes of recordings and of chunks, and their lengths.
+    "recording_fts_docs": _DOCUMENTS,
+    "recording_chunk_fts_docs": _DOCUMENTS,
 }
+#: The columns that a keyword index covers.
+INDEXED = {"recording": ["raw_transcript", "processed_transcript"], "recording_chunk": ["text"]}
 KEPT_ON_UPDATE = ("recording_id_hex", "source_deleted_at", "source_audio_lost_at", "embed_model", "embed_dim", "embed_text_hash", "audio_hash", "superseded_by", "superseded_at")
 FILLED_ON_UPDATE = ("language", "app_name", "app_category")
 #: What an ingest may change in rows that the source doesn't bring anew.
 MARKS = ("has_audio", "source_deleted_at", "source_audio_lost_at", "audio_hash", "superseded_by", "superseded_at")
 #: Buckets of a new archive's tables.
 BUCKETS = 64
+#: How often an ingest decides anew when another one has come between.
+TRIES = 5
 
 Embedder = Callable[[list[str]], list[np.ndarray]]
 
@@ -84,70 +84,25 @@ class Outcome:
     seconds: float = 0.0
 
 
-@dataclass
-class Archive:
-    spark: SparkSession
-    path: str
-    state: dict = field(default_factory=dict)
-
+class Archive(Tables):
     @classmethod
     def open(cls, spark: SparkSession, path: str, readonly: bool = False, buckets: int = BUCKETS, dims: int = 1024) -> Archive:
-        """The archive at ``path`` (local, or a URI that Arrow's file systems know); a new one is begun unless ``readonly``."""
-        archive = cls(spark, path.rstrip("/"))
-        fs, at = archive._file("state.json")
-        if fs.get_file_info(at).type == FileType.File:
-            with fs.open_input_stream(at) as file:
-                archive.state = json.loads(file.read())
-        elif readonly:
+        """The archive at ``path`` (any path or URI that Spark reads); a new one is begun unless ``readonly``."""
+        archive = cls(spark, path.rstrip("/"), SCHEMAS)
+        if not archive.load() and readonly:
             raise FileNotFoundError(f"no archive at {path}")
-        else:
-            fs.create_dir(archive._file("")[1], recursive=True)
-            archive.state = {"tables": {}, "config": {"buckets": str(buckets)}}
         config = archive.state["config"]
+        config.setdefault("first_buckets", str(buckets))
+        config.setdefault("buckets", config["first_buckets"])
         config.setdefault("embed_dim", str(dims))
         if not archive.state["tables"].get("recording"):  # nothing yet that updates or migrations could change
             config.setdefault("data_version", str(latest(UPDATERS)))
             config.setdefault("schema_version", str(latest(MIGRATIONS)))
         return archive
 
-    def _file(self, name: str) -> tuple[FileSystem, str]:
-        fs, top = FileSystem.from_uri(self.path)
-        return fs, f"{top.rstrip('/')}/{name}".rstrip("/")
-
-    @property
-    def buckets(self) -> int:
-        return int(self.state["config"]["buckets"])
-
-    def bucket(self, folder: Column | str = "folder_name") -> Column:
-        return F.pmod(F.crc32((F.col(folder) if isinstance(folder, str) else folder).cast("binary")), F.lit(self.buckets)).cast("int")
-
-    def table(self, name: str, buckets: list[int] | None = None, staged: bool = False) -> DataFrame:
-        """A table, or some of its buckets; with ``staged`` as it will be after the next commit."""
-        versions = dict(self.state["tables"].get(name, {})) | (self.state.get("staged", {}).get(name, {}) if staged else {})
-        chosen = [f"{self.path}/{name}/{v}/bucket={b}" for b, v in sorted(versions.items()) if v and (buckets is None or int(b) in buckets)]
-        if not chosen:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*chosen)
-
-    def staged(self, name: str, rows: DataFrame, buckets: list[int], *order: str) -> None:
-        """``rows`` as new versions of ``buckets``, whose rows they all are; the table has them after ``commit``."""
-        version = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
-        dealt = rows.select(*columns_of(name)).withColumn("bucket", self.bucket()).repartition("bucket", F.pmod(F.xxhash64("folder_name"), F.lit(4)))
-        dealt.sortWithinPartitions("bucket", *order or ("folder_name",)).write.partitionBy("bucket").parquet(f"{self.path}/{name}/{version}")
-        fs, at = self._file(f"{name}/{version}")
-        there = {int(f.base_name.partition("=")[2]) for f in fs.get_file_info(FileSelector(at)) if f.base_name.startswith("bucket=")}
-        self.state.setdefault("staged", {}).setdefault(name, {}).update({str(b): version if b in there else "" for b in buckets})
-
-    def commit(self, **config: str | None) -> None:
-        for name, versions in self.state.pop("staged", {}).items():
-            now = self.state["tables"].setdefault(name, {})
-            now.update(versions)
-            self.state["tables"][name] = {b: v for b, v in now.items() if v}
-        self.state["config"] |= {k: v for k, v in config.items() if v is not None}
-        fs, at = self._file("state.json")
-        with fs.open_output_stream(f"{at}.new") as file:
-            file.write(json.dumps(self.state).encode())
-        fs.move(f"{at}.new", at)
+    def commit(self, config: dict[str, str] | None = None) -> int:
+        first = dict(self.state["config"]) if not self.state["number"] else {}  # an archive's first commit tells how it was begun
+        return super().commit(first | (config or {}))
 
     @contextmanager
     def work(self) -> Iterator[Callable[[str, DataFrame], DataFrame]]:
@@ -161,33 +116,25 @@ class Archive:
         try:
             yield written
         finally:
-            fs, at = self._file(name)
-            if fs.get_file_info(at).type == FileType.Directory:
-                fs.delete_dir(at)
-
-    def vacuum(self, older_than: float = 3600.0) -> int:
-        """Removes versions that the state doesn't name, written over ``older_than`` seconds ago; readers may hold newer ones."""
-        removed = 0
-        for name in SCHEMAS:
-            fs, at = self._file(name)
-            named = set(self.state["tables"].get(name, {}).values()) | set(self.state.get("staged", {}).get(name, {}).values())
-            if fs.get_file_info(at).type != FileType.Directory:
-                continue
-            for f in fs.get_file_info(FileSelector(at)):
-                if f.base_name not in named and int(f.base_name[1:].partition("-")[0]) < time.time_ns() - older_than * 1e9:
-                    fs.delete_dir(f.path)
-                    removed += 1
-        return removed
+            self.files.delete(name)
 
     def config(self, key: str) -> str | None:
         return self.state["config"].get(key)
 
-    def index(self, table: str = "recording") -> Index:
-        """The keyword index of ``recording`` or ``recording_chunk``, kept up by each ingest.
-
-        Its files are in order of the terms, so a search skips the parts that can't hold its own.
-        """
-        return Index(self.table(f"{table}_fts").drop("folder_name"), self.table(f"{table}_fts_docs").drop("folder_name"))
+    def index(self, table: str = "recording") -> segments.Segments:
+        """The keyword index of ``recording`` or ``recording_chunk``, kept up by each ingest."""
+        return segments.Segments.open(self, f"{table}_fts", INDEXED[table])
+
+    def upkeep(self) -> None:
+        """Merges what many small ingests have written, and removes what is no longer read."""
+        for table in INDEXED:
+            if segments.merge(self, f"{table}_fts"):
+                try:
+                    self.commit()
+                except Conflict:  # a later ingest merges them
+                    self.load()
+        self.compact()
+        self.vacuum()
 
     def views(self) -> None:
         """Registers the tables, with derived columns, the functions, and ``v_search``: recordings as keyword search sees them."""
@@ -264,7 +211,7 @@ def updated(archive: Archive, updaters: list[Change] | None = None) -> bool:
         if change.version > seen:
             log.info("updater %s: %s", change.version, change.name)
             change.run(archive)
-            archive.commit(data_version=str(change.version))
+            archive.commit({"data_version": str(change.version)})
             ran = True
     return ran
 
@@ -275,9 +222,8 @@ def migrated(archive: Archive, migrations: list[tuple[Change, str]] | None = Non
     for change, table in sorted(MIGRATIONS if migrations is None else migrations, key=lambda m: m[0].version):
         if change.version > seen:
             log.info("migration %s: %s", change.version, change.name)
-            everywhere = list(range(archive.buckets))
-            archive.staged(table, change.run(archive.table(table)), everywhere)
-            archive.commit(schema_version=str(change.version))
+            archive.replace(table, change.run(archive.table(table)))
+            archive.commit({"schema_version": str(change.version)})
             ran = True
     return ran
 
@@ -345,7 +291,24 @@ def without(rows: DataFrame, folders: DataFrame) -> DataFrame:
     return rows.join(folders.select("folder_name"), "folder_name", "left_anti")
 
 
-def ingest(
+def ingest(archive: Archive, source_db: str, recordings_dir: str, *args, **options) -> Outcome:
+    """Brings the archive up to date with the source, as ``_ingested`` says; if another ingest has come between, decides
+    anew on what that one left."""
+    for left in range(TRIES - 1, -1, -1):
+        try:
+            out = _ingested(archive, source_db, recordings_dir, *args, **options)
+        except Conflict:
+            archive.load()
+            if not left:
+                raise
+        else:
+            if not out.fast_path:
+                archive.upkeep()
+            return out
+    raise AssertionError("unreachable")
+
+
+def _ingested(
     archive: Archive,
     source_db: str,
     recordings_dir: str,
@@ -356,7 +319,7 @@ def ingest(
     updaters: list[Change] | None = None,
     now: str | None = None,
 ) -> Outcome:
-    """Brings the archive up to date with the source. Without ``embed``, text is ingested and embedding state stays."""
+    """One ingest. Without ``embed``, text is ingested and embedding state stays."""
     began, spark, out = time.time(), archive.spark, Outcome()
     now = now or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
     ran = migrated(archive) | updated(archive, updaters)
@@ -368,61 +331,71 @@ def ingest(
     if not ran and archive.config("source_mtime_ns") == changed and not out.model_switched and (embed is None or archive.config("embedded_mtime_ns") == changed and not restructured):
         return replace(out, fast_path=True, seconds=time.time() - began)
     try:
-        with sqlite.snapshot(source_db, archive._file(".snapshots")[1]) as source, archive.work() as written:
+        local = archive.files.local
+        taken = sqlite.shipped(spark, source_db) if local is None else sqlite.snapshot(source_db, f"{local}/.snapshots")
+        with taken as source, archive.work() as written:
             new = written("new", _incoming(archive, source, recordings_dir))
-            old = archive.table("recording")
-            small = ["folder_name", "datetime", "audio_path", *MARKS]
-            meta, audio = folders.metadata(spark, recordings_dir), folders.audio(spark, recordings_dir)
-            marked = audio_marked(deletions_marked(merged(old, new, now).select(*small), sqlite.source_folders(spark, source), meta, now), audio, now)
-            unhashed = marked.filter("audio_hash is null and audio_path is not null").select("folder_name")
-            hashes = folders.audio_hashes(spark, recordings_dir, unhashed).withColumnRenamed("audio_hash", "found_hash")
-            hashed = marked.join(hashes, "folder_name", "left").withColumn("audio_hash", F.coalesce("audio_hash", "found_hash")).drop("found_hash")
-            marks = written("marks", superseded(hashed, now).select(*small))
-            was = old.select("folder_name", F.lit(True).alias("was"), *[F.col(c).alias(f"{c}_was") for c in MARKS])
-            came = new.select("folder_name", F.lit(True).alias("came"))
-            both = marks.join(was, "folder_name", "left").join(came, "folder_name", "left")
-            differs = F.lit(False)
-            for c in MARKS:
-                differs = differs | ~F.col(c).eqNullSafe(F.col(f"{c}_was"))
-            moved = F.col("came").isNotNull() | differs
-            counts = both.agg(
+            decided = written("decided", _decided(archive, source, recordings_dir, new, now))
+            counts = decided.agg(
                 F.count_if(F.expr("came and was is null")).alias("new"),
                 F.count_if(F.expr("came and was")).alias("updated"),
                 F.count_if(F.expr("was and source_deleted_at_was is null and source_deleted_at is not null")).alias("deleted"),
                 F.count_if(F.expr("was and has_audio_was <> has_audio")).alias("audio"),
-                F.collect_set(F.when(moved, archive.bucket())).alias("buckets"),  # at most as many as there are
+                F.collect_set(F.when(F.col("moved"), archive.bucket())).alias("buckets"),  # at most as many as there are
                 F.max(F.struct(parsed_time(F.col("datetime")), "datetime")).alias("last"),
             ).first()
             out.new_rows, out.updated_rows, out.source_deletions, out.audio_changes = counts["new"], counts["updated"], counts["deleted"], counts["audio"]
             touched = sorted(counts["buckets"])
-            # Texts whose embedding may be stale lie in touched buckets, unless an ingest went without or all is to be redone.
+            # Texts whose embedding may be stale are those that moved, unless an ingest went without or all is to be redone.
             every = embed is not None and (ran or out.model_switched or restructured or not embedded_then or known is None)
-            held = list(range(archive.buckets)) if every else touched
-            here = lambda df: df.filter(archive.bucket().isin(held)) if len(held) < archive.buckets else df
-            rows = merged(archive.table("recording", held), here(new), now).drop(*MARKS).join(here(marks).select("folder_name", *MARKS), "folder_name")
-            if held:
-                current = written("current", rows.select(*columns_of("recording")))
+            moved = decided.filter("moved").select("folder_name", "came", *MARKS)
+            before = archive.table("recording", touched).join(moved.select("folder_name"), "folder_name", "left_semi")
+            rows = merged(before, new, now).drop(*MARKS).join(moved, "folder_name").withColumn("moved", F.lit(True))
+            if every:
+                rest = without(archive.table("recording"), moved).withColumns({"came": F.lit(None).cast("boolean"), "moved": F.lit(False)})
+                rows = rows.unionByName(rest)
+            if touched or every:
+                current = written("current", rows.select(*columns_of("recording"), "came", "moved"))
+                changed_rows = current.filter("moved")
                 if embed is not None:
-                    out.embedded, current = _embedded(archive, current, held, written, embed, model, dims, strategy, out.model_switched)
-                archive.staged("recording", current, held)
-                _indexed(archive, "recording", with_derived(current), "folder_name", ["raw_transcript", "processed_transcript"], held)
-            out.buckets_written = len(held)
+                    out.embedded, changed_rows = _embedded(archive, current, None if every else touched, written, embed, model, dims, strategy, out.model_switched, restructured)
+                out.buckets_written = len(archive.put("recording", changed_rows))
+                texts = with_derived(current.filter("came")).select("folder_name", F.col("folder_name").alias("doc"), *INDEXED["recording"])
+                if not texts.isEmpty():
+                    segments.put(archive, "recording_fts", texts, INDEXED["recording"], porter_tokens)
             last = counts["last"]
-            archive.commit(
-                source_mtime_ns=changed,
-                last_indexed_datetime=last["datetime"] if last else None,
-                last_sync_finished_at=now,
-                last_sync_error="",
-                **({"embed_model": model, "embed_dim": str(dims), "chunk_strategy": strategy.text(), "embedded_mtime_ns": changed} if embed is not None else {}),
-            )
+            told = {"source_mtime_ns": changed, "last_indexed_datetime": last["datetime"] if last else None, "last_sync_finished_at": now, "last_sync_error": ""}
+            if embed is not None:
+                told |= {"embed_model": model, "embed_dim": str(dims), "chunk_strategy": strategy.text(), "embedded_mtime_ns": changed}
+            archive.commit({k: v for k, v in told.items() if v is not None})
+    except Conflict:
+        raise
     except Exception as error:
-        archive.state.pop("staged", None)
-        archive.commit(last_sync_error=str(error)[:500])
+        archive.staged = {}
+        archive.commit({"last_sync_error": str(error)[:500]})
         raise
-    archive.vacuum()
     return replace(out, seconds=time.time() - began)
 
 
+def _decided(archive: Archive, source: str, recordings_dir: str, new: DataFrame, now: str) -> DataFrame:
+    """Every row with its marks as they are to be and as they were (``_was``), whether it ``came`` from the source, ``was``
+    there before, and ``moved``: whether it is to be written."""
+    spark, old = archive.spark, archive.table("recording")
+    small = ["folder_name", "datetime", "audio_path", *MARKS]
+    meta, audio = folders.metadata(spark, recordings_dir), folders.audio(spark, recordings_dir)
+    marked = audio_marked(deletions_marked(merged(old, new, now).select(*small), sqlite.source_folders(spark, source), meta, now), audio, now)
+    unhashed = marked.filter("audio_hash is null and audio_path is not null").select("folder_name")
+    hashes = folders.audio_hashes(spark, recordings_dir, unhashed).withColumnRenamed("audio_hash", "found_hash")
+    hashed = marked.join(hashes, "folder_name", "left").withColumn("audio_hash", F.coalesce("audio_hash", "found_hash")).drop("found_hash")
+    was = old.select("folder_name", F.lit(True).alias("was"), *[F.col(c).alias(f"{c}_was") for c in MARKS])
+    came = new.select("folder_name", F.lit(True).alias("came"))
+    both = superseded(hashed, now).select(*small).join(was, "folder_name", "left").join(came, "folder_name", "left")
+    differs = F.lit(False)
+    for c in MARKS:
+        differs = differs | ~F.col(c).eqNullSafe(F.col(f"{c}_was"))
+    return both.withColumn("moved", F.col("came").isNotNull() | differs)
+
+
 def _incoming(archive: Archive, source: str, recordings_dir: str) -> DataFrame:
     """The source's recordings since the bookmark, with what their folders say."""
     spark = archive.spark
@@ -433,43 +406,42 @@ def _incoming(archive: Archive, source: str, recordings_dir: str) -> DataFrame:
     )
 
 
-def _indexed(archive: Archive, table: str, texts: DataFrame, key: str, columns: list[str], buckets: list[int]) -> None:
-    """Stages the keyword index of ``texts``, all those of ``buckets``."""
-    folder = texts.select(F.col(key).alias("doc"), F.col("folder_name")) if key != "folder_name" else None
-    index = Index.of(texts, key, columns, porter_tokens)
-    for name, rows, order in ((f"{table}_fts", index.postings, ("term", "doc", "pos")), (f"{table}_fts_docs", index.lengths, ("doc",))):
-        placed = rows.withColumn("folder_name", F.col("doc")) if folder is None else rows.join(folder, "doc")
-        archive.staged(name, placed, buckets, *order)
-
-
-def _embedded(archive: Archive, current: DataFrame, buckets: list[int], written: Callable, embed: Embedder, model: str, dims: int, strategy: Strategy, switched: bool) -> tuple[int, DataFrame]:
-    """Chunks and embeds what is dirty in ``buckets``; superseded rows lose their chunks and vectors.
+def _embedded(
+    archive: Archive, current: DataFrame, buckets: list[int] | None, written: Callable, embed: Embedder, model: str, dims: int, strategy: Strategy, switched: bool, restructured: bool
+) -> tuple[int, DataFrame]:
+    """Chunks and embeds what is dirty among ``current``, which lies in ``buckets``; superseded rows lose their chunks and
+    vectors.
 
-    Returns the number of rows embedded, and ``current`` with the proof of it.
+    Returns the number of rows embedded, and those of ``current`` that are to be written, with the proof of it.
     """
-    vectors, chunks, chunk_vectors = (archive.table(t, buckets) for t in ("recording_vec", "recording_chunk", "recording_chunk_vec"))
-    if switched:
-        vectors, chunk_vectors = vectors.limit(0), chunk_vectors.limit(0)
-    if archive.config("chunk_strategy") not in (None, strategy.text()):
-        chunks, chunk_vectors = chunks.limit(0), chunk_vectors.limit(0)
-    todo = written("todo", dirty(current, vectors, chunks, model, strategy).select("folder_name", "mode_name", "body", "body_hash", "long"))
-    gone = current.filter("superseded_by is not null").select("folder_name").unionByName(todo.select("folder_name"))
-    made = chunked(todo.filter("long"), strategy=strategy).join(todo.select("folder_name", "body_hash"), "folder_name")
-    archive.staged("recording_chunk", without(chunks, gone).unionByName(made), buckets)
-    chunks = archive.table("recording_chunk", buckets, staged=True)
-    _indexed(archive, "recording_chunk", chunks.withColumn("doc", F.concat_ws("/", "folder_name", F.col("chunk_idx").cast("string"))), "doc", ["text"], buckets)
-    fresh = chunks.join(todo.select("folder_name", "mode_name"), "folder_name")
+    of_rows = lambda name: archive.table(name, buckets).join(current.select("folder_name"), "folder_name", "left_semi")
+    vectors, chunks, chunk_vectors = (of_rows(t).select("folder_name").distinct() for t in ("recording_vec", "recording_chunk", "recording_chunk_vec"))
+    none = chunks.limit(0)
+    stale = dirty(current, none if switched else vectors, none if restructured else chunks, model, strategy)
+    todo = written("todo", stale.select("folder_name", "mode_name", "body", "body_hash", "long"))
+    lost = current.filter("superseded_by is not null").select("folder_name")
+    made = written("chunks", chunked(todo.filter("long"), strategy=strategy).join(todo.select("folder_name", "body_hash"), "folder_name").select(*columns_of("recording_chunk")))
     prefix = F.concat(F.lit("["), "mode_name", F.lit("] "))
-    chunk_texts = fresh.select("chunk_id", "folder_name", F.concat(prefix, "text").alias("embed_text"))
-    archive.staged("recording_chunk_vec", without(chunk_vectors, gone).unionByName(embedded(chunk_texts, embed).drop("embed_text")), buckets)
-    chunk_vectors = archive.table("recording_chunk_vec", buckets, staged=True)
-    of_chunks = chunk_vectors.join(chunks.select("chunk_id", "chunk_idx"), "chunk_id").join(todo.select("folder_name"), "folder_name", "left_semi")
+    texts = made.join(todo.select("folder_name", "mode_name"), "folder_name").select("chunk_id", "folder_name", F.concat(prefix, "text").alias("embed_text"))
+    made_vectors = written("chunk_vectors", embedded(texts, embed).drop("embed_text"))
+    of_chunks = made_vectors.join(made.select("chunk_id", "chunk_idx"), "chunk_id")
     centres = centroids(of_chunks.select("folder_name", "chunk_idx", F.col("embedding").cast("array<double>").alias("embedding")))
-    short = todo.join(fresh.select("folder_name").distinct(), "folder_name", "left_anti").select("folder_name", F.concat(prefix, "body").alias("embed_text"))
-    archive.staged("recording_vec", without(vectors, gone).unionByName(embedded(short, embed).drop("embed_text")).unionByName(centres.select("folder_name", F.col("embedding").cast("array<float>").alias("embedding"))), buckets)
+    short = without(todo, made.select("folder_name").distinct()).select("folder_name", F.concat(prefix, "body").alias("embed_text"))
+    made_rows = embedded(short, embed).drop("embed_text").unionByName(centres.select("folder_name", F.col("embedding").cast("array<float>").alias("embedding")))
+    # What has chunks or vectors now and isn't to have them any more.
+    unchunked = without(chunks if restructured else chunks.join(todo.select("folder_name").unionByName(lost), "folder_name", "left_semi"), made.select("folder_name").distinct())
+    unchunked = written("unchunked", unchunked)
+    lost_vectors = without(chunk_vectors if switched or restructured else chunk_vectors.join(todo.select("folder_name").unionByName(lost), "folder_name", "left_semi"), made.select("folder_name").distinct())
+    archive.put("recording_chunk", made, unchunked, order=("folder_name", "chunk_idx"))
+    archive.put("recording_chunk_vec", made_vectors, lost_vectors)
+    archive.put("recording_vec", made_rows, without(vectors if switched else vectors.join(lost, "folder_name", "left_semi"), todo))
+    if not (made.isEmpty() and unchunked.isEmpty()):
+        docs = made.select("folder_name", F.concat_ws("/", "folder_name", F.col("chunk_idx").cast("string")).alias("doc"), "text")
+        segments.put(archive, "recording_chunk_fts", docs, INDEXED["recording_chunk"], porter_tokens, unchunked)
     done = todo.select("folder_name", F.col("body_hash").alias("done_hash"))
-    lost = F.col("superseded_by").isNotNull()
-    proof = lambda name, new: F.when(lost, F.lit(None)).when(F.col("done_hash").isNotNull(), new).otherwise(F.col(name)).alias(name)
-    kept = [c for c in current.columns if not c.startswith("embed_")]
-    rows = current.join(done, "folder_name", "left").select(*kept, proof("embed_model", F.lit(model)), proof("embed_dim", F.lit(dims)), proof("embed_text_hash", F.col("done_hash")))
+    is_lost = F.col("superseded_by").isNotNull()
+    proof = lambda name, new: F.when(is_lost, F.lit(None)).when(F.col("done_hash").isNotNull(), new).otherwise(F.col(name)).alias(name)
+    kept = [c for c in columns_of("recording") if not c.startswith("embed_")]
+    written_rows = current.join(done, "folder_name", "left").filter(F.col("moved") | F.col("done_hash").isNotNull() | (is_lost & F.col("embed_text_hash").isNotNull()))
+    rows = written_rows.select(*kept, proof("embed_model", F.lit(model)), proof("embed_dim", F.lit(dims)), proof("embed_text_hash", F.col("done_hash")))
     return todo.count(), rows

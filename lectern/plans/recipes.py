@@ -287,10 +287,11 @@ _TOP = "SELECT folder_name, mode_name, round(bm25, 6) AS bm25 FROM hits JOIN rec
 
 
 def _keyword(spark, sf_dir, q, most: int = 10):
-    hits = search.bm25(demo.index(spark, sf_dir), q)  # of superseded recordings too; they are filtered after scoring
-    rows = _canonical(spark, sf_dir).select(F.col("folder_name"), "mode_name")
-    top = rows.join(hits, F.col("folder_name") == F.col("doc")).orderBy("bm25", "folder_name").limit(most)
-    return top.select("folder_name", "mode_name", F.round("bm25", 6).alias("bm25"))
+    """The best canonical rows; superseded ones count in the scores, and are left out after scoring."""
+    rows = _canonical(spark, sf_dir).select("folder_name", "mode_name")
+    top = search.top(demo.index(spark, sf_dir), q, most, rows.select(F.col("folder_name").alias("doc")))
+    found = rows.join(F.broadcast(top), F.col("folder_name") == F.col("doc")).orderBy("bm25", "folder_name")
+    return found.select("folder_name", "mode_name", F.round("bm25", 6).alias("bm25"))
 
 
 def _kw(matched: str, phrases: list[str]) -> str:
@@ -335,22 +336,22 @@ _CPOST = o.postings("(SELECT folder_name || '/' || chunk_idx AS doc_key, text FR
 @query("kw_chunk_recordings", f"{_CHUNKS}, {_CPOST}, {o.scored(_TERM('loser'), [(o.instances('loser'),) * 2])} SELECT folder_name, chunk_idx, datetime_iso, mode_name, c.text, round(bm25, 6) AS bm25 FROM hits JOIN chunk c ON doc = folder_name || '/' || chunk_idx JOIN rec USING (folder_name) WHERE superseded_by IS NULL ORDER BY hits.bm25, doc LIMIT 20")
 def kw_chunk_recordings(spark, sf_dir):
     """The best chunks with what their recording says; texts are read of the few that remain."""
-    hits = search.bm25(demo.chunk_index(spark, sf_dir), search.term("loser"))
     named = _chunks(spark, sf_dir).withColumn("doc", demo.chunk_key())
     rows = _canonical(spark, sf_dir).select("folder_name", "datetime_iso", "mode_name")
-    top = hits.join(named.select("doc", "folder_name", "chunk_idx"), "doc").join(rows, "folder_name").orderBy("bm25", "doc").limit(20)
-    return named.select("doc", "text").join(F.broadcast(top), "doc").select("folder_name", "chunk_idx", "datetime_iso", "mode_name", "text", F.round("bm25", 6).alias("bm25"))
+    top = search.top(demo.chunk_index(spark, sf_dir), search.term("loser"), 20, named.join(rows, "folder_name", "left_semi").select("doc"))
+    found = named.select("doc", "folder_name", "chunk_idx", "text").join(F.broadcast(top), "doc")
+    return rows.join(F.broadcast(found), "folder_name").orderBy("bm25", "doc").select("folder_name", "chunk_idx", "datetime_iso", "mode_name", "text", F.round("bm25", 6).alias("bm25"))
 
 
 @query("kw_chunk_bm25", f"{_CHUNKS}, {_CPOST}, {o.scored(_TERM('loser'), [(o.instances('loser'),) * 2])} SELECT doc, round(bm25, 6) AS bm25 FROM hits ORDER BY hits.bm25, doc LIMIT 20")
 def kw_chunk_bm25(spark, sf_dir):
-    hits = search.bm25(demo.chunk_index(spark, sf_dir), search.term("loser"))
-    return hits.orderBy("bm25", "doc").limit(20).select("doc", F.round("bm25", 6).alias("bm25"))
+    hits = search.top(demo.chunk_index(spark, sf_dir), search.term("loser"), 20)
+    return hits.orderBy("bm25", "doc").select("doc", F.round("bm25", 6).alias("bm25"))
 
 
 @query("hybrid_rrf", f"WITH {o.REC}, {_POST}, {o.QUERY}, {o.ROWVEC}, {o.scored(_TERM('loser'), [(o.instances('loser'),) * 2])}, kw AS (SELECT doc AS folder_name, row_number() OVER (ORDER BY bm25, doc) AS r FROM (SELECT * FROM hits ORDER BY bm25, doc LIMIT 50)), vec AS (SELECT folder_name, row_number() OVER (ORDER BY d, folder_name) AS r FROM (SELECT folder_name, {_D} AS d FROM rowvec v, q ORDER BY d, folder_name LIMIT 50)) SELECT folder_name, datetime_iso, mode_name, round(coalesce(1.0::DOUBLE / (60 + kw.r), 0) + coalesce(1.0::DOUBLE / (60 + vec.r), 0), 9) AS rrf FROM rec LEFT JOIN kw USING (folder_name) LEFT JOIN vec USING (folder_name) WHERE superseded_by IS NULL AND (kw.r IS NOT NULL OR vec.r IS NOT NULL) ORDER BY rrf DESC, folder_name LIMIT 10")
 def hybrid_rrf(spark, sf_dir):
-    kw = search.bm25(demo.index(spark, sf_dir), search.term("loser")).orderBy("bm25", "doc").limit(50)
+    kw = search.top(demo.index(spark, sf_dir), search.term("loser"), 50)
     kw = vectors.ranked(kw, "bm25", "doc").select(F.col("doc").alias("folder_name"), "r")
     vec = vectors.ranked(vectors.nearest(demo.row_vectors(spark, sf_dir), demo.query_vector(spark, sf_dir), "folder_name", 50), "dist", "folder_name")
     found = vectors.fused(kw, vec, "folder_name").withColumn("rrf", F.round("rrf", 9))
@@ -361,7 +362,7 @@ def hybrid_rrf(spark, sf_dir):
 @query("hybrid_rrf_chunk", f"{_CVEC}, {_CPOST}, {o.scored(_TERM('loser'), [(o.instances('loser'),) * 2])}, kw AS (SELECT doc, row_number() OVER (ORDER BY bm25, doc) AS r FROM (SELECT * FROM hits ORDER BY bm25, doc LIMIT 50)), vec AS (SELECT doc, row_number() OVER (ORDER BY d, doc) AS r FROM (SELECT folder_name || '/' || chunk_idx AS doc, {_D} AS d FROM chunkvec v, q ORDER BY d, doc LIMIT 50)) SELECT doc, round(coalesce(1.0::DOUBLE / (60 + kw.r), 0) + coalesce(1.0::DOUBLE / (60 + vec.r), 0), 9) AS rrf FROM kw FULL JOIN vec USING (doc) ORDER BY rrf DESC, doc LIMIT 10")
 def hybrid_rrf_chunk(spark, sf_dir):
     all_chunks = _chunks(spark, sf_dir).withColumn("doc", demo.chunk_key())
-    kw = search.bm25(demo.chunk_index(spark, sf_dir), search.term("loser")).orderBy("bm25", "doc").limit(50)
+    kw = search.top(demo.chunk_index(spark, sf_dir), search.term("loser"), 50)
     near = demo.chunk_vectors(spark, sf_dir, all_chunks).join(all_chunks.select("chunk_id", "doc"), "chunk_id")
     vec = vectors.ranked(vectors.nearest(near, demo.query_vector(spark, sf_dir), "doc", 50), "dist", "doc")
     found = vectors.fused(vectors.ranked(kw, "bm25", "doc"), vec, "doc").withColumn("rrf", F.round("rrf", 9))

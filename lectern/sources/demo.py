@@ -61,15 +61,16 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> Index:
     """The keyword index of all recordings, superseded ones too."""
-    rows = lambda: spread(recordings(spark, sf_dir).select("folder_name", "raw_transcript", "processed_transcript"))
-    made = lambda: Index.of(rows(), "folder_name", ["raw_transcript", "processed_transcript"], porter_tokens if stemmed else tokens)
-    return Index.read(spark, stored_path(spark, f"{sf_dir}/recording_{'stem' if stemmed else 'word'}_index", lambda path: made().write(path)))
+    columns = ["raw_transcript", "processed_transcript"]
+    rows = lambda: spread(recordings(spark, sf_dir).select("folder_name", *columns))
+    write = lambda path: Index.store(path, rows(), "folder_name", columns, porter_tokens if stemmed else tokens)
+    return Index.read(spark, stored_path(spark, f"{sf_dir}/recording_{'stem' if stemmed else 'word'}_index", write))
 
 
 def chunk_index(spark: SparkSession, sf_dir: str) -> Index:
     """The keyword index of the chunks, each known by its recording and number."""
     texts = lambda: spread(chunks(spark, sf_dir).select(chunk_key().alias("doc"), "text"))
-    return Index.read(spark, stored_path(spark, f"{sf_dir}/chunk_word_index", lambda path: Index.of(texts(), "doc", ["text"]).write(path)))
+    return Index.read(spark, stored_path(spark, f"{sf_dir}/chunk_word_index", lambda path: Index.store(path, texts(), "doc", ["text"])))
 
 
 def chunk_key() -> Column:

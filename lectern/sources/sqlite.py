@@ -6,11 +6,13 @@ import logging
 import os
 import shutil
 import sqlite3
+import tempfile
 import time
 import uuid
 from collections.abc import Iterator
 from contextlib import closing, contextmanager
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -40,7 +42,7 @@ class SQLiteReader(DataSourceReader):
             raise FileNotFoundError(self.path)
 
     def _open(self) -> sqlite3.Connection:
-        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+        return sqlite3.connect(f"file:{here(self.path)}?mode=ro", uri=True)
 
     def partitions(self) -> list[InputPartition]:
         with self._open() as db:
@@ -98,6 +100,20 @@ def swept(folder: str) -> None:
                 log.debug("%s couldn't be swept", at, exc_info=True)  # another run may have been first
 
 
+@contextmanager
+def shipped(spark: SparkSession, path: str) -> Iterator[str]:
+    """A snapshot for an archive on storage that isn't a path here: taken beside nothing but the driver, and handed to the
+    executors as a file of the application, which each fetches once."""
+    with tempfile.TemporaryDirectory(prefix="snapshot-") as folder, snapshot(path, folder) as out:
+        spark.sparkContext.addFile(out)
+        yield out
+
+
+def here(path: str) -> str:
+    """Where a database, or the snapshot of it that was shipped, lies on this machine."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 @contextmanager
 def snapshot(path: str, folder: str) -> Iterator[str]:
     """A consistent copy of a database that another program may be writing, in a folder that executors share.
