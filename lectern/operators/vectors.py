@@ -7,8 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 RRF_K = 60
 
@@ -58,21 +61,63 @@ def fused(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, (share("r1") + share("r2")).alias("rrf"))
 
 
+#: Components that a task's sums of vectors may hold before they are passed on.
+HELD = 4_000_000
+
+
+def _sums(key: str, schema: StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows ``key, chunk_idx, embedding``, for each key the sum of its vectors, their least and greatest length, and
+    the first of them: one row for each key and task, unless a task has very many keys."""
+
+    def told(held: dict) -> pa.RecordBatch:
+        columns = list(zip(*[(k, s.tolist(), low, high, at, v.tolist()) for k, (s, low, high, at, v) in held.items()])) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(schema))], schema.fieldNames())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        components = 0
+        for batch in batches:
+            keys, places, vectors = batch.columns
+            ends = vectors.offsets.to_numpy() - vectors.offsets[0].as_py()
+            flat = vectors.flatten().to_numpy(zero_copy_only=False)
+            for k, at, valid, a, b in zip(keys.to_pylist(), places.to_pylist(), vectors.is_valid().to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                if not valid:
+                    continue
+                v = flat[a:b]
+                if k not in held:
+                    held[k] = [v.copy(), b - a, b - a, at, v]
+                    components += 2 * (b - a)
+                    continue
+                mine = held[k]
+                mine[1], mine[2] = min(mine[1], b - a), max(mine[2], b - a)
+                if mine[1] == mine[2]:
+                    mine[0] += v
+                if at < mine[3]:
+                    mine[3], mine[4] = at, v
+            if components > HELD:
+                yield told(held)
+                held, components = {}, 0
+        yield told(held)
+
+    return run
+
+
 def centroids(vectors: DataFrame, key: str = "folder_name") -> DataFrame:
     """The unit-length mean direction of each key's vectors (``embedding``), or the first of them (by ``chunk_idx``) if they cancel out.
 
-    Sums by component are combined before the shuffle. Vectors of one key must be equally long.
+    Each task adds up its vectors by key, so one row for each key and task is shuffled, whatever a vector's length. Null
+    vectors don't count; those of one key must be equally long.
     """
+    rows = vectors.select(key, F.col("chunk_idx").cast("long").alias("chunk_idx"), F.col("embedding").cast("array<double>").alias("embedding"))
+    doubles, longs = ArrayType(DoubleType()), LongType()
+    schema = StructType([rows.schema[key], StructField("sum", doubles), StructField("least", longs), StructField("most", longs), StructField("at", longs), StructField("first", doubles)])
+    parts = rows.mapInArrow(_sums(key, schema), schema)
     wrong = F.raise_error(F.concat(F.lit("vectors of different lengths: "), F.col(key).cast("string")))
-    parts = vectors.select(key, F.size("embedding").alias("size"), F.posexplode("embedding").alias("pos", "x"))
-    sums = parts.groupBy(key, "pos").agg(F.sum("x").alias("x"), F.min("size").alias("least"), F.max("size").alias("most"))
-    summed = sums.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("sum"), F.min("least").alias("least"), F.max("most").alias("most"))
-    firsts = vectors.groupBy(F.col(key).alias("of_key")).agg(F.min_by("embedding", "chunk_idx").alias("first"))
-    total = F.transform("sum", lambda s: s["x"])
-    norm = F.sqrt(dot(total, total))
-    joined = summed.join(firsts, summed[key] == firsts["of_key"])
-    centre = F.when(F.col("least") != F.col("most"), wrong.cast("array<double>")).when(norm > 0, F.transform(total, lambda x: x / norm)).otherwise(F.col("first").cast("array<double>"))
-    return joined.select(key, centre.alias("embedding"))
+    sums = parts.groupBy(key).agg(F.collect_list("sum").alias("sums"), F.min("least").alias("least"), F.max("most").alias("most"), F.min_by("first", "at").alias("first"))
+    total = F.aggregate(F.slice("sums", 2, F.size("sums")), F.element_at("sums", 1), lambda t, s: F.zip_with(t, s, lambda x, y: x + y))
+    summed = sums.withColumn("total", F.when(F.col("least") != F.col("most"), wrong.cast("array<double>")).otherwise(total))
+    norm = F.sqrt(dot(F.col("total"), F.col("total")))
+    return summed.select(key, F.when(norm > 0, F.transform("total", lambda x: x / norm)).otherwise(F.col("first")).alias("embedding"))
 
 
 def to_blob(vector: Column) -> Column:

@@ -226,6 +226,13 @@ def vec_filtered(spark, sf_dir, app: str = APP, mode: str = APP_MODE):
     return rows.join(F.broadcast(found), "folder_name").select("folder_name", "app_name", F.round("dist", 6).alias("dist"))
 
 
+@query("vec_balls", f"{_VEC} SELECT folder_name, round({_D}, 6) AS dist FROM rowvec v JOIN rec USING (folder_name), q WHERE superseded_by IS NULL ORDER BY {_D}, folder_name LIMIT 10")
+def vec_balls(spark, sf_dir):
+    """The nearest canonical rows, from balls of vectors of which those out of reach are skipped."""
+    kept = _canonical(spark, sf_dir).select("folder_name")
+    return demo.balls(spark, sf_dir).nearest(demo.query_vector(spark, sf_dir), "folder_name", 10, kept).rows.select("folder_name", F.round("dist", 6).alias("dist"))
+
+
 def _top_chunks(spark, sf_dir, most):
     """The nearest chunks, read again from the chunk table by id: (folder_name, chunk_idx, text, dist)."""
     all_chunks = _chunks(spark, sf_dir)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import porter_tokens, token_count, tokens
+from lectern.operators.balls import Balls
 from lectern.operators.chunks import chunked
 from lectern.operators.recordings import body, canonical, with_derived
 from lectern.operators.search import Index
@@ -81,6 +82,11 @@ def row_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("folder_name"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
+def balls(spark: SparkSession, sf_dir: str) -> Balls:
+    """``row_vectors``, stored for exact search."""
+    return Balls.read(spark, stored_path(spark, f"{sf_dir}/row_balls", lambda path: Balls.store(path, row_vectors(spark, sf_dir))))
+
+
 def chunk_vectors(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
     """A vector for each chunk, taken from ``embeddings`` by a fixed rule."""
     vectors = table(spark, sf_dir, "embeddings")
