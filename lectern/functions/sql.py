@@ -27,18 +27,31 @@ FUNCTIONS = {
     "vec_distance_l2(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>)": ("DOUBLE", "sqrt(aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (t, x) -> t + x))"),
     "vec_distance_l1(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>)": ("DOUBLE", "aggregate(zip_with(a, b, (x, y) -> abs(x - y)), 0D, (t, x) -> t + x)"),
     # Scalars of SQLite that Spark lacks or names otherwise.
-    "iif(test BOOLEAN, a STRING, b STRING)": ("STRING", "if(test, a, b)"),
     "unixepoch(at STRING)": ("BIGINT", "unix_seconds(try_cast(at AS TIMESTAMP))"),
     "julianday(at STRING)": ("DOUBLE", "unix_micros(try_cast(at AS TIMESTAMP)) / 86400000000D + 2440587.5D"),
     "unicode(text STRING)": ("INT", "nullif(ascii(text), 0)"),
+    "sqlite_quote(text STRING)": ("STRING", r"""coalesce('\'' || replace(text, '\'', '\'\'') || '\'', 'NULL')"""),
+    "sqlite_random()": ("BIGINT", "CAST((rand() - 0.5D) * 18446744073709551615D AS BIGINT)"),
+    # A pattern's parts become those of a regular expression: * and ?, sets in brackets, any other character itself. A
+    # bracket that isn't closed matches nothing.
     "glob(pattern STRING, text STRING)": (
         "BOOLEAN",
-        "text RLIKE ('(?s)^' || regexp_replace(regexp_replace(regexp_replace(pattern, '([.+^$(){}|\\\\\\\\])', '\\\\\\\\$1'), '[*]', '.*'), '[?]', '.') || '$')",
+        r"""text RLIKE ('(?s)^' || array_join(transform(regexp_extract_all(pattern, r'(?s)\[\^?\]?[^\]]*\]|.', 0), part -> CASE
+          WHEN part = '*' THEN '.*' WHEN part = '?' THEN '.' WHEN part = '[' THEN '(?!)'
+          WHEN length(part) > 1 THEN '[' || if(startswith(part, '[^'), '^', '') || regexp_replace(substr(part, if(startswith(part, '[^'), 3, 2), length(part) - if(startswith(part, '[^'), 3, 2)), r'([\\\[\]&^])', r'\\$1') || ']'
+          ELSE regexp_replace(part, r'([^\p{L}\p{N}\s])', r'\\$1') END), '') || '$')""",
     ),
 }
 
 
+#: Functions under other names: Spark's own, which take and give any type, and those that replace one of Spark's.
+ALIASES = {"iif": "if", "quote": "sqlite_quote", "random": "sqlite_random"}
+
+
 def register(spark: SparkSession) -> None:
-    """Defines FUNCTIONS as temporary functions of the session."""
+    """Defines FUNCTIONS and ALIASES as temporary functions of the session."""
     for head, (kind, expression) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {kind} RETURN {expression}")
+    known, named = spark._jsparkSession.sessionState().functionRegistry(), spark.sparkContext._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier
+    for name, own in ALIASES.items():
+        known.registerFunction(named(name), known.lookupFunction(named(own)).get(), known.lookupFunctionBuilder(named(own)).get())

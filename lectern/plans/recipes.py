@@ -262,7 +262,7 @@ def vec_neighbors(spark, sf_dir):
 def vec_filter_chunks(spark, sf_dir, mode: str = MODE, days: int = 90):
     since = F.date_format(F.lit(NOW).cast("timestamp") - F.expr(f"INTERVAL {int(days)} DAYS"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     rows = _canonical(spark, sf_dir).filter((F.col("mode_name_lower") == mode) & (F.col("datetime_iso") >= since))
-    eligible = chunks.chunked(rows.select("folder_name", recordings.body().alias("body")))
+    eligible = _chunks(spark, sf_dir).join(rows.select("folder_name"), "folder_name", "left_semi")
     near = vectors.cosine_distance(F.col("embedding"), demo.query_vector(spark, sf_dir))
     top = demo.chunk_vectors(spark, sf_dir, eligible).join(eligible, "chunk_id").withColumn("d", near).orderBy("d", "folder_name", "chunk_idx").limit(10)
     return top.select("folder_name", "chunk_idx", "text", F.round("d", 6).alias("dist"))
@@ -376,6 +376,19 @@ def hybrid_rrf_chunk(spark, sf_dir):
     return found.orderBy(F.desc("rrf"), "doc").limit(10)
 
 
+@query("hybrid_chunks", f"{_CVEC}, {_CPOST}, {o.scored(_TERM('loser'), [(o.instances('loser'),) * 2])}, kw AS (SELECT doc, row_number() OVER (ORDER BY bm25, doc) AS r FROM (SELECT * FROM hits ORDER BY bm25, doc LIMIT 50)), vec AS (SELECT doc, row_number() OVER (ORDER BY d, doc) AS r FROM (SELECT folder_name || '/' || chunk_idx AS doc, {_D} AS d FROM chunkvec v, q ORDER BY d, doc LIMIT 50)) SELECT folder_name, datetime_iso, chunk_idx, c.text, round(rrf, 9) AS rrf FROM (SELECT doc, coalesce(1.0::DOUBLE / (60 + kw.r), 0) + coalesce(1.0::DOUBLE / (60 + vec.r), 0) AS rrf FROM kw FULL JOIN vec USING (doc)) f JOIN chunk c ON f.doc = c.folder_name || '/' || c.chunk_idx JOIN rec USING (folder_name) WHERE superseded_by IS NULL ORDER BY round(rrf, 9) DESC, f.doc LIMIT 10")
+def hybrid_chunks(spark, sf_dir):
+    """The best chunks by keywords and vectors, with their recording; texts are read of the few that remain."""
+    all_chunks = _chunks(spark, sf_dir).withColumn("doc", demo.chunk_key())
+    kw = search.top(demo.chunk_index(spark, sf_dir), search.term("loser"), 50)
+    near = demo.chunk_vectors(spark, sf_dir, all_chunks).join(all_chunks.select("chunk_id", "doc"), "chunk_id")
+    vec = vectors.ranked(vectors.nearest(near, demo.query_vector(spark, sf_dir), "doc", 50), "dist", "doc")
+    found = vectors.fused(vectors.ranked(kw, "bm25", "doc"), vec, "doc").withColumn("rrf", F.round("rrf", 9))
+    named = all_chunks.select("doc", "folder_name", "chunk_idx", "text").join(F.broadcast(found), "doc")  # at most 100 rows
+    out = _canonical(spark, sf_dir).select("folder_name", "datetime_iso").join(F.broadcast(named), "folder_name")
+    return out.orderBy(F.desc("rrf"), "doc").limit(10).select("folder_name", "datetime_iso", "chunk_idx", "text", "rrf")
+
+
 @query("kw_porter")
 def kw_porter(spark, sf_dir):
     """Stemmed search; no SQL twin, since SQL has no stemmer. Tested against SQLite's full-text search."""
