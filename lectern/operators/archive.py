@@ -17,9 +17,10 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from datetime import UTC, datetime
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import sql as functions
@@ -49,10 +50,13 @@ SCHEMAS = {
     "recording_vec": "folder_name string, embedding array<float>",
     "recording_chunk": CHUNK,
     "recording_chunk_vec": "chunk_id long, folder_name string, embedding array<float>",
+    # Which recordings have the same audio, by its hash, with what their rows say of it.
+    "recording_audio": "audio_hash string, folder_name string, datetime string, superseded_by string, superseded_at string",
     # The documents of the keyword indexes of recordings and of chunks, and their lengths.
     "recording_fts_docs": _DOCUMENTS,
     "recording_chunk_fts_docs": _DOCUMENTS,
 }
+KEYS = {"recording_audio": ("audio_hash", "folder_name")}
 #: The columns that a keyword index covers.
 INDEXED = {"recording": ["raw_transcript", "processed_transcript"], "recording_chunk": ["text"]}
 KEPT_ON_UPDATE = ("recording_id_hex", "source_deleted_at", "source_audio_lost_at", "embed_model", "embed_dim", "embed_text_hash", "audio_hash", "superseded_by", "superseded_at")
@@ -88,7 +92,7 @@ class Archive(Tables):
     @classmethod
     def open(cls, spark: SparkSession, path: str, readonly: bool = False, buckets: int = BUCKETS, dims: int = 1024) -> Archive:
         """The archive at ``path`` (any path or URI that Spark reads); a new one is begun unless ``readonly``."""
-        archive = cls(spark, path.rstrip("/"), SCHEMAS)
+        archive = cls(spark, path.rstrip("/"), SCHEMAS, KEYS)
         if not archive.load() and readonly:
             raise FileNotFoundError(f"no archive at {path}")
         config = archive.state["config"]
@@ -335,22 +339,22 @@ def _ingested(
         taken = sqlite.shipped(spark, source_db) if local is None else sqlite.snapshot(source_db, f"{local}/.snapshots")
         with taken as source, archive.work() as written:
             new = written("new", _incoming(archive, source, recordings_dir))
-            decided = written("decided", _decided(archive, source, recordings_dir, new, now))
-            counts = decided.agg(
+            changes = written("changes", _changes(archive, source, recordings_dir, new, now))
+            groups = written("groups", _regrouped(archive, changes, now))
+            moved = written("moved", _moved(changes, groups))
+            counts = moved.agg(
                 F.count_if(F.expr("came and was is null")).alias("new"),
                 F.count_if(F.expr("came and was")).alias("updated"),
                 F.count_if(F.expr("was and source_deleted_at_was is null and source_deleted_at is not null")).alias("deleted"),
                 F.count_if(F.expr("was and has_audio_was <> has_audio")).alias("audio"),
-                F.collect_set(F.when(F.col("moved"), archive.bucket())).alias("buckets"),  # at most as many as there are
-                F.max(F.struct(parsed_time(F.col("datetime")), "datetime")).alias("last"),
+                F.collect_set(archive.bucket()).alias("buckets"),  # at most as many as there are
             ).first()
             out.new_rows, out.updated_rows, out.source_deletions, out.audio_changes = counts["new"], counts["updated"], counts["deleted"], counts["audio"]
             touched = sorted(counts["buckets"])
             # Texts whose embedding may be stale are those that moved, unless an ingest went without or all is to be redone.
             every = embed is not None and (ran or out.model_switched or restructured or not embedded_then or known is None)
-            moved = decided.filter("moved").select("folder_name", "came", *MARKS)
             before = archive.table("recording", touched).join(moved.select("folder_name"), "folder_name", "left_semi")
-            rows = merged(before, new, now).drop(*MARKS).join(moved, "folder_name").withColumn("moved", F.lit(True))
+            rows = _with_marks(merged(before, new, now), moved)
             if every:
                 rest = without(archive.table("recording"), moved).withColumns({"came": F.lit(None).cast("boolean"), "moved": F.lit(False)})
                 rows = rows.unionByName(rest)
@@ -360,11 +364,13 @@ def _ingested(
                 if embed is not None:
                     out.embedded, changed_rows = _embedded(archive, current, None if every else touched, written, embed, model, dims, strategy, out.model_switched, restructured)
                 out.buckets_written = len(archive.put("recording", changed_rows))
+                archive.put("recording_audio", groups)
                 texts = with_derived(current.filter("came")).select("folder_name", F.col("folder_name").alias("doc"), *INDEXED["recording"])
                 if not texts.isEmpty():
                     segments.put(archive, "recording_fts", texts, INDEXED["recording"], porter_tokens)
-            last = counts["last"]
-            told = {"source_mtime_ns": changed, "last_indexed_datetime": last["datetime"] if last else None, "last_sync_finished_at": now, "last_sync_error": ""}
+            known_last = spark.createDataFrame([(archive.config("last_indexed_datetime"),)], "datetime string")
+            last = new.select("datetime").unionByName(known_last).agg(F.max(F.struct(parsed_time(F.col("datetime")), "datetime")).alias("last")).first()["last"]
+            told = {"source_mtime_ns": changed, "last_indexed_datetime": last["datetime"], "last_sync_finished_at": now, "last_sync_error": ""}
             if embed is not None:
                 told |= {"embed_model": model, "embed_dim": str(dims), "chunk_strategy": strategy.text(), "embedded_mtime_ns": changed}
             archive.commit({k: v for k, v in told.items() if v is not None})
@@ -377,23 +383,50 @@ def _ingested(
     return replace(out, seconds=time.time() - began)
 
 
-def _decided(archive: Archive, source: str, recordings_dir: str, new: DataFrame, now: str) -> DataFrame:
-    """Every row with its marks as they are to be and as they were (``_was``), whether it ``came`` from the source, ``was``
-    there before, and ``moved``: whether it is to be written."""
+def _changes(archive: Archive, source: str, recordings_dir: str, new: DataFrame, now: str) -> DataFrame:
+    """The rows that ``came`` from the source or whose source or audio is no longer as marked: with their marks as they
+    are to be and as they were (``_was``), but for supersedence, and whether the row ``was`` there before."""
     spark, old = archive.spark, archive.table("recording")
-    small = ["folder_name", "datetime", "audio_path", *MARKS]
     meta, audio = folders.metadata(spark, recordings_dir), folders.audio(spark, recordings_dir)
+    small = ["folder_name", "datetime", "audio_path", *MARKS]
     marked = audio_marked(deletions_marked(merged(old, new, now).select(*small), sqlite.source_folders(spark, source), meta, now), audio, now)
     unhashed = marked.filter("audio_hash is null and audio_path is not null").select("folder_name")
     hashes = folders.audio_hashes(spark, recordings_dir, unhashed).withColumnRenamed("audio_hash", "found_hash")
     hashed = marked.join(hashes, "folder_name", "left").withColumn("audio_hash", F.coalesce("audio_hash", "found_hash")).drop("found_hash")
     was = old.select("folder_name", F.lit(True).alias("was"), *[F.col(c).alias(f"{c}_was") for c in MARKS])
     came = new.select("folder_name", F.lit(True).alias("came"))
-    both = superseded(hashed, now).select(*small).join(was, "folder_name", "left").join(came, "folder_name", "left")
-    differs = F.lit(False)
-    for c in MARKS:
-        differs = differs | ~F.col(c).eqNullSafe(F.col(f"{c}_was"))
-    return both.withColumn("moved", F.col("came").isNotNull() | differs)
+    both = hashed.join(was, "folder_name", "left").join(came, "folder_name", "left")
+    differs = [~F.col(c).eqNullSafe(F.col(f"{c}_was")) for c in MARKS if not c.startswith("superseded")]
+    return both.filter(F.col("came").isNotNull() | reduce(Column.__or__, differs))
+
+
+def _regrouped(archive: Archive, changes: DataFrame, now: str) -> DataFrame:
+    """The rows of ``recording_audio`` that change: of the audio hashes that came or were found, those recordings that are
+    new there or are superseded by another than before. Only rows of these hashes are read."""
+    columns = columns_of("recording_audio")
+    touched = changes.filter(F.col("audio_hash").isNotNull() & (F.col("came").isNotNull() | ~F.col("audio_hash").eqNullSafe(F.col("audio_hash_was"))))
+    buckets = [r["b"] for r in touched.select(archive.bucket("audio_hash").alias("b")).distinct().collect()]  # at most as many as there are
+    there = archive.table("recording_audio", buckets).join(touched.select("audio_hash").distinct(), "audio_hash", "left_semi")
+    now_there = without(there, touched).select(*columns, F.lit(False).alias("fresh")).unionByName(touched.select(*columns, F.lit(True).alias("fresh")))
+    marked = superseded(now_there.withColumn("by_was", F.col("superseded_by")), now)
+    return marked.filter(F.col("fresh") | ~F.col("superseded_by").eqNullSafe(F.col("by_was"))).select(*columns)
+
+
+def _moved(changes: DataFrame, groups: DataFrame) -> DataFrame:
+    """All rows that are to be written: ``changes``, and those in ``groups`` that nothing but supersedence changes, which
+    are not ``known`` otherwise."""
+    by = groups.select("folder_name", F.lit(True).alias("grouped"), F.col("superseded_by").alias("by"), F.col("superseded_at").alias("by_at"))
+    return changes.withColumn("known", F.lit(True)).join(by, "folder_name", "full_outer")
+
+
+def _with_marks(rows: DataFrame, moved: DataFrame) -> DataFrame:
+    """The rows that moved, with their new marks, ``came`` and ``moved``."""
+    names = [c for c in MARKS if not c.startswith("superseded")]
+    marks = moved.select("folder_name", "came", "known", "grouped", "by", "by_at", *[F.col(c).alias(f"{c}_now") for c in names])
+    joined = rows.join(marks, "folder_name")
+    columns = {c: F.when(F.col("known"), F.col(f"{c}_now")).otherwise(F.col(c)) for c in names}
+    columns |= {c: F.when(F.col("grouped"), F.col(new)).otherwise(F.col(c)) for c, new in (("superseded_by", "by"), ("superseded_at", "by_at"))}
+    return joined.withColumns(columns).withColumn("moved", F.lit(True)).select(*columns_of("recording"), "came", "moved")
 
 
 def _incoming(archive: Archive, source: str, recordings_dir: str) -> DataFrame:

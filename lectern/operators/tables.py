@@ -70,11 +70,13 @@ def applied(state: dict, commit: dict) -> None:
 
 @dataclass
 class Tables:
-    """Tables with the columns that ``schemas`` gives, each with ``folder_name``."""
+    """Tables with the columns that ``schemas`` gives. Rows are dealt into buckets by the first of a table's ``keys``, and a
+    delta replaces the rows that agree in all of them: ``folder_name``, where there is nothing else."""
 
     spark: SparkSession
     path: str
     schemas: dict[str, str]
+    keys: dict[str, tuple[str, ...]] = field(default_factory=dict)
     state: dict = field(default_factory=_empty)
     staged: dict = field(default_factory=dict)
 
@@ -133,6 +135,9 @@ class Tables:
             n *= 2
         return n
 
+    def _keys(self, name: str) -> tuple[str, ...]:
+        return self.keys.get(name, ("folder_name",))
+
     def bucket(self, folder: Column | str = "folder_name", buckets: int | None = None) -> Column:
         column = (F.col(folder) if isinstance(folder, str) else folder).cast("binary")
         n, h = self.buckets if buckets is None else buckets, F.crc32(column)
@@ -159,9 +164,10 @@ class Tables:
         if not deltas:
             return bases
         changed = self._files_of(name, deltas)
-        latest = changed.groupBy("folder_name").agg(F.max(SEQ).alias("latest_seq"))
-        named = changed.join(latest.withColumnRenamed("folder_name", "latest_name"), (F.col("folder_name") == F.col("latest_name")) & (F.col(SEQ) == F.col("latest_seq")), "left_semi")
-        return named if deltas_only else bases.join(latest.select("folder_name"), "folder_name", "left_anti").select(named.columns).unionByName(named)
+        keys = list(self._keys(name))
+        latest = changed.groupBy(*keys).agg(F.max(SEQ).alias(SEQ))
+        named = changed.join(latest, [*keys, SEQ], "left_semi").select(changed.columns)
+        return named if deltas_only else bases.join(latest, keys, "left_anti").select(changed.columns).unionByName(named)
 
     def table(self, name: str, buckets: Iterable[int] | None = None) -> DataFrame:
         return self.newest(name, buckets).filter(~F.col(GONE)).drop(SEQ, GONE)
@@ -172,7 +178,8 @@ class Tables:
         """A version of some buckets' rows: its name, and the bytes of each bucket that has any."""
         version = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
         columns = [c.split()[0] for c in self.schemas[name].split(", ")]
-        dealt = rows.select(*columns, SEQ, GONE).withColumn("bucket", self.bucket(buckets=buckets)).repartition("bucket", F.pmod(F.xxhash64("folder_name"), F.lit(4)))
+        key = self._keys(name)[0]
+        dealt = rows.select(*columns, SEQ, GONE).withColumn("bucket", self.bucket(key, buckets)).repartition("bucket", F.pmod(F.xxhash64(*self._keys(name)), F.lit(4)))
         dealt.sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(f"{self.path}/{name}/{version}")
         there = [int(e.name.partition("=")[2]) for e in self.files.list(f"{name}/{version}") if e.name.startswith("bucket=")]
         return version, {b: self.files.size(f"{name}/{version}/bucket={b}") for b in there}
@@ -184,9 +191,9 @@ class Tables:
                 raise ValueError(f"bucket {b} of {name} is changed twice in a commit")
             held[str(b)] = change
 
-    def put(self, name: str, rows: DataFrame, gone: DataFrame | None = None, order: Iterable[str] = ("folder_name",)) -> list[int]:
-        """Stages all rows of the folders that occur in ``rows``, and that those in ``gone`` have none; returns the
-        buckets that this touches."""
+    def put(self, name: str, rows: DataFrame, gone: DataFrame | None = None, order: Iterable[str] | None = None) -> list[int]:
+        """Stages all rows of the keys that occur in ``rows``, and that the folders in ``gone`` have none (for tables by
+        folder); returns the buckets that this touches."""
         columns = [c.split()[0] for c in self.schemas[name].split(", ")]
         seq = F.lit(self.state["number"] + 1).cast("long").alias(SEQ)
         named = rows.select(*columns, seq, F.lit(False).alias(GONE))
@@ -194,7 +201,7 @@ class Tables:
             types = dict(self.spark.createDataFrame([], self.schemas[name]).dtypes)
             nothing = [F.col(c) if c == "folder_name" else F.lit(None).cast(types[c]).alias(c) for c in columns]
             named = named.unionByName(gone.select("folder_name").distinct().select(*nothing, seq, F.lit(True).alias(GONE)))
-        version, sizes = self._write(name, named, order)
+        version, sizes = self._write(name, named, order or self._keys(name))
         parts = self.parts(name)
         self._stage(name, {b: {"drop": [], "add": [[version, size, not parts.get(b)]]} for b, size in sizes.items()})
         return sorted(sizes)
@@ -202,7 +209,7 @@ class Tables:
     def replace(self, name: str, rows: DataFrame) -> None:
         """Stages a whole new table."""
         named = rows.withColumns({SEQ: F.lit(self.state["number"] + 1).cast("long"), GONE: F.lit(False)})
-        version, sizes = self._write(name, named, ("folder_name",))
+        version, sizes = self._write(name, named, self._keys(name))
         parts = self.parts(name)
         self._stage(name, {b: {"drop": [p.version for p in parts.get(b, [])], "add": [[version, sizes[b], True]] if b in sizes else []} for b in sizes.keys() | parts.keys()})
 
@@ -213,7 +220,7 @@ class Tables:
         parts = self.parts(name)
         rows = self.newest(name, buckets, deltas_only=not whole)
         rows = rows.filter(~F.col(GONE)) if whole else rows
-        version, sizes = self._write(name, rows, ("folder_name",), splitting)
+        version, sizes = self._write(name, rows, self._keys(name), splitting)
         old = {b: [p.version for p in parts[b] if whole or not p.base] for b in buckets}
         self._stage(name, {b: {"drop": old.get(b, []), "add": [[version, sizes[b], whole]] if b in sizes else []} for b in sizes.keys() | old.keys()})
 

@@ -1,5 +1,6 @@
 """Deltas, merging, splitting and commits of an archive's tables; keyword indexes in segments; ingests at once."""
 
+import hashlib
 import os
 import random
 import re
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from test_archive import Fixture, embed
 
 from lectern.functions.text import porter_tokens, stem
+from lectern.operators import archive as archive_module
 from lectern.operators import search, segments, tables
 from lectern.operators.archive import Archive, _ingested, ingest
+from lectern.operators.supersede import superseded
 from lectern.operators.tables import Conflict, Tables
 
 cloudpickle.register_pickle_by_value(sys.modules["test_archive"])
@@ -218,6 +221,36 @@ def test_ingests_at_once_lose_nothing(spark, tmp_path):
     assert {r["folder_name"] for r in archive.table("recording_vec").collect()} == {"2", "3", "6", "7"}
 
 
+def test_supersedence_is_kept_up_by_hash(spark, tmp_path):
+    """Marks after some ingests are those of a full pass; an ingest reads the rows of its audio hashes alone."""
+    rng = random.Random(9)
+    f = Fixture(tmp_path)
+    archive = Archive.open(spark, str(tmp_path / "archive"), buckets=16)
+    day = 1
+    for step in range(3):
+        for k in range(6 if step == 0 else 3):
+            f.add(f"{step}-{k}", f"2026-01-{day:02}T0{rng.randrange(10)}:00:00", f"text {k}", audio=rng.choice([b"a", b"b", b"c", b""]))
+        day += 1
+        if step == 1:
+            (tmp_path / "recordings/0-0/output.wav").write_bytes(b"b")
+        ingest(archive, f.db, f.folder, now=f"2026-02-0{step + 1}T00:00:00.000Z")
+        rows = archive.table("recording")
+        full = {r["folder_name"]: r["superseded_by"] for r in superseded(rows).collect()}
+        kept = {r["folder_name"]: (r["superseded_by"], r["superseded_at"]) for r in rows.collect()}
+        assert {k: v[0] for k, v in kept.items()} == full and all((by is None) == (at is None) for by, at in kept.values())
+        side = {r["folder_name"]: (r["superseded_by"], r["superseded_at"]) for r in archive.table("recording_audio").collect()}
+        assert side == {k: v for k, v in kept.items() if k in side} and {r["folder_name"] for r in rows.filter("audio_hash is not null").collect()} == side.keys()
+    assert any(full.values())
+    changes = spark.createDataFrame([("9", "2026-03-01T00:00:00", hashlib.sha1(b"a").hexdigest(), True)], "folder_name string, datetime string, audio_hash string, came boolean")
+    changes = changes.withColumns({c: F.lit(None).cast("string") for c in ("audio_hash_was", "superseded_by", "superseded_at")})
+    seen = []
+    table = archive.table
+    archive.table = lambda name, buckets=None: (seen.append((name, buckets)), table(name, buckets))[1]
+    group = archive_module._regrouped(archive, changes, "2026-03-02T00:00:00.000Z").collect()
+    assert seen == [("recording_audio", seen[0][1])] and len(seen[0][1]) == 1 and {r["audio_hash"] for r in group} == {hashlib.sha1(b"a").hexdigest()}
+    assert {r["superseded_by"] for r in group if r["folder_name"] != "9"} <= {"9"}
+
+
 def test_archive_on_a_store_that_only_spark_reads(spark, tmp_path):
     (tmp_path / "store").mkdir()
     conf = spark.sparkContext._jsc.hadoopConfiguration()
