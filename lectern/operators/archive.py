@@ -455,22 +455,25 @@ def _embedded(
     lost = current.filter("superseded_by is not null").select("folder_name")
     made = written("chunks", chunked(todo.filter("long"), strategy=strategy).join(todo.select("folder_name", "body_hash"), "folder_name").select(*columns_of("recording_chunk")))
     prefix = F.concat(F.lit("["), "mode_name", F.lit("] "))
-    texts = made.join(todo.select("folder_name", "mode_name"), "folder_name").select("chunk_id", "folder_name", F.concat(prefix, "text").alias("embed_text"))
-    made_vectors = written("chunk_vectors", embedded(texts, embed).drop("embed_text"))
-    of_chunks = made_vectors.join(made.select("chunk_id", "chunk_idx"), "chunk_id")
-    centres = centroids(of_chunks.select("folder_name", "chunk_idx", F.col("embedding").cast("array<double>").alias("embedding")))
-    short = without(todo, made.select("folder_name").distinct()).select("folder_name", F.concat(prefix, "body").alias("embed_text"))
-    made_rows = embedded(short, embed).drop("embed_text").unionByName(centres.select("folder_name", F.col("embedding").cast("array<float>").alias("embedding")))
+    chunked_any = not made.isEmpty()
+    row_texts = without(todo, made.select("folder_name").distinct()) if chunked_any else todo
+    made_rows = embedded(row_texts.select("folder_name", F.concat(prefix, "body").alias("embed_text")), embed).drop("embed_text")
     # What has chunks or vectors now and isn't to have them any more.
-    unchunked = without(chunks if restructured else chunks.join(todo.select("folder_name").unionByName(lost), "folder_name", "left_semi"), made.select("folder_name").distinct())
-    unchunked = written("unchunked", unchunked)
-    lost_vectors = without(chunk_vectors if switched or restructured else chunk_vectors.join(todo.select("folder_name").unionByName(lost), "folder_name", "left_semi"), made.select("folder_name").distinct())
-    archive.put("recording_chunk", made, unchunked, order=("folder_name", "chunk_idx"))
-    archive.put("recording_chunk_vec", made_vectors, lost_vectors)
-    archive.put("recording_vec", made_rows, without(vectors if switched else vectors.join(lost, "folder_name", "left_semi"), todo))
-    if not (made.isEmpty() and unchunked.isEmpty()):
+    touched = todo.select("folder_name").unionByName(lost)
+    unchunked = written("unchunked", without(chunks if restructured else chunks.join(touched, "folder_name", "left_semi"), made.select("folder_name").distinct()))
+    unvectored = written("unvectored", without(chunk_vectors if switched or restructured else chunk_vectors.join(touched, "folder_name", "left_semi"), made.select("folder_name").distinct()))
+    if chunked_any:
+        texts = made.join(todo.select("folder_name", "mode_name"), "folder_name").select("chunk_id", "folder_name", F.concat(prefix, "text").alias("embed_text"))
+        made_vectors = written("chunk_vectors", embedded(texts, embed).drop("embed_text"))
+        of_chunks = made_vectors.join(made.select("chunk_id", "chunk_idx"), "chunk_id")
+        made_rows = made_rows.unionByName(centroids(of_chunks.select("folder_name", "chunk_idx", "embedding")).select("folder_name", F.col("embedding").cast("array<float>").alias("embedding")))
+    if chunked_any or not unchunked.isEmpty():
+        archive.put("recording_chunk", made, unchunked, order=("folder_name", "chunk_idx"))
         docs = made.select("folder_name", F.concat_ws("/", "folder_name", F.col("chunk_idx").cast("string")).alias("doc"), "text")
         segments.put(archive, "recording_chunk_fts", docs, INDEXED["recording_chunk"], porter_tokens, unchunked)
+    if chunked_any or not unvectored.isEmpty():
+        archive.put("recording_chunk_vec", made_vectors if chunked_any else archive.table("recording_chunk_vec", []), unvectored)
+    archive.put("recording_vec", made_rows, without(vectors if switched else vectors.join(lost, "folder_name", "left_semi"), todo))
     done = todo.select("folder_name", F.col("body_hash").alias("done_hash"))
     is_lost = F.col("superseded_by").isNotNull()
     proof = lambda name, new: F.when(is_lost, F.lit(None)).when(F.col("done_hash").isNotNull(), new).otherwise(F.col(name)).alias(name)
