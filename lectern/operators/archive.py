@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import sql as functions
 from lectern.functions.text import porter_tokens
-from lectern.operators import segments
+from lectern.operators import reconcile, segments
 from lectern.operators.chunks import Strategy, chunked
 from lectern.operators.recordings import body, parsed_time, with_derived
 from lectern.operators.supersede import superseded
@@ -52,6 +52,8 @@ SCHEMAS = {
     "recording_chunk_vec": "chunk_id long, folder_name string, embedding array<float>",
     # Which recordings have the same audio, by its hash, with what their rows say of it.
     "recording_audio": "audio_hash string, folder_name string, datetime string, superseded_by string, superseded_at string",
+    # Digests of the source's rows as they were taken.
+    reconcile.TABLE: reconcile.SCHEMA,
     # The documents of the keyword indexes of recordings and of chunks, and their lengths.
     "recording_fts_docs": _DOCUMENTS,
     "recording_chunk_fts_docs": _DOCUMENTS,
@@ -85,6 +87,7 @@ class Outcome:
     audio_changes: int = 0
     model_switched: bool = False
     buckets_written: int = 0
+    ranges: int = 0  # of the source that differed from the archive
     seconds: float = 0.0
 
 
@@ -322,8 +325,10 @@ def _ingested(
     strategy: Strategy = Strategy(),
     updaters: list[Change] | None = None,
     now: str | None = None,
+    whole: bool = False,
 ) -> Outcome:
-    """One ingest. Without ``embed``, text is ingested and embedding state stays."""
+    """One ingest. Without ``embed``, text is ingested and embedding state stays. With ``whole``, rows count that came to
+    the source late or were edited there, whatever their time; else those after the bookmark alone."""
     began, spark, out = time.time(), archive.spark, Outcome()
     now = now or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
     ran = migrated(archive) | updated(archive, updaters)
@@ -332,13 +337,18 @@ def _ingested(
     out.model_switched = embed is not None and known is not None and known != model
     embedded_then = archive.config("embedded_mtime_ns") == archive.config("source_mtime_ns")
     restructured = archive.config("chunk_strategy") not in (None, strategy.text())
-    if not ran and archive.config("source_mtime_ns") == changed and not out.model_switched and (embed is None or archive.config("embedded_mtime_ns") == changed and not restructured):
+    if not ran and not whole and archive.config("source_mtime_ns") == changed and not out.model_switched and (embed is None or archive.config("embedded_mtime_ns") == changed and not restructured):
         return replace(out, fast_path=True, seconds=time.time() - began)
     try:
         local = archive.files.local
         taken = sqlite.shipped(spark, source_db) if local is None else sqlite.snapshot(source_db, f"{local}/.snapshots")
         with taken as source, archive.work() as written:
-            new = written("new", _incoming(archive, source, recordings_dir))
+            rows, gone = sqlite.source_recordings(spark, source, None if whole else archive.config("last_indexed_datetime")), None
+            if whole:
+                differing = reconcile.difference(archive, rows)
+                rows, gone = differing.rows, written("gone", differing.gone)
+                out.ranges = len(differing.ranges)
+            new = written("new", _incoming(archive, rows.withColumn("digest", reconcile.digest(rows)), recordings_dir))
             changes = written("changes", _changes(archive, source, recordings_dir, new, now))
             groups = written("groups", _regrouped(archive, changes, now))
             moved = written("moved", _moved(changes, groups))
@@ -358,6 +368,8 @@ def _ingested(
             if every:
                 rest = without(archive.table("recording"), moved).withColumns({"came": F.lit(None).cast("boolean"), "moved": F.lit(False)})
                 rows = rows.unionByName(rest)
+            if not new.isEmpty() or gone is not None and not gone.isEmpty():
+                reconcile.taken(archive, new, gone)
             if touched or every:
                 current = written("current", rows.select(*columns_of("recording"), "came", "moved"))
                 changed_rows = current.filter("moved")
@@ -429,10 +441,9 @@ def _with_marks(rows: DataFrame, moved: DataFrame) -> DataFrame:
     return joined.withColumns(columns).withColumn("moved", F.lit(True)).select(*columns_of("recording"), "came", "moved")
 
 
-def _incoming(archive: Archive, source: str, recordings_dir: str) -> DataFrame:
-    """The source's recordings since the bookmark, with what their folders say."""
+def _incoming(archive: Archive, rows: DataFrame, recordings_dir: str) -> DataFrame:
+    """Recordings of the source with what their folders say."""
     spark = archive.spark
-    rows = sqlite.source_recordings(spark, source, archive.config("last_indexed_datetime"))
     meta, audio = folders.metadata(spark, recordings_dir), folders.audio(spark, recordings_dir)
     return rows.join(meta.drop("meta_path"), "folder_name", "left").join(audio, "folder_name", "left").withColumns(
         {"has_audio": F.col("audio_path").isNotNull().cast("int"), "meta_path": F.concat(F.lit(recordings_dir.rstrip("/") + "/"), "folder_name", F.lit("/meta.json"))}

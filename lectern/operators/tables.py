@@ -128,7 +128,7 @@ class Tables:
         return int(self.state["config"]["buckets"])
 
     @property
-    def _round(self) -> int:
+    def rounds(self) -> int:
         """The largest number of buckets at which all were split alike, up to now."""
         n = int(self.state["config"]["first_buckets"])
         while 2 * n <= self.buckets:
@@ -141,7 +141,7 @@ class Tables:
     def bucket(self, folder: Column | str = "folder_name", buckets: int | None = None) -> Column:
         column = (F.col(folder) if isinstance(folder, str) else folder).cast("binary")
         n, h = self.buckets if buckets is None else buckets, F.crc32(column)
-        whole = self._round
+        whole = self.rounds
         return (h % whole if n == whole else F.when(h % (2 * whole) < n, h % (2 * whole)).otherwise(h % whole)).cast("int")
 
     def parts(self, name: str) -> dict[int, list[Part]]:
@@ -244,7 +244,7 @@ class Tables:
             if written:
                 self.commit()
             largest = max((sum(p.bytes for parts in self.parts(name).values() for p in parts) for name in self.schemas), default=0)
-            wanted = min(2 * self._round, -(-largest // SPLIT))
+            wanted = min(2 * self.rounds, -(-largest // SPLIT))
             if wanted > self.buckets:
                 written += self.split(wanted)
         except Conflict:
@@ -254,7 +254,7 @@ class Tables:
 
     def split(self, buckets: int) -> int:
         """Splits as many buckets in two as make ``buckets`` of them; returns how many. Only those are rewritten."""
-        whole = self._round
+        whole = self.rounds
         if not self.buckets < buckets <= 2 * whole:
             raise ValueError(f"{self.buckets} buckets can't become {buckets}")
         halved = [b - whole for b in range(self.buckets, buckets)]

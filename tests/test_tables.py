@@ -15,7 +15,7 @@ from test_archive import Fixture, embed
 
 from lectern.functions.text import porter_tokens, stem
 from lectern.operators import archive as archive_module
-from lectern.operators import search, segments, tables
+from lectern.operators import reconcile, search, segments, tables
 from lectern.operators.archive import Archive, _ingested, ingest
 from lectern.operators.supersede import superseded
 from lectern.operators.tables import Conflict, Tables
@@ -251,6 +251,37 @@ def test_supersedence_is_kept_up_by_hash(spark, tmp_path):
     assert {r["superseded_by"] for r in group if r["folder_name"] != "9"} <= {"9"}
 
 
+def test_late_and_edited_rows_arrive(spark, tmp_path):
+    f = Fixture(tmp_path)
+    for k in range(1, 9):
+        f.add(str(k), f"2026-05-1{k}T00:00:00", f"text number {k}")
+    at = str(tmp_path / "archive")
+    run = lambda **o: ingest(Archive.open(spark, at, buckets=16), f.db, f.folder, **o)
+    assert run().new_rows == 8 and run(whole=True).ranges == 0
+    f.add("late", "2026-01-01T00:00:00", "came late")
+    with sqlite3.connect(f.db) as db:
+        db.execute("UPDATE recording_fts SET rawResult = 'edited silently', result = 'edited silently' WHERE rawResult = 'text number 3'")
+        db.execute("DELETE FROM recording WHERE folderName = '5'")
+    assert run().new_rows == 0  # the bookmark is later
+    archive = Archive.open(spark, at)
+    read, table = [], Archive.table
+    try:
+        Archive.table = lambda self, name, buckets=None: (read.append(buckets) if name == reconcile.TABLE else None, table(self, name, buckets))[1]
+        out = run(whole=True)
+    finally:
+        Archive.table = table
+    assert (out.new_rows, out.updated_rows, out.ranges) == (1, 1, 3) and read and all(b is not None and len(b) <= 3 for b in read)
+    archive = Archive.open(spark, at)
+    rows = {r["folder_name"]: r["raw_result"] for r in archive.table("recording").collect()}
+    assert rows["late"] == "came late" and rows["3"] == "edited silently" and len(rows) == 9
+    assert {r["doc"] for r in search.bm25(archive.index(), search.term(stem("silently"))).collect()} == {"3"}
+    assert run(whole=True).ranges == 0 and archive.state["facts"][reconcile.TABLE] == reconcile.sums(archive.table(reconcile.TABLE))
+    for n in (16, 17, 31, 32, 48):
+        archive.state["config"] |= {"buckets": str(n)}
+        pairs = spark.range(3000).select(F.col("id").cast("string").alias("folder_name")).select(archive.bucket().alias("b"), reconcile.range_of().alias("r")).distinct().collect()
+        assert all(p["b"] in reconcile.buckets_of(archive, [p["r"]]) for p in pairs) and len(reconcile.buckets_of(archive, [7])) <= 3
+
+
 def test_archive_on_a_store_that_only_spark_reads(spark, tmp_path):
     (tmp_path / "store").mkdir()
     conf = spark.sparkContext._jsc.hadoopConfiguration()
