@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,33 +67,41 @@ def posted(texts: DataFrame, key: str, columns: list[str], tokenize: Callable[[C
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 64):
-                part = batch.slice(begin, 64)
-                doc, dl, terms, f, places, ends = [], [], [], [], [], [0]
-                for k, of_columns in enumerate(part.column(1)):
-                    found: dict[str, list[int]] = {}
-                    n = 0
-                    for c, words in enumerate(of_columns.as_py()):
-                        n += len(words)
-                        for place, word in enumerate(words, c * COLUMN):
-                            if word in found:
-                                found[word].append(place)
-                            else:
-                                found[word] = [place]
-                    for word, at in (found or {None: []}).items():
-                        doc.append(k)
-                        dl.append(n)
-                        terms.append(word)
-                        f.append(len(at))
-                        places += at
-                        ends.append(len(places))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int64()))
-                rows = [part.column(0).take(pa.array(doc, pa.int32())).cast(kind), pa.array(dl, pa.int64()), pa.array(terms, pa.string()), pa.array(f, pa.int32()), lists]
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                doc, dl, terms, f, places = _grouped(part.column(1), len(columns))
+                rows = [part.column(0).take(doc).cast(kind), dl, terms, f, places]
                 yield pa.RecordBatch.from_arrays(rows, ["doc", "dl", "term", "f", "places"])
 
     return held.mapInArrow(run, schema)
 
 
+def _grouped(texts: pa.Array, columns: int) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]:
+    """Of documents as lists (one for each column) of tokens: the document's number, its length, each of its terms, how
+    often it has it, and where; a document without tokens has a row without a term."""
+    lists = texts.flatten()
+    starts = lists.offsets.to_numpy().astype(np.int64)
+    sizes = np.diff(starts)
+    coded = lists.flatten().dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(code)) - np.repeat(starts[:-1] - starts[0], sizes) + owner % columns * COLUMN
+    doc, many = owner // columns, max(1, len(coded.dictionary))
+    key = doc * many + code
+    order = np.argsort(key, kind="stable")  # places of a term stay in order
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    ends = np.append(first, len(key))
+    length = sizes.reshape(-1, columns).sum(axis=1)
+    empty = np.flatnonzero(length == 0)
+    docs = np.concatenate([key[first] // many, empty])
+    terms = coded.dictionary.take(pa.array(key[first] % many)).cast(pa.string())
+    offsets = np.concatenate([ends, np.full(len(empty), len(key))]).astype(np.int32)
+    found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[order]))
+    counts = np.concatenate([np.diff(ends), np.zeros(len(empty), np.int64)]).astype(np.int32)
+    return pa.array(docs), pa.array(length[docs]), pa.concat_arrays([terms, pa.nulls(len(empty), pa.string())]), pa.array(counts), found
+
+
 @dataclass(frozen=True)
 class Index:
     """``postings`` (doc, dl, term, f, places) and ``lengths`` (doc, dl): every document, also those without a token.
