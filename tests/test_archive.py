@@ -288,3 +288,43 @@ def test_watch_waits_for_quiet_and_goes_on_after_a_failure(spark, tmp_path):
         query.stop()
     with pytest.raises(FileNotFoundError):
         watch.watch(spark, str(tmp_path / "none"), refresh, "x")
+
+
+def test_watch_tells_after_a_restart_what_was_waiting(spark, tmp_path):
+    f = Fixture(tmp_path)
+    f.add("1", "2026-01-01", "x")
+    calls = []
+    run = lambda seconds: watch.watch(spark, f"file://{f.folder}", lambda: calls.append(time.monotonic()), f"file://{tmp_path}/checkpoint", seconds, f.db, 0.1, 3)
+    query = run(20.0)
+    try:
+        end = time.monotonic() + 60
+        while not query.lastProgress and time.monotonic() < end:
+            time.sleep(0.1)
+        f.add("2", "2026-01-01", "x")
+        batches, changed = query.lastProgress["batchId"], time.monotonic()
+        while query.lastProgress["batchId"] < batches + 2 and time.monotonic() < end:
+            time.sleep(0.1)
+    finally:
+        query.stop()
+    assert len(calls) == 1
+    query = run(600.0)  # what changed before is told when it was to be, though nothing changes any more
+    try:
+        end = time.monotonic() + 60
+        while len(calls) < 3 and time.monotonic() < end:
+            time.sleep(0.1)
+    finally:
+        query.stop()
+    assert len(calls) == 3 and calls[2] >= changed + 19
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    f = Fixture(tmp_path)
+    for k in range(20):
+        f.add(str(k), "2026-01-01", "x", audio=b"a" if k % 2 else b"")
+    spark.dataSource.register(watch.ListingSource)
+    listing = spark.read.format("recording_files").option("path", f.folder).option("shares", "5").option("database", f.db).load()
+    rows = {r["share"]: r for r in listing.collect()}
+    assert sorted(rows) == [-1, 0, 1, 2, 3, 4] and sum(r["files"] for r in rows.values()) == 30 and "source.sqlite" in rows[-1]["digest"]
+    (tmp_path / "recordings/7/output.wav").write_bytes(b"other")
+    again = {r["share"]: r for r in listing.collect()}
+    assert sum(rows[k]["digest"] != again[k]["digest"] for k in rows) == 1
