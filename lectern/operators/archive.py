@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lectern.functions import sql as functions
 from lectern.functions.text import porter_tokens
 from lectern.operators import reconcile, segments
-from lectern.operators.chunks import Strategy, chunked
+from lectern.operators.chunks import LONG, Strategy, chunked, chunked_by_parts
 from lectern.operators.recordings import body, parsed_time, with_derived
 from lectern.operators.supersede import superseded
 from lectern.operators.tables import Conflict, Tables
@@ -464,7 +464,11 @@ def _embedded(
     stale = dirty(current, none if switched else vectors, none if restructured else chunks, model, strategy)
     todo = written("todo", stale.select("folder_name", "mode_name", "body", "body_hash", "long"))
     lost = current.filter("superseded_by is not null").select("folder_name")
-    made = written("chunks", chunked(todo.filter("long"), strategy=strategy).join(todo.select("folder_name", "body_hash"), "folder_name").select(*columns_of("recording_chunk")))
+    # Only what is too long for a task takes several, and more passes.
+    found = chunked(todo.filter(F.col("long") & (F.length("body") <= LONG)), strategy=strategy)
+    if not (very_long := todo.filter(F.col("long") & (F.length("body") > LONG))).isEmpty():
+        found = found.unionByName(chunked_by_parts(very_long, written, strategy=strategy))
+    made = written("chunks", found.join(todo.select("folder_name", "body_hash"), "folder_name").select(*columns_of("recording_chunk")))
     prefix = F.concat(F.lit("["), "mode_name", F.lit("] "))
     chunked_any = not made.isEmpty()
     row_texts = without(todo, made.select("folder_name").distinct()) if chunked_any else todo

@@ -17,6 +17,7 @@ from lectern.functions.text import porter_tokens, stem
 from lectern.operators import archive as archive_module
 from lectern.operators import reconcile, search, segments, tables
 from lectern.operators.archive import Archive, _ingested, ingest
+from lectern.operators.chunks import spans
 from lectern.operators.supersede import superseded
 from lectern.operators.tables import Conflict, Tables
 
@@ -282,6 +283,16 @@ def test_late_and_edited_rows_arrive(spark, tmp_path):
         assert all(p["b"] in reconcile.buckets_of(archive, [p["r"]]) for p in pairs) and len(reconcile.buckets_of(archive, [7])) <= 3
 
 
+def test_a_very_long_text_is_chunked_by_parts(spark, tmp_path, monkeypatch):
+    f = Fixture(tmp_path)
+    text = " ".join(f"w{k}." if k % 17 == 0 else f"w{k}" for k in range(1500))
+    f.add("1", "2026-05-18T08:30:00", text)
+    monkeypatch.setattr(archive_module, "LONG", 1000)
+    ingest(archive := Archive.open(spark, str(tmp_path / "archive")), f.db, f.folder, embed, dims=8)
+    found = sorted((r["chunk_idx"], r["start_word"], r["end_word"]) for r in archive.table("recording_chunk").collect())
+    assert found == [(k, a, b) for k, (a, b) in enumerate(spans(text.split()))] and archive.table("recording_chunk_vec").count() == len(found)
+
+
 def test_archive_on_a_store_that_only_spark_reads(spark, tmp_path):
     (tmp_path / "store").mkdir()
     conf = spark.sparkContext._jsc.hadoopConfiguration()
