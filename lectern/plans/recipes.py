@@ -311,6 +311,12 @@ def kw_bm25(spark, sf_dir):
     return _keyword(spark, sf_dir, search.all_of("loser the"))
 
 
+@query("kw_top_any", _kw(f"{_TERM('loser')} UNION {_TERM('the')}", ["loser", "the"]))
+def kw_top_any(spark, sf_dir):
+    """The best rows with a rare or a very frequent word: of the frequent one's postings, most blocks can't hold one."""
+    return _keyword(spark, sf_dir, search.term("loser") | search.term("the"))
+
+
 @query("kw_phrase", _kw(f"SELECT doc FROM ({o.instances('of the')})", ["of the"]))
 def kw_phrase(spark, sf_dir):
     return _keyword(spark, sf_dir, search.phrase("of the"))

@@ -13,4 +13,4 @@ ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "hybrid_rrf"
 
 
-from lectern.plans import passthrough, recipes  # noqa: E402, F401  they register their queries here
+from lectern.plans import passthrough, recipes, upkeep  # noqa: E402, F401  they register their queries here
