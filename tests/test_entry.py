@@ -15,7 +15,7 @@ def test_registration_is_complete():
 @pytest.mark.parametrize("name", NAMES)
 def test_queries_agree_with_their_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations", "events", "pages", "labels"):
+    for t in ("documents", "embeddings", "conversations", "events", "pages", "labels", "benchmark"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = entry.queries()[name](spark, SF)
     names = sorted(df.columns)
