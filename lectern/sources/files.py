@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import uuid
 from dataclasses import dataclass
-from urllib.parse import urlparse
 
 from pyspark.sql import SparkSession
 
@@ -23,13 +22,13 @@ class Files:
 
     def __init__(self, spark: SparkSession, top: str):
         self.spark, self.top = spark, top.rstrip("/")
-        parts = urlparse(self.top)
-        #: The folder's path if it is this machine's, else None.
-        self.local = self.top if not parts.scheme else parts.path if parts.scheme == "file" else None
+        fs, at = self._hadoop("")
+        #: The folder's path if it is this machine's, else None. A path without a scheme is where Spark's default says.
+        self.local = os.path.abspath(fs.makeQualified(at).toUri().getPath()) if fs.getUri().getScheme() == "file" else None
 
     def _hadoop(self, name: str):
         jvm, context = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.top if self.local is None else 'file://' + os.path.abspath(self.local)}/{name}".rstrip("/"))
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.top}/{name}".rstrip("/"))
         return at.getFileSystem(context.hadoopConfiguration()), at
 
     def read(self, name: str) -> bytes | None:
