@@ -416,8 +416,9 @@ def _needed(query: Query) -> list[Phrase]:
     return _needed(query.a) + _needed(query.b) if isinstance(query, Both) else query.phrases()
 
 
-#: A term is looked up first, and the others' postings among its documents alone, if it is in so many times fewer.
-RARER = 8
+#: A term is looked up first, and the others' postings among its documents alone, if it is in so many times fewer, and the
+#: most frequent one in more documents than are soon shuffled.
+RARER, SOON = 8, 100_000
 
 
 def _postings(index: Index, query: Query, counts: dict[str, int]) -> DataFrame:
@@ -427,7 +428,7 @@ def _postings(index: Index, query: Query, counts: dict[str, int]) -> DataFrame:
     rows = index.of_terms(atoms)
     needed = [p.terms[0] for p in _needed(query) if p.plain() and not p.prefix and p.terms[0] in counts]
     rare = min(needed, key=counts.__getitem__, default=None)
-    if rare is None or any(not p.plain() or p.prefix for p in query.asked()) or max(counts.values()) < RARER * counts[rare]:
+    if rare is None or any(not p.plain() or p.prefix for p in query.asked()) or max(counts.values()) < max(SOON, RARER * counts[rare]):
         return rows
     docs = index.of_terms([Atom(rare)]).select("doc").distinct()
     return rows.join(docs, "doc", "left_semi")

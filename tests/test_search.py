@@ -71,7 +71,8 @@ def test_stored_index_reads_the_buckets_of_its_terms(spark, corpus, tmp_path):
     assert 99 in got and all(k >= 25 for k in got)
 
 
-def test_the_best_few_skip_blocks(spark, tmp_path):
+def test_the_best_few_skip_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "SOON", 0)
     rng = random.Random(4)
     rows = []
     for k in range(400):
