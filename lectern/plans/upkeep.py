@@ -34,7 +34,7 @@ def _begun(spark: SparkSession, buckets: int = 8) -> Tables:
 @query("delta_upserts", f"WITH {o.REC} SELECT folder_name, CASE WHEN doc_id % 5 = 0 THEN 'late' ELSE mode_name END AS mode_name, raw_word_count + CASE WHEN doc_id % 5 = 0 THEN 2000 WHEN doc_id % 7 = 0 THEN 1000 ELSE 0 END AS words FROM rec WHERE doc_id % 5 = 0 OR doc_id % 13 <> 0 AND (doc_id % 7 = 0 OR doc_id % 11 <> 0)")
 def delta_upserts(spark, sf_dir):
     """Two rounds of changed and gone rows, then some buckets split: each folder's newest rows."""
-    rows = demo.recordings(spark, sf_dir).select("folder_name", "doc_id", "mode_name", F.col("raw_word_count").alias("words"))
+    rows = demo.raw_recordings(spark, sf_dir).select("folder_name", "doc_id", "mode_name", F.col("raw_word_count").alias("words"))
     of = lambda condition, more=0: rows.filter(condition).withColumn("words", F.col("words") + more).drop("doc_id")
     tables = _begun(spark)
     tables.put("row", of("true"))
