@@ -1,13 +1,15 @@
 """Chat formatting: who says what in a transcript, by a hidden Markov model, and its canonical rendering.
 
-The hidden states are roles. A line of a transcript (``lines`` gives a row for each) is observed through its speaker
-marker ("User:", "[Assistant]", "Speaker 2:"), its length, whether it asks, and whether it looks like a list or code.
-Start, transition and emission probabilities are smoothed counts over labelled lines, taken in Spark; without labels
-the pseudo-counts alone remain, which tie markers to roles and let user and assistant alternate.
+Each role has two hidden states: the first line of its turn, and a further line. So a line without a marker says little
+inside a turn, whoever speaks, and only that a turn goes on more likely than a new one begins. A line of a transcript
+(``lines`` gives a row for each) is observed through its speaker marker ("User:", "[Assistant]", "Speaker 2:"), its
+length, whether it asks, and whether it looks like a list or code. Start, transition and emission probabilities are
+smoothed counts over labelled lines, taken in Spark; without labels the pseudo-counts alone remain, which tie markers to
+roles and let user and assistant alternate.
 
 Viterbi's best path is a product of matrices over (max, +), so a long conversation needn't be in one task. Lines are
 dealt in order to blocks. Where a conversation crosses blocks, each block gives the best scores from its first to its
-last role; chaining these few matrices fixes the roles at the blocks' edges, and every block is then decoded alone.
+last state; chaining these few matrices fixes the states at the blocks' edges, and every block is then decoded alone.
 """
 
 from __future__ import annotations
@@ -55,7 +57,10 @@ def features(text: Column) -> list[Column]:
 
 
 class Model(NamedTuple):
-    """Log probabilities: start (role), transition (role, next role), emission of each feature (role, value)."""
+    """Log probabilities: start (state), transition (state, next state), emission of each feature (state, value).
+
+    State 2 * k is the first line of a turn of role k, state 2 * k + 1 a further one.
+    """
 
     start: np.ndarray
     move: np.ndarray
@@ -64,50 +69,59 @@ class Model(NamedTuple):
 
 def _pseudo() -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     n = len(ROLES)
-    start = np.array([1.0, 1.0, 0.2, 0.05])
-    move = np.full((n, n), 0.1)
-    move[1, 2] = move[2, 1] = move[0, 1] = move[3, 2] = 1.0
-    emit = [np.full((n, size), 0.5) for size in SIZES]
+    start, move = np.zeros(2 * n), np.zeros((2 * n, 2 * n))
+    start[::2] = 1.0, 1.0, 0.2, 0.05
+    next_role = np.full((n, n), 0.1)
+    next_role[1, 2] = next_role[2, 1] = next_role[0, 1] = next_role[3, 2] = 1.0
+    move[::2, ::2] = move[1::2, ::2] = next_role
+    for k in range(n):  # only its own turn goes on
+        move[2 * k : 2 * k + 2, 2 * k + 1] = 1.0
+    emit = [np.full((2 * n, size), 0.5) for size in SIZES]
     for k in range(n):
-        emit[0][k, k + 1] += 20
-    emit[0][1, SIZES[0] - 2] += 5
-    emit[0][2, SIZES[0] - 1] += 5
+        emit[0][2 * k, k + 1] += 20
+        emit[0][2 * k + 1, 0] += 20
+    emit[0][2, SIZES[0] - 2] += 5
+    emit[0][4, SIZES[0] - 1] += 5
     return start, move, emit
 
 
 def trained(turns: DataFrame, conversation: str = "conv_id", position: str = "turn", text: str = "text", role: str = "role") -> Model:
-    """The model of labelled turns (numbered in sequence): counts of roles, of pairs of successive lines, of lines' features.
+    """The model of labelled turns (numbered in sequence): counts of states, of pairs of successive ones, of lines' features.
 
-    Roles beside ROLES, and null ones, are left out. Only counts reach the driver: at most roles times features' values.
+    Roles beside ROLES, and null ones, are left out. Only counts reach the driver: at most states times features' values.
     """
     start, move, emit = _pseudo()
-    number = {r: k for k, r in enumerate(ROLES)}
+    number = {r: 2 * k for k, r in enumerate(ROLES)}
     known = turns.select(F.col(conversation).alias("c"), F.col(position).cast("long").alias("p"), F.lower(role).alias("r"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"))
-    known = known.filter(F.col("r").isin(*ROLES))
-    observed = known.select("r", F.explode("lines").alias("line")).select("r", *[f.alias(f"f{k}") for k, f in enumerate(features(F.col("line")))])
+    known = known.filter(F.col("r").isin(*ROLES)).withColumn("goes_on", (F.size("lines") > 1).cast("int"))
+    observed = known.select("r", F.posexplode("lines").alias("at", "line"))
+    observed = observed.select("r", F.least("at", F.lit(1)).alias("further"), *[f.alias(f"f{k}") for k, f in enumerate(features(F.col("line")))])
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"f{k}").alias("v")) for k in range(len(SIZES))])).alias("f")
-    for r in observed.select("r", pairs).groupBy("r", "f.k", "f.v").count().collect():
-        emit[r["k"]][number[r["r"]], r["v"]] += r["count"]
-    for r in known.groupBy("r").agg(F.sum(F.size("lines") - 1).alias("n")).collect():
-        move[number[r["r"]], number[r["r"]]] += r["n"]
+    for r in observed.select("r", "further", pairs).groupBy("r", "further", "f.k", "f.v").count().collect():
+        emit[r["k"]][number[r["r"]] + r["further"], r["v"]] += r["count"]
+    for r in known.groupBy("r").agg(F.sum("goes_on").alias("begun"), F.sum(F.size("lines") - 1 - F.col("goes_on")).alias("more")).collect():
+        k = number[r["r"]]
+        move[k, k + 1] += r["begun"]
+        move[k + 1, k + 1] += r["more"]
     after = known.select("c", (F.col("p") - 1).alias("p"), F.col("r").alias("s"))
-    for r in known.select("c", "p", "r").join(after, ["c", "p"]).groupBy("r", "s").count().collect():
-        move[number[r["r"]], number[r["s"]]] += r["count"]
+    for r in known.select("c", "p", "r", "goes_on").join(after, ["c", "p"]).groupBy("r", "goes_on", "s").count().collect():
+        move[number[r["r"]] + r["goes_on"], number[r["s"]]] += r["count"]
     before = known.select("c", (F.col("p") + 1).alias("p"))
     for r in known.select("c", "p", "r").join(before, ["c", "p"], "left_anti").groupBy("r").count().collect():
         start[number[r["r"]]] += r["count"]
-    share = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
-    return Model(share(start), share(move), tuple(map(share, emit)))
+    with np.errstate(divide="ignore"):  # what can't follow keeps the logarithm of 0
+        share = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
+        return Model(share(start), share(move), tuple(map(share, emit)))
 
 
 def emissions(model: Model, observed: np.ndarray) -> np.ndarray:
-    """Log probabilities (line, role) of observed features (line, feature)."""
+    """Log probabilities (line, state) of observed features (line, feature)."""
     return sum(e[:, observed[:, k]] for k, e in enumerate(model.emit)).T
 
 
 def transfer(model: Model, emitted: np.ndarray) -> np.ndarray:
-    """Best scores from each first role to each last one over the lines, their emissions included."""
-    m = np.full((len(ROLES), len(ROLES)), -np.inf)
+    """Best scores from each first state to each last one over the lines, their emissions included."""
+    m = np.full((len(model.start), len(model.start)), -np.inf)
     np.fill_diagonal(m, emitted[0])
     for e in emitted[1:]:
         m = (m[:, :, None] + model.move[None]).max(axis=1) + e
@@ -115,10 +129,10 @@ def transfer(model: Model, emitted: np.ndarray) -> np.ndarray:
 
 
 def viterbi(model: Model, emitted: np.ndarray, first: int = -1, last: int = -1) -> np.ndarray:
-    """The best roles; the first and the last one may be given. Of equal paths the one with earlier roles counts."""
-    n = len(emitted)
-    score = (model.start if first < 0 else np.where(np.arange(len(ROLES)) == first, 0.0, -np.inf)) + emitted[0]
-    back = np.zeros((n, len(ROLES)), np.int64)
+    """The best states; the first and the last one may be given. Of equal paths the one with earlier states counts."""
+    n, states = len(emitted), len(model.start)
+    score = (model.start if first < 0 else np.where(np.arange(states) == first, 0.0, -np.inf)) + emitted[0]
+    back = np.zeros((n, states), np.int64)
     for k in range(1, n):
         reach = score[:, None] + model.move
         back[k] = reach.argmax(axis=0)
@@ -140,7 +154,7 @@ def parsed(lines: DataFrame, model: Model, conversation: str = "conv_id", positi
 
     A turn is a run of lines of one role. ``rendered`` is the line without its marker, after the role's opening mark if
     it starts a turn, before the closing mark if it ends one; a conversation's pieces in order are its canonical form.
-    Lines are ordered by position (null first), then by a hash of their text and their text. Null conversations form
+    Lines are ordered by position (null first), then by a hash of their text. Null conversations form
     one; null texts are empty lines; repeated lines stay. An empty table gives an empty result. Columns that the
     caller's table has besides don't matter.
     """
@@ -187,7 +201,7 @@ def parsed(lines: DataFrame, model: Model, conversation: str = "conv_id", positi
         out = {"block": [], "of": [], "first": [], "last": [], "before": [], "after": []}
         if len(pdf) > 1:
             pdf = pdf.sort_values("block")
-            model, n = sent.value, len(ROLES)
+            model, n = sent.value, len(sent.value.start)
             matrices = np.stack(pdf["matrix"].to_list()).reshape(-1, n, n)
             score, froms, entries = model.start, [], []
             for k, m in enumerate(matrices):
@@ -232,11 +246,11 @@ def parsed(lines: DataFrame, model: Model, conversation: str = "conv_id", positi
         for a, b in _runs(names):
             g = known.get(names[a])
             emitted = emissions(sent.value, np.stack(pdf["f"].iloc[a:b].to_list()))
-            path = roles[a:b] = viterbi(sent.value, emitted, g.first if g else -1, g.last if g else -1)
+            path = roles[a:b] = viterbi(sent.value, emitted, g.first if g else -1, g.last if g else -1) // 2
             change = path[1:] != path[:-1]
             starts[a + 1 : b], ends[a : b - 1] = change, change
             if g:
-                starts[a], ends[b - 1] = g.before != path[0], g.after != path[-1]
+                starts[a], ends[b - 1] = g.before // 2 != path[0], g.after // 2 != path[-1]
         return pd.DataFrame({"c": pdf["c"].tolist(), "p": pdf["p"].tolist(), "t": pdf["t"].tolist(), "role": [ROLES[k] for k in roles], "starts": starts.tolist(), "ends": ends.tolist()}, dtype=object)
 
     out = blocks.groupBy("block").cogroup(fixed.groupBy("block")).applyInPandas(decode, f"c {kind[conversation]}, p {kind[position]}, t string, role string, starts boolean, ends boolean")

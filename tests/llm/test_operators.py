@@ -677,6 +677,34 @@ def test_viterbi_against_all_paths():
                 assert tuple(transcript.viterbi(model, emitted, first, last)) == max(paths, key=value)
 
 
+def test_lines_without_marker_stay_in_their_turn(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for c in range(6):
+        n = 5000 if c == 5 else 300  # the last one crosses blocks of the real size
+        k, role = 0, 0
+        while k < n:
+            who = ("user", "assistant")[role % 2]
+            for line in range(rng.choice((1, 1, 2, 3, 5))):
+                rows.append((c, k, ("" if line else who.title() + ": ") + "same words", who, "a", "b", 1, 2, "x"))
+                k += 1
+            role += 1
+    fields = "conv_id long, turn long, text string, role string, rendered string, f string, h int, block int, name string"
+    table = spark.createDataFrame(rows, fields)
+    labelled = spark.createDataFrame([(c, t, "\n".join([("User: ", "Assistant: ")[t % 2] + "same words", *["same words"] * (c % 5)]), ("user", "assistant")[t % 2]) for c in range(10) for t in range(6)], "conv_id long, turn long, text string, role string")
+    model = transcript.trained(labelled)
+    want = {(c, k): who for c, k, _, who, *_ in rows}
+    found = transcript.parsed(table, model).collect()
+    assert {(r["conv_id"], r["turn"]): r["role"] for r in found} == want and len(found) == len(rows)
+    ordered = sorted(found, key=lambda r: (r["conv_id"], r["turn"]))
+    begins = [a["conv_id"] != b["conv_id"] or a["role"] != b["role"] for a, b in zip(ordered, ordered[1:])]
+    assert [r["starts_turn"] for r in ordered] == [True, *begins] and [r["ends_turn"] for r in ordered] == [*begins, True]
+    monkeypatch.setattr(transcript, "BLOCK", 1 << 20)
+    assert sorted(map(str, transcript.parsed(table, model).collect())) == sorted(map(str, found))
+    unlabelled = transcript.trained(labelled.limit(0))  # pseudo-counts alone keep unmarked lines in their turn
+    assert {(r["conv_id"], r["turn"]): r["role"] for r in transcript.parsed(table.filter("conv_id < 2"), unlabelled).collect()} == {k: w for k, w in want.items() if k[0] < 2}
+
+
 def test_roles_of_raw_transcripts(spark, monkeypatch):
     rng = random.Random(3)
     rows = []
