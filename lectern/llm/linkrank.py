@@ -29,7 +29,7 @@ SHARED = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
 LONGEST = 253
 #: A host is blocked if its distrust, less its trust, exceeds this share of the mean score.
 THRESHOLD = 0.0
-#: Rules that one expression may hold; they are broadcast with the plan.
+#: Rules that one expression may hold; more are joined with the urls instead, with the same result.
 MOST_RULES = 2000
 
 
@@ -66,15 +66,39 @@ def rule_for(host: Column, path: Column, rules: list[Rule]) -> Column:
 
     A rule fits its host and all subdomains if the path starts with the rule's. Of equally long ones the first counts.
     """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules are matched in an expression")
     best = F.lit(None).cast("struct<text:string,verdict:string>")
-    for rule in sorted(rules, key=lambda r: len(r.text)):  # the longest is tested first
+    for rule in sorted(reversed(rules), key=lambda r: len(r.text)):  # the last one here is tested first
         fits = ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
         best = F.when(fits, F.struct(F.lit(rule.text).alias("text"), F.lit(rule.verdict).alias("verdict"))).otherwise(best)
     return best
 
 
+def with_rules(urls: DataFrame, rules: list[Rule], out: str) -> DataFrame:
+    """``urls`` (with ``host`` and ``path``) with ``out``, the rule of ``rule_for``.
+
+    Many rules are a table. A rule fits where its host is what follows the start or a dot of a url's host, and its path a
+    prefix of the url's; so each distinct host and path looks its hosts above and its prefixes, of the lengths that rules
+    have, up by equality. What is looked up is no longer than the longest rule, however long the url.
+    """
+    if len(rules) <= MOST_RULES:
+        return urls.withColumn(out, rule_for(F.col("host"), F.col("path"), rules))
+    listed = [(r.host, r.path, -len(r.text), k, r.text, r.verdict) for k, r in enumerate(rules)]
+    table = urls.sparkSession.createDataFrame(listed, "rule_host string, rule_path string, shorter int, place int, text string, verdict string")
+    longest, lengths = max(len(r.host) for r in rules), sorted({len(r.path) for r in rules})
+    labels = F.split(F.substring("host", -(longest + 1), longest + 1), r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    # The first of a cut host's pieces may begin within a label; only what follows its first dot counts.
+    above = F.when(F.length("host") > longest + 1, F.slice(above, 2, F.size(above))).otherwise(above)
+    prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    asked = urls.select("host", "path").distinct().withColumn("prefixes", prefixes).withColumn("rule_host", F.explode(above))
+    # Hosts without rules leave before their paths' prefixes are looked up.
+    asked = asked.join(table.select("rule_host").distinct(), "rule_host", "left_semi").withColumn("rule_path", F.explode("prefixes"))
+    fits = asked.join(table, ["rule_host", "rule_path"]).groupBy(F.col("host").alias("of_host"), F.col("path").alias("of_path"))
+    best = fits.agg(F.min_by(F.struct("text", "verdict"), F.struct("shorter", "place")).alias("best_rule"))
+    joined = urls.join(best, (urls["host"] == best["of_host"]) & (urls["path"] == best["of_path"]), "left")
+    return joined.select(*[urls[f"`{c}`"] for c in urls.columns if c != out], F.col("best_rule").alias(out))
+
+
 def link_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     """Links between hosts, (a, b, weight): absolute ``href`` targets in the html of pages of host ``host``."""
     pattern = r"""(?i)href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""
@@ -164,7 +188,7 @@ def judged(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "h
     kept = [c for c in (pages.columns if keep is None else keep) if c.lower() not in results]
     held, of, trusted, distrusted = (free_name(pages.select(*[F.col(f"`{c}`") for c in kept], *[F.lit(0).alias(r) for r in sorted(results)]), stem) for stem in ("rule_found", "of_host", "of_trust", "of_distrust"))
     parts = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).select(host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "html")
-    found = parts.withColumn("found", rule_for(F.col("host"), F.col("path"), rules))
+    found = with_rules(parts, rules, "found")
     by_host = found.filter("host <> ''").groupBy("host").agg(
         *[F.avg(F.when(F.col("found.verdict") == v, 1.0).otherwise(0.0)).alias(k) for v, k in (("allow", "trust"), ("block", "distrust"))]
     )
@@ -173,7 +197,7 @@ def judged(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "h
     scores = propagated(written(edges, "rank-graph"), by_host)
     mean = 1.0 / max(1, by_host.count())
     verdicts = scores.select(F.col("host").alias(of), F.col("trust").alias(trusted), F.col("distrust").alias(distrusted))
-    out = pages.select(*[F.col(f"`{c}`") for c in kept], host(F.col(url)).alias("host"), path(F.col(url)).alias("path")).withColumn(held, rule_for(F.col("host"), F.col("path"), rules))
+    out = with_rules(pages.select(*[F.col(f"`{c}`") for c in kept], host(F.col(url)).alias("host"), path(F.col(url)).alias("path")), rules, held)
     out = out.join(verdicts, out["host"] == verdicts[of], "left")
     suspect = F.coalesce(F.col(distrusted) - F.col(trusted), F.lit(0.0)) > threshold * mean
     verdict = F.coalesce(F.col(f"{held}.verdict"), F.when(suspect, "block").otherwise("allow"))

@@ -636,6 +636,32 @@ def test_verdicts_against_brute_force(spark):
     assert linkrank.judged(table.limit(0), rules).count() == 0
 
 
+def test_rules_in_an_expression_and_in_a_join(spark, monkeypatch):
+    rng = random.Random(8)
+    label = lambda: rng.choice(["a", "b", "bb", "com", "ä", ""])
+    name = lambda n: ".".join(label() for _ in range(rng.randrange(1, n)))
+    rules = [linkrank.Rule(rng.choice(["allow", "block"]), f"{name(4)}/{''.join(rng.choices('xyü/', k=rng.randrange(1, 4)))}") for _ in range(150)]
+    rules += [linkrank.Rule("allow", "a.com/xxxx"), linkrank.Rule("block", "com/xxxxxx"), linkrank.Rule("block", "a.com/xxxx"), linkrank.Rule("block", "bare.com")]
+    urls = [(name(6), "/" + "".join(rng.choices("xyü/", k=rng.randrange(6)))) for _ in range(400)] + [("a.com", "/xxxxxx"), ("www.bare.com", ""), ("", ""), ("", "/x"), (".", "/"), ("x" * 9000 + ".bare.com", "/" + "y" * 9000)]
+    urls += urls[:5]
+
+    def best(host, path):
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        found = max(fits, key=lambda r: len(r.text), default=None)  # of equally long ones the first
+        return found and (found.text, found.verdict)
+
+    table = spark.createDataFrame([(k, *u) for k, u in enumerate(urls)], "page_id long, host string, path string")
+    want = {k: best(*u) for k, u in enumerate(urls)}
+    assert sum(w is None for w in want.values()) > 20 and len(set(want.values())) > 30
+    for most in (2000, 0):
+        monkeypatch.setattr(linkrank, "MOST_RULES", most)
+        got = linkrank.with_rules(table, rules, "found").collect()
+        assert len(got) == len(urls) and {r["page_id"]: r["found"] and tuple(r["found"]) for r in got} == want
+    pages = spark.createDataFrame([(1, "http://www.bare.com/x", None), (2, None, ""), (2, None, ""), (3, "https://other.org", "")], "rule_host long, url string, html string")
+    out = linkrank.judged(pages, rules[-4:]).orderBy("rule_host").collect()
+    assert [(r["rule_host"], r["rule"]) for r in out] == [(1, "bare.com"), (2, None), (2, None), (3, None)]
+
+
 def test_transcripts(spark, monkeypatch):
     rows = [(1, k, f"{'User' if k % 2 == 0 else 'Assistant'}: line {k}{'?' if k % 2 == 0 else ''}") for k in range(23)]
     rows += [(2, 0, "System: be brief"), (2, 1, "Speaker 1: hi"), (2, 2, None), (2, 2, None), (None, None, ""), (None, 1, "User: x")]
