@@ -1,10 +1,13 @@
-"""What plain SQL over the archive reaches besides the recipes: each text runs as it stands on the stored recordings."""
+"""What plain SQL over the archive reaches besides the recipes: each text runs as it stands on the stored recordings, but
+that of ``sql_frames``, whose frames are written so that their cost grows with the rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from lectern.functions import sql as functions
 from lectern.plans import oracle as o
@@ -78,6 +81,37 @@ def over_recordings(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 for _name, (_text, _other) in TEXTS.items():
     QUERIES[_name], ORACLE_SQL[_name] = over_recordings(_text), f"WITH {o.REC} {_other or _text}"
+
+
+def _held(rows: DataFrame, few: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with the columns that ``few`` has for their keys; null keys are equal."""
+    named = few.select(*[F.col(k).alias(f"of_{k}") for k in keys], *[c for c in few.columns if c not in keys])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys])
+    return rows.join(named, same, "left").drop(*[f"of_{k}" for k in keys])
+
+
+def frames(rows: DataFrame) -> DataFrame:
+    """What the text of ``sql_frames`` says, without a frame that Spark goes through anew for each row (its cost is the
+    square of a mode's rows): the ends of each mode are the first rows in either order, of which tasks pass on two, and
+    counts by word count are frames over each mode's distinct word counts."""
+    rows = rows.select("folder_name", "mode_name", "datetime_iso", F.col("raw_word_count").alias("words"))
+    by_mode = Window.partitionBy("mode_name")
+    at = F.row_number().over(by_mode.orderBy("datetime_iso", "folder_name"))
+    back = F.row_number().over(by_mode.orderBy(F.desc("datetime_iso"), F.desc("folder_name")))
+    nth = lambda k: F.max(F.when(F.col("r") == k, F.col("folder_name")))
+    first = rows.withColumn("r", at).filter("r <= 2").groupBy("mode_name").agg(nth(1).alias("earliest"), nth(2).alias("second"))
+    last = rows.withColumn("r", back).filter("r <= 1").groupBy("mode_name").agg(nth(1).alias("latest"))
+    held = rows.groupBy("mode_name", "words").agg(F.count(F.lit(1)).alias("n"))
+    by_words = by_mode.orderBy("words")
+    alike = F.sum("n").over(by_words.rangeBetween(-20, 20))
+    below = F.max("words").over(by_words.rangeBetween(Window.unboundedPreceding, -1))
+    counted = held.select("mode_name", "words", alike.alias("alike"), below.alias("below"))
+    ends = _held(first, last, "mode_name")
+    out = _held(_held(rows, F.broadcast(ends), "mode_name"), counted, "mode_name", "words")
+    return out.select("folder_name", "earliest", "latest", "second", "alike", "below")
+
+
+QUERIES["sql_frames"] = lambda spark, sf_dir: frames(demo.recordings(spark, sf_dir))  # its SQL twin stays the text
 QUERIES["sql_recursion"], ORACLE_SQL["sql_recursion"] = over_recordings(f"WITH {_STEPS} {_RECURSION}"), f"WITH {_STEPS}, {o.REC} {_RECURSION}"
 
 
