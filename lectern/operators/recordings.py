@@ -22,6 +22,13 @@ def iso_time(datetime: Column) -> Column:
     return F.date_format(parsed_time(datetime), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def transcripts() -> dict[str, Column]:
+    """The derived columns that repeat a text."""
+    result, raw = F.col("result"), F.col("raw_result")
+    # With a null raw_result the comparison is null, so this stays null while the count of words doesn't.
+    return {"raw_transcript": raw, "processed_transcript": F.when(result.isNotNull() & (result != "") & (result != raw), result)}
+
+
 def with_derived(recordings: DataFrame) -> DataFrame:
     """``recordings`` with the columns that are functions of a row."""
     result, raw = F.col("result"), F.col("raw_result")
@@ -30,9 +37,7 @@ def with_derived(recordings: DataFrame) -> DataFrame:
         {
             "duration_sec": F.col("duration_ms") / F.lit(1000.0),
             "mode_name_lower": ascii_lower(F.col("mode_name")),
-            "raw_transcript": raw,
-            # With a null raw_result the comparison is null, so this stays null while the count below doesn't.
-            "processed_transcript": F.when(result.isNotNull() & (result != "") & (result != raw), result),
+            **transcripts(),
             "processed_word_count": F.when(result.isNull() | (result == "") | (result == raw), F.lit(0)).otherwise(
                 F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1
             ),

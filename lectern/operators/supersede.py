@@ -19,6 +19,8 @@ def superseded(recordings: DataFrame, at: str | None = None) -> DataFrame:
     order = F.struct((-F.unix_micros(when)).alias("late"), "folder_name")
     winners = recordings.filter(F.col("audio_hash").isNotNull()).groupBy(F.col("audio_hash").alias("of_hash")).agg(F.min(order).alias("first"))
     kept = recordings.drop("superseded_by")
+    # The winners are looked up by hash: the rows with their texts aren't sorted.
+    winners = winners.hint("shuffle_hash")
     joined = kept.join(winners, kept["audio_hash"] == winners["of_hash"], "left")
     by = F.when(F.col("first.folder_name") != F.col("folder_name"), F.col("first.folder_name"))
     out = joined.withColumn("superseded_by", by).drop("of_hash", "first")

@@ -29,3 +29,14 @@ def test_frames_of_modes(spark):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, spark.sql(passthrough.TEXTS["sql_frames"][0]).collect()))
     found = plan(passthrough.QUERIES["sql_frames"](spark, SF))
     assert "currentrow$(), unboundedfollowing$()" not in found and "WindowGroupLimit" in found
+
+
+def test_recordings_shuffle_and_store_a_text_once(spark):
+    held = superseded(spark.createDataFrame([("a", "h", "2024-01-01", "t"), ("b", "h", "2024-01-02", "t"), ("c", None, None, "u")], "folder_name string, audio_hash string, datetime string, text string"))
+    assert {r["folder_name"]: r["superseded_by"] for r in held.collect()} == {"a": "b", "b": None, "c": None}
+    assert "SortMergeJoin" not in plan(held) and "ShuffledHashJoin" in plan(held)
+    rows = demo.recordings(spark, SF)
+    stored = spark.read.parquet(*rows.inputFiles())
+    assert {"raw_result", "superseded_by"} <= set(stored.columns) and not {"result", "llm_result", "raw_transcript", "processed_transcript"} & set(stored.columns)
+    raw = demo.raw_recordings(spark, SF).select("folder_name", "result", "llm_result", "raw_result")
+    assert rows.select(*raw.columns).exceptAll(raw).isEmpty() and raw.exceptAll(rows.select(*raw.columns)).isEmpty()
