@@ -40,3 +40,18 @@ def test_recordings_shuffle_and_store_a_text_once(spark):
     assert {"raw_result", "superseded_by"} <= set(stored.columns) and not {"result", "llm_result", "raw_transcript", "processed_transcript"} & set(stored.columns)
     raw = demo.raw_recordings(spark, SF).select("folder_name", "result", "llm_result", "raw_result")
     assert rows.select(*raw.columns).exceptAll(raw).isEmpty() and raw.exceptAll(rows.select(*raw.columns)).isEmpty()
+
+
+def test_large_bucket_goes_to_several_tasks(spark, tmp_path):
+    texts = spark.range(4000).select("id", F.concat(F.lit("the that this "), F.col("id").cast("string")).alias("text")).repartition(8)
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16k")
+    try:
+        search.Index.store(f"file://{tmp_path}/index", texts, "id", ["text"], tokens, buckets=4)
+    finally:
+        spark.conf.set(key, before)
+    index = search.Index.read(spark, f"file://{tmp_path}/index")
+    common = index.of_terms([search.Atom("the")])
+    assert common.count() == 4000 and common.select(F.input_file_name()).distinct().count() > 1
+    assert search.bm25(index, search.term("that")).count() == 4000 and index.facts.documents == 4000
