@@ -34,9 +34,14 @@ def l1_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda total, x: total + x)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row: what stands in a function of elements is computed for each."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalized(vector: Column) -> Column:
     """The vector at unit length; null for a zero vector."""
-    return F.transform(vector, lambda x: F.try_divide(x, F.sqrt(dot(vector, vector))))
+    return _once(F.sqrt(dot(vector, vector)), lambda norm: F.transform(vector, lambda x: F.try_divide(x, norm)))
 
 
 def band(distance: Column) -> Column:
@@ -62,16 +67,20 @@ def fused(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
 
 
 #: Components that a task's sums of vectors may hold before they are passed on.
-HELD = 4_000_000
+HELD = 500_000
 
 
 def _sums(key: str, schema: StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of rows ``key, chunk_idx, embedding``, for each key the sum of its vectors, their least and greatest length, and
     the first of them: one row for each key and task, unless a task has very many keys."""
+    kinds = to_arrow_schema(schema)
 
     def told(held: dict) -> pa.RecordBatch:
-        columns = list(zip(*[(k, s.tolist(), low, high, at, v.tolist()) for k, (s, low, high, at, v) in held.items()])) or [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(schema))], schema.fieldNames())
+        keys, rows = pa.array(list(held), kinds.field(0).type), list(held.values())
+        lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, vs)], dtype=np.int32)), pa.array(np.concatenate([np.zeros(0), *vs]))) for vs in ([r[0] for r in rows], [r[4] for r in rows])]
+        low, high, at = (pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3))
+        columns = [keys, lists[0], low, high, at, lists[1]]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, kinds)], schema.fieldNames())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -85,18 +94,18 @@ def _sums(key: str, schema: StructType) -> Callable[[Iterator[pa.RecordBatch]],
                     continue
                 v = flat[a:b]
                 if k not in held:
-                    held[k] = [v.copy(), b - a, b - a, at, v]
+                    held[k] = [v.copy(), b - a, b - a, at, v.copy()]  # a view would keep its whole batch
                     components += 2 * (b - a)
-                    continue
-                mine = held[k]
-                mine[1], mine[2] = min(mine[1], b - a), max(mine[2], b - a)
-                if mine[1] == mine[2]:
-                    mine[0] += v
-                if at < mine[3]:
-                    mine[3], mine[4] = at, v
-            if components > HELD:
-                yield told(held)
-                held, components = {}, 0
+                else:
+                    mine = held[k]
+                    mine[1], mine[2] = min(mine[1], b - a), max(mine[2], b - a)
+                    if mine[1] == mine[2]:
+                        mine[0] += v
+                    if at < mine[3]:
+                        mine[3], mine[4] = at, v.copy()
+                if components > HELD:
+                    yield told(held)
+                    held, components = {}, 0
         yield told(held)
 
     return run
@@ -116,8 +125,8 @@ def centroids(vectors: DataFrame, key: str = "folder_name") -> DataFrame:
     sums = parts.groupBy(key).agg(F.collect_list("sum").alias("sums"), F.min("least").alias("least"), F.max("most").alias("most"), F.min_by("first", "at").alias("first"))
     total = F.aggregate(F.slice("sums", 2, F.size("sums")), F.element_at("sums", 1), lambda t, s: F.zip_with(t, s, lambda x, y: x + y))
     summed = sums.withColumn("total", F.when(F.col("least") != F.col("most"), wrong.cast("array<double>")).otherwise(total))
-    norm = F.sqrt(dot(F.col("total"), F.col("total")))
-    return summed.select(key, F.when(norm > 0, F.transform("total", lambda x: x / norm)).otherwise(F.col("first")).alias("embedding"))
+    scaled = lambda t: _once(F.sqrt(dot(t, t)), lambda norm: F.when(norm > 0, F.transform(t, lambda x: x / norm)).otherwise(F.col("first")))
+    return summed.select(key, _once(F.col("total"), scaled).alias("embedding"))
 
 
 def to_blob(vector: Column) -> Column:

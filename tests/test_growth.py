@@ -55,3 +55,25 @@ def test_large_bucket_goes_to_several_tasks(spark, tmp_path):
     common = index.of_terms([search.Atom("the")])
     assert common.count() == 4000 and common.select(F.input_file_name()).distinct().count() > 1
     assert search.bm25(index, search.term("that")).count() == 4000 and index.facts.documents == 4000
+
+
+def test_sums_of_vectors_are_passed_on_within_a_batch():
+    keys, dims = 20_000, 64
+    doubles, longs = ArrayType(DoubleType()), LongType()
+    schema = StructType([StructField("k", StringType()), StructField("sum", doubles), StructField("least", longs), StructField("most", longs), StructField("at", longs), StructField("first", doubles)])
+    flat = np.arange(keys * dims, dtype=float)
+    vectors_ = pa.ListArray.from_arrays(pa.array(np.arange(keys + 1, dtype=np.int32) * dims), pa.array(flat))
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(keys)]), pa.array(np.zeros(keys, np.int64)), vectors_], ["k", "chunk_idx", "embedding"])
+    got = list(vectors._sums("k", schema)(iter([batch])))
+    assert max(b.num_rows for b in got) * 2 * dims <= vectors.HELD + 2 * dims and sum(b.num_rows for b in got) == keys
+    assert all(b.schema.equals(to_arrow_schema(schema)) or b.schema.names == schema.fieldNames() for b in got)
+    assert np.array_equal(np.concatenate([b.column(1).flatten().to_numpy() for b in got]), flat)
+
+
+def test_norms_and_joins_are_made_once(spark):
+    """A norm isn't computed for each component, nor are vectors joined with their chunks again."""
+    found = plan(vectors.centroids(spark.createDataFrame([("a", 0, [3.0, 4.0])], "folder_name string, chunk_idx int, embedding array<double>")))
+    final = found[found.index("== Optimized") : found.index("== Physical")]
+    assert "/ sqrt(" not in final and "/ SQRT(" not in final
+    chunks = spark.createDataFrame([(1, "3", 0)], "chunk_id long, folder_name string, chunk_idx int")
+    assert demo.chunk_vectors(spark, SF, chunks, "folder_name", "chunk_idx").columns == ["chunk_id", "folder_name", "chunk_idx", "embedding"]
