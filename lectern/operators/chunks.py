@@ -7,7 +7,6 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +18,9 @@ ABBREVIATIONS = frozenset(("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Sr.", "Jr.", "
 _SPACE = re.compile(r"[\t\n\x0b\f\r    -     　﻿]+")
 _TURN = (re.compile(r"(Speaker|SPEAKER) [0-9]+:"), re.compile(r"\[(Speaker|SPEAKER) [0-9]+\]:"))
 
+#: Texts of a batch that are chunked, and passed on, at once.
+AT_ONCE = 256
+
 SCHEMA = "chunk_idx int, text string, start_word int, end_word int, word_count int"
 
 
@@ -64,7 +66,7 @@ class Cuts:
 
     def __init__(self, words: list[str], strategy: Strategy):
         self.n, self.strategy = len(words), strategy
-        self.stops = [k for k, w in enumerate(words) if ends_sentence(w)]
+        self.stops = [k for k, w in enumerate(words) if w[-1] in ".!?" and ends_sentence(w)]
         # A turn's best place to cut is the word before it.
         self.turns = [k - 1 for k in range(1, self.n - 1) if words[k].lstrip("[") in ("Speaker", "SPEAKER") and any(p.fullmatch(f"{words[k]} {words[k + 1]}") for p in _TURN)]
 
@@ -110,7 +112,7 @@ def chunked(texts: DataFrame, key: str = "folder_name", body: str = "body", stra
     kind = dict(texts.dtypes)[key]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(begin, AT_ONCE) for whole in batches for begin in range(0, whole.num_rows, AT_ONCE)):
             rows = []
             for at, text in enumerate(batch.column(1).to_pylist()):
                 words = split_words(text)
@@ -159,14 +161,17 @@ def chunked_by_parts(texts: DataFrame, written: Callable[[str, DataFrame], DataF
     chunks are cut out by its own task.
     """
     kind, reach = dict(texts.dtypes)[key], Cuts.reach(strategy)
-    parts_schema, exits_schema, chunk_schema = (to_arrow_schema(_parse_datatype_string(d)) for d in (_PARTS, _EXITS, SCHEMA))
+    parts_schema, exits_schema, entries_schema, chunk_schema = (to_arrow_schema(_parse_datatype_string(d)) for d in (_PARTS, _EXITS, _ENTRIES, SCHEMA))
     # A text is known by a number that its row gets once, as parts are stored: keys may repeat.
     rows = texts.select(F.col(key).alias("text_key"), F.monotonically_increasing_id().alias("text_row"), F.col(body).cast("string").alias("text"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, text in enumerate(batch.column(2).to_pylist()):
-                for k, (own, piece, ends) in enumerate(_cut_parts(text or "", part, reach)):
+                text = text or ""
+                if len(text) <= part and len(split_words(text)) < strategy.threshold:
+                    continue  # no chunks
+                for k, (own, piece, ends) in enumerate(_cut_parts(text, part, reach)):
                     values = [pa.array([x], f.type) for x, f in zip((k, own, piece, ends), parts_schema)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), batch.column(1).slice(at, 1), *values], ["text_key", "text_row", *parts_schema.names])
 
@@ -181,30 +186,47 @@ def chunked_by_parts(texts: DataFrame, written: Callable[[str, DataFrame], DataF
         for batch in batches:
             for row, k, own, text, ends in zip(*[c.to_pylist() for c in batch.columns]):
                 words, mine, cuts = prepared(own, text, ends)
-                leaves, before, chunks = [0] * mine, [0] * mine, [0] * mine
-                for first in range(mine - 1, -1, -1):
-                    last = cuts.last(first)
-                    follows = -1 if ends and last == cuts.n - 1 else cuts.next(first, last)
-                    if 0 <= follows < mine:
-                        leaves[first], before[first], chunks[first] = leaves[follows], before[follows], chunks[follows] + 1
-                    else:
-                        leaves[first], before[first], chunks[first] = -1 if follows < 0 else follows - mine, last - mine, 1
-                few = min(mine, strategy.size + strategy.boundary_window + 1)
-                told = {"text_row": [row], "part": [k], "words": [mine], "leaves": [leaves[:few]], "before": [before[:few]], "chunks": [chunks[:few]]}
+                # A text begins with its first word. Chunks from different words soon begin at the same ones.
+                few = min(mine, 1 if k == 0 else strategy.size + strategy.boundary_window + 1)
+                known: dict[int, tuple[int, int, int]] = {}
+                for first in range(few):
+                    path = []
+                    while first not in known:
+                        path.append(first)
+                        last = cuts.last(first)
+                        follows = -1 if ends and last == cuts.n - 1 else cuts.next(first, last)
+                        if 0 <= follows < mine:
+                            first = follows
+                        else:
+                            known[path.pop()] = (-1 if follows < 0 else follows - mine, last - mine, 1)
+                    leave, end, chunks = known[first]
+                    for at in reversed(path):
+                        chunks += 1
+                        known[at] = (leave, end, chunks)
+                leaves, before, chunks = ([known[at][c] for at in range(few)] for c in range(3))
+                told = {"text_row": [row], "part": [k], "words": [mine], "leaves": [leaves], "before": [before], "chunks": [chunks]}
                 yield pa.RecordBatch.from_pydict(told, schema=exits_schema)
 
-    def followed(parts: pd.DataFrame) -> pd.DataFrame:
-        out, enters, before, chunk, word = [], 0, None, 0, 0
-        for p in parts.sort_values("part").itertuples():
-            if 0 <= enters < p.words:
-                out.append((p.text_row, p.part, enters, before, chunk, word))
-                chunk += p.chunks[enters]
-                enters, before = p.leaves[enters], p.before[enters]
-            elif enters >= 0:  # a part shorter than a chunk
-                enters, before = enters - p.words, None if before is None else before - p.words
-            word += p.words
-        names = [c.split()[0] for c in _ENTRIES.split(", ")]
-        return pd.DataFrame(out if word >= strategy.threshold else [], columns=names).astype({"before": "Int64"})
+    def followed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of exits in order of texts and parts, where each part that begins a chunk is entered."""
+        text_row, out, enters, before, chunk, word = None, [], 0, None, 0, 0
+        named = lambda rows: pa.RecordBatch.from_pylist([dict(zip(entries_schema.names, r)) for r in rows], schema=entries_schema)
+        done: list[tuple] = []
+        for batch in batches:
+            for row, part, words, leaves, befores, chunks in zip(*[c.to_pylist() for c in batch.columns]):
+                if row != text_row:
+                    done += out if word >= strategy.threshold else []
+                    text_row, out, enters, before, chunk, word = row, [], 0, None, 0, 0
+                if 0 <= enters < words:
+                    out.append((row, part, enters, before, chunk, word))
+                    chunk += chunks[enters]
+                    enters, before = leaves[enters], befores[enters]
+                elif enters >= 0:  # a part shorter than a chunk
+                    enters, before = enters - words, None if before is None else before - words
+                word += words
+            yield named(done)
+            done = []
+        yield named(out if word >= strategy.threshold else [])
 
     def chunks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,6 +251,7 @@ def chunked_by_parts(texts: DataFrame, written: Callable[[str, DataFrame], DataF
 
     parts = written("parts", rows.mapInArrow(cut, f"text_key {kind}, text_row long, {_PARTS}").repartition("text_row", "part"))
     exits = written("exits", parts.select("text_row", "part", "own", "text", "ends").mapInArrow(tried, _EXITS))
-    entries = exits.groupBy("text_row").applyInPandas(followed, _ENTRIES)
-    out = parts.join(entries, ["text_row", "part"]).select("text_key", "own", "text", "ends", "enters", "before", "chunk_offset", "word_offset").mapInArrow(chunks_of, f"`{key}` {kind}, {SCHEMA}")
+    entries = exits.repartition("text_row").sortWithinPartitions("text_row", "part").mapInArrow(followed, _ENTRIES)
+    # The entries are looked up by part: the parts with their texts aren't sorted.
+    out = parts.join(entries.hint("shuffle_hash"), ["text_row", "part"]).select("text_key", "own", "text", "ends", "enters", "before", "chunk_offset", "word_offset").mapInArrow(chunks_of, f"`{key}` {kind}, {SCHEMA}")
     return out.withColumn("chunk_id", F.xxhash64(F.col(key), F.col("chunk_idx")))
